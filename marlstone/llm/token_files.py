@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import Memo, Workspace, documents, partitions
 from marlstone.llm.pretokens import units
 
+_MARKS = ".,;:!?*&%$#)"
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -37,7 +38,16 @@ class _Encoder:
         self._dtype = dtype
         end = self._t.encode("\n", add_special_tokens=False).ids
         self._line_end = end[0] if len(end) == 1 else None
-        self._units = Memo(self._compute, 350_000)
+        self._parts = Memo(self._compute, 300_000)
+        self._units = Memo(self._split, 450_000)
+
+    def _split(self, new: list[str]) -> list[bytes]:
+        """A word and the marks behind it are encoded independently, and each is met more often than both together."""
+        cores = [x.rstrip(_MARKS) for x in new]
+        cores = [c if c[-1:].isalnum() else x for c, x in zip(cores, new, strict=True)]
+        ends = [x[len(c) :] for c, x in zip(cores, new, strict=True)]
+        known = dict(zip(marks := [*{e for e in ends if e}], self._parts.many(marks), strict=True))
+        return [a + known[e] if e else a for a, e in zip(self._parts.many(cores), ends, strict=True)]
 
     def _compute(self, new: list[str]) -> list[bytes]:
         """Words go to the library in one text with a line end between each two, which is a token of its own."""
