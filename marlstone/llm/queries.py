@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import byte_bpe, token_counts, token_files, url_filter
+from marlstone.llm import byte_bpe, decontaminate, jaccard_join, langid, line_dedup, simhash, suffix_dedup, token_counts, token_files, url_filter
 from marlstone.llm.common import Workspace, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -20,19 +21,65 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.finish(spark, parts), token_files.id_dtype(path), digest=True)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(spark, docs))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove(spark, table(spark, sf_dir, "documents"), length=400))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.75)
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.group(spark, table(spark, sf_dir, "documents"), percent=75, width=5)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), bound=1)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.neighbours(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+_SHINGLED = r"""
+{name}_w AS (SELECT {id}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}),
+{name}_i AS (SELECT {id}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {name}_w WHERE len(w) > 0),
+{name} AS (SELECT DISTINCT {id}, array_to_string(w[i:i + 4], ' ') AS s FROM {name}_i)"""
+
 SQL = {
+    "op5_decontaminate": "WITH " + _SHINGLED.format(name="d", id="doc_id", table="documents") + "," + _SHINGLED.format(name="b", id="item_id", table="benchmark") + """,
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN b USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM f JOIN n USING (item_id) WHERE n_found * 100 >= 75 * n_shingles
+""",
+    "op7_line_dedup": """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, line_no, trim(raw) AS line FROM l),
+f AS (SELECT line, min((doc_id, line_no)) AS first FROM t WHERE length(line) >= 10 GROUP BY 1),
+near AS (SELECT DISTINCT a.line FROM f a JOIN f b ON length(a.line) - length(b.line) BETWEEN -1 AND 1 AND b.first < a.first AND levenshtein(a.line, b.line) = 1),
+gone AS (SELECT doc_id, line_no FROM t JOIN f USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR (doc_id, line_no) <> first),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.doc_id) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.line_no) FILTER (WHERE g.doc_id IS NULL), '') AS kept
+      FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)
+""",
     "op10_url_filter": r"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM u),
