@@ -61,8 +61,8 @@ def near_earlier(spark: SparkSession, ws: Workspace, docs: DataFrame, distinct:
     met = ws.save(_shared(keyed, ["k1", "k2"]).select("h1", "h2").distinct(), "met")
     few = F.broadcast(met) if met.count() <= BROADCAST_LINES else met
     texts = _lines(docs).join(few, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
-    line = F.col("first.line")
-    fine = texts.select("h1", "h2", F.struct("first.doc_id", "first.line_no").alias("first"), F.explode(_parts(F.length(line), line, FINE, True)).alias("k")).select("h1", "h2", "first", "k.*")
+    texts = texts.select("h1", "h2", F.struct("first.doc_id", "first.line_no").alias("place"), F.col("first.line").alias("line"))
+    fine = texts.select("h1", "h2", F.col("place").alias("first"), F.explode(_parts(F.length("line"), F.col("line"), FINE, True)).alias("k")).select("h1", "h2", "first", "k.*")
     fine = ws.save(_shared(fine, ["k1", "k2"]), "fine")
 
     n = F.length("mid")
