@@ -86,7 +86,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
 
     def out(pdf: pd.DataFrame, sweep: Sweep) -> pd.DataFrame:
         found = [sweep.judge(k, p) for k, p in zip(pdf["key"], pdf["path"], strict=True)]
-        return pdf[["page_id", "host", "path"]].assign(rule=[f and f[0] for f in found], verdict=[f[1] if f else default for f in found])
+        columns = {"page_id": pdf["page_id"], "host": pdf["host"], "path": pdf["path"], "rule": [f and f[0] for f in found], "verdict": [f[1] if f else default for f in found]}
+        return pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in columns.items()})
 
     if len(few) <= broadcast_rules:
         known = [(_key(r.host), r.path, r.host + r.path, r.verdict) for r in few]
