@@ -185,3 +185,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     return known.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+
+
+def keep_accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, all columns, whose language is accepted; where nothing was learnt, those with a letter."""
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    if model is None:
+        return lettered
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.predict(t.as_py().encode("utf-8", "surrogatepass"))[1] >= model.threshold for t in b["text"]], pa.bool_()))
+
+    return lettered.mapInArrow(run, docs.schema)
