@@ -1,4 +1,6 @@
 """All queries of the library by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from marlstone.plans import data_queries, text_queries
+
+QUERIES = text_queries.QUERIES | data_queries.QUERIES
+SQL = text_queries.SQL | data_queries.SQL
