@@ -9,33 +9,34 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Compatibility composition and case folding, for literal comparison."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_key(s: pd.Series) -> pd.Series:
     """Names that differ in width or white space only."""
     return s.map(lambda x: None if x is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def label(s: pd.Series) -> pd.Series:
     """Text of a label: entities and tags resolved, marks stripped."""
     return s.map(lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", html.unescape((x or "").strip()))).strip(" *_`"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings (not an edit distance)."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(s: pd.Series) -> pd.Series:
     """Bytes as UTF-8, else GB 18030, else UTF-8 with replacement marks."""
 
@@ -52,7 +53,7 @@ def decode_text(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def trim_to_tokens(s: pd.Series, most: pd.Series) -> pd.Series:
     """Cut by the estimate's ratio until a text fits: half its length is the estimate."""
 
@@ -65,7 +66,7 @@ def trim_to_tokens(s: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([one(t, m) for t, m in zip(s, most, strict=True)], dtype=object)
 
 
-@F.pandas_udf("added int, removed int")
+@F.pandas_udf(T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType())]))
 def line_delta(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines that come and go between two versions."""
     rows = []
@@ -76,7 +77,7 @@ def line_delta(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["added", "removed"])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def path_score(query: pd.Series, path: pd.Series) -> pd.Series:
     """Fuzzy score of a path, null unless the query's letters stand in it in order.
 
