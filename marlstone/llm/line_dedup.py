@@ -45,7 +45,7 @@ def _parts(n: Column, line: Column, segments: int, middle: bool) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line (trimmed), h1, h2 of lines that are long enough."""
-    trimmed = F.transform(F.split("text", "\n", -1), F.trim)
+    trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))
     return docs.select("doc_id", F.posexplode(trimmed).alias("line_no", "line")).where(F.length("line") >= MIN_CHARS).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
