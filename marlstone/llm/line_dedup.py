@@ -18,12 +18,22 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import Workspace
 
 MIN_CHARS = 10
-COARSE, FINE = 2, 16
+FINE = 8
 #: Ids of up to so many lines (16 bytes each) are broadcast after they are counted; more are shuffled.
 BROADCAST_LINES = 1_000_000
 
 
-def _parts(n: Column, line: Column, segments: int, middle: bool) -> Column:
+def _halves(n: Column, line: Column) -> Column:
+    """Four keys: for both lengths that a pair's shorter line can have (this one's, one less), what stands behind its
+    first half and what stands before its second.  One edit leaves one of the two as it is."""
+    out = []
+    for short in (n, n - 1):
+        half = F.floor(short / 2).cast("int")
+        out += [F.xxhash64(short, F.lit(0), F.right(line, short - half)), F.xxhash64(short, F.lit(1), F.left(line, half))]
+    return F.array(*out)
+
+
+def _parts(n: Column, line: Column, segments: int) -> Column:
     """Keys of a line for both lengths that a pair's shorter line can have (its own, one less) and each segment.
 
     A struct has: same (own length), k1, k2 (hashes of what stands before and behind, with length and segment), mid.
@@ -35,18 +45,18 @@ def _parts(n: Column, line: Column, segments: int, middle: bool) -> Column:
         a, z = F.floor(short * i / segments).cast("int"), F.floor(short * (i + 1) / segments).cast("int")
         tail = short - z
         before, behind = F.substring(line, F.lit(1), a), F.substring(line, n - tail + 1, tail)
-        fields = [F.xxhash64(short, i, before, behind).alias("k1"), F.xxhash64(before, F.lit("|"), behind, i, short).alias("k2")]
-        if middle:
-            fields = [same.alias("same"), *fields, F.substring(line, a + 1, n - tail - a).alias("mid")]
-        return F.struct(*fields)
+        keys = F.xxhash64(short, i, before, behind).alias("k1"), F.xxhash64(before, F.lit("|"), behind, i, short).alias("k2")
+        return F.struct(same.alias("same"), *keys, F.substring(line, a + 1, n - tail - a).alias("mid"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(2 * segments - 1)), part)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed), h1, h2 of lines that are long enough."""
+    """doc_id, line_no (from 0), line (trimmed), chars, h1, h2 of lines that are long enough."""
     trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))
-    return docs.select("doc_id", F.posexplode(trimmed).alias("line_no", "line")).where(F.length("line") >= MIN_CHARS).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    sized = F.transform(trimmed, lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))  # lengths are taken once
+    cut = docs.select("doc_id", F.posexplode(sized).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.chars")
+    return cut.where(F.col("chars") >= MIN_CHARS).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def _shared(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -57,12 +67,12 @@ def _shared(keys: DataFrame, by: list[str]) -> DataFrame:
 
 def near_earlier(spark: SparkSession, ws: Workspace, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1, h2 of distinct lines that are within one edit of a line with an earlier first occurrence."""
-    keyed = distinct.select("h1", "h2", F.explode("keys").alias("k")).select("h1", "h2", "k.k1", "k.k2")
-    met = ws.save(_shared(keyed, ["k1", "k2"]).select("h1", "h2").distinct(), "met")
+    keyed = distinct.select("h1", "h2", F.explode("keys").alias("k"))
+    met = ws.save(_shared(keyed, ["k"]).select("h1", "h2").distinct(), "met")
     few = F.broadcast(met) if met.count() <= BROADCAST_LINES else met
-    texts = _lines(docs).join(few, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
-    texts = texts.select("h1", "h2", F.struct("first.doc_id", "first.line_no").alias("place"), F.col("first.line").alias("line"))
-    fine = texts.select("h1", "h2", F.col("place").alias("first"), F.explode(_parts(F.length("line"), F.col("line"), FINE, True)).alias("k")).select("h1", "h2", "first", "k.*")
+    texts = _lines(docs).join(few, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "line", "chars")).alias("first"))
+    texts = texts.select("h1", "h2", F.struct("first.doc_id", "first.line_no").alias("place"), F.col("first.line").alias("line"), F.col("first.chars").alias("chars"))
+    fine = texts.select("h1", "h2", F.col("place").alias("first"), F.explode(_parts(F.col("chars"), F.col("line"), FINE)).alias("k")).select("h1", "h2", "first", "k.*")
     fine = ws.save(_shared(fine, ["k1", "k2"]), "fine")
 
     n = F.length("mid")
@@ -94,7 +104,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1) -> DataF
     ws = Workspace(spark, "line-dedup")
     lines = _lines(docs)
     keys = [F.first("keys", True).alias("keys")] if bound else []
-    keyed = lines.withColumn("keys", _parts(F.length("line"), F.col("line"), COARSE, False)) if bound else lines
+    keyed = lines.withColumn("keys", _halves(F.col("chars"), F.col("line"))) if bound else lines
     distinct = ws.save(keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *keys), "distinct")
     several = distinct.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     if bound:
@@ -112,7 +122,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, bound: int = 1) -> DataFra
     Null texts stay null with 0 lines; a text whose lines all go becomes empty.
     """
     gone = Workspace(spark, "line-dedup").save(removed_lines(spark, docs, bound), "removed").select(F.col("doc_id").alias("_marlstone_id"), F.col("removed").alias("_marlstone_removed"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_marlstone_id")), "left").drop("_marlstone_id")
+    # always dealt by id: what is removed grows with the corpus
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_marlstone_id")), "left").drop("_marlstone_id")
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_marlstone_removed")), lambda i: F.element_at(lines, i + 1))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
