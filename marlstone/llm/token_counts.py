@@ -102,10 +102,10 @@ def _counter(model_path: str) -> tuple[LongestMatch, Memo]:
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_words, n_tokens of each whole text.
+    """doc_id, n_words (strings between white space), n_tokens of each whole text.
 
-    Words are runs of word characters; each other character that isn't white space is a word of its own.  A word with
-    no segmentation counts as one.  Null and empty texts: 0 and 0.  One row for each row; narrow, no shuffle.
+    Such a string is cut into runs of word characters and single other characters, which are segmented one by one; one
+    with no segmentation counts as one.  Null and empty texts: 0 and 0.  One row for each row; narrow, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
