@@ -23,9 +23,11 @@ from marlstone.llm.components import components
 WIDTH = 5
 PERCENT = 75
 #: What one task joins at once: texts and shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 2_000, 4_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 4_000, 4_000_000
 #: Size of the list of frequent shingles that every task gets (8 bytes each); only speed depends on it.
-HOT_SHINGLES = 1 << 17
+HOT_SHINGLES = 1 << 20
+#: Texts that share a prefix shingle are taken two by two up to this number, as one block beyond it.
+PAIRED = 64
 _PIVOTS, _DEPTH = 8, 3
 BROADCAST_ROWS = 1_000_000
 
@@ -102,6 +104,29 @@ def _signatures(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> D
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
 
 
+def _candidates(ws: Workspace, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges whose components hold all links; classes: rep, n, prefix.
+
+    Where few texts share a shingle, each two are counted: common shingles of both prefixes (counted exactly), plus at
+    most what stands behind the longer rest, must reach the overlap that their sizes ask for.  Shingles with the same
+    texts are counted together.  Where many share one, all are tied to the least of them instead: no pairs are made.
+    """
+    shared = classes.select("rep", "n", F.explode("prefix").alias("s"))
+    w = Window.partitionBy("s")
+    met = shared.withColumns({"g": F.count("*").over(w), "lead": F.min("rep").over(w)}).where("g > 1")
+    met = ws.save(met, "shared")
+    texts = F.array_sort(F.collect_list(F.struct("rep", "n")))
+    groups = met.where(F.col("g") <= PAIRED).groupBy("s").agg(texts.alias("m")).groupBy("m").agg(F.count("*").alias("c"))
+    two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, PAIRED), lambda y: F.struct(x["rep"].alias("a"), x["n"].alias("na"), y["rep"].alias("b"), y["n"].alias("nb")))))
+    pairs = groups.select("c", F.explode(two).alias("p")).select("c", "p.*").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
+    behind = F.ceil(F.greatest("na", "nb") * percent / 100 - 1e-9) - 1
+    wanted = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
+    likely = pairs.where(F.col("c") + behind >= wanted).select("a", "b")
+    tied = met.where((F.col("g") > PAIRED) & (F.col("lead") < F.col("rep"))).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    return likely.unionByName(tied).distinct()
+
+
 def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links enough to connect what is linked.  Each text is compared through an inverted index with those not yet
     reached, so a dense group takes little more than one pass."""
@@ -250,10 +275,8 @@ def group(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width: i
     every = documents(docs)
     sig = ws.save(_signatures(every, _hot(every, width), width, percent), "signatures")
     known = sig.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    shared = classes.select("rep", F.explode("prefix").alias("s"))
-    met = shared.withColumn("lead", F.min("rep").over(Window.partitionBy("s"))).where("lead < rep")
-    near = ws.save(met.select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "candidates")
+    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    near = ws.save(_candidates(ws, classes, percent), "candidates")
     blocks = ws.save(components(ws, near), "blocks")
     reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     few = blocks.count() <= BROADCAST_ROWS
