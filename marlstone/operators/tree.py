@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import checkpointed
+
 
 def paths(nodes: DataFrame) -> DataFrame:
     """id, ancestor, depth (ancestors above) and up (steps from id) for every node and each of its ancestors, itself included.
@@ -16,9 +18,9 @@ def paths(nodes: DataFrame) -> DataFrame:
     reach = hop
     while hop.limit(1).count():
         far = reach.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("n").alias("m"))
-        reach = reach.unionByName(hop.join(far, "to").select("id", F.col("beyond").alias("to"), (F.col("n") + F.col("m")).alias("n"))).distinct().checkpoint()
+        reach = checkpointed(reach.unionByName(hop.join(far, "to").select("id", F.col("beyond").alias("to"), (F.col("n") + F.col("m")).alias("n"))).distinct())
         longer = hop.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("n").alias("m"))
-        hop = hop.join(longer, "to").select("id", F.col("beyond").alias("to"), (F.col("n") + F.col("m")).alias("n")).checkpoint()
+        hop = checkpointed(hop.join(longer, "to").select("id", F.col("beyond").alias("to"), (F.col("n") + F.col("m")).alias("n")))
     every = reach.select("id", F.col("to").alias("ancestor"), F.col("n").alias("up")).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("up")))
     return every.withColumn("depth", F.max("up").over(Window.partitionBy("id")) - F.col("up"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,3 +31,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 def local(cpus: int | None = None, memory: str = "16g") -> SparkSession:
     n = cpus or os.cpu_count() or 1
     return session(f"local[{n}]", n, **{"spark__driver__memory": memory, "spark__ui__enabled": "false", "spark__ui__showConsoleProgress": "false"})
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage, in the folder of spark.checkpoint.dir; one is made only where none is set, on one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        context.setCheckpointDir(found)
+    return df.checkpoint()
