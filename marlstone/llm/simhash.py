@@ -68,12 +68,13 @@ def _range_index(value: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     known = F.array(*[F.lit(b).cast("long") for b in bounds])
-    step, at = 1 << (len(bounds).bit_length() - 1), F.lit(0)
-    while step:
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
         to = at + step
-        at = F.when((to <= len(bounds)) & (F.try_element_at(known, F.least(to, F.lit(len(bounds)))) <= value), to).otherwise(at)
-        step >>= 1
-    return F.coalesce(at, F.lit(0))
+        return F.when((to <= len(bounds)) & (F.try_element_at(known, F.least(to, F.lit(len(bounds)))) <= value), to).otherwise(at)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), further), F.lit(0))
 
 
 def with_next(docs: DataFrame, n: int) -> DataFrame:
