@@ -48,7 +48,7 @@ def fold_runs(lines: DataFrame, last: int = 70) -> DataFrame:
     """Runs of agent lines between a user's become their last line with the run's length; the last so many stay."""
     w = Window.partitionBy("conv_id").orderBy("pos")
     user = F.startswith("line", F.lit("[USER]"))
-    marked = lines.withColumn("user", user).withColumn("island", F.sum((F.col("user") | F.coalesce(F.lag("user").over(w), F.lit(False))).cast("int")).over(w)) if "user" not in lines.columns else lines
+    marked = lines.withColumn("user", user).withColumn("island", F.sum((F.col("user") | F.coalesce(F.lag("user").over(w), F.lit(False))).cast("int")).over(w))
     folded = marked.groupBy("conv_id", "island").agg(F.min("pos").alias("pos"), F.first("user").alias("user"), F.max_by("line", "pos").alias("line"), F.count("*").alias("n"))
     shown = F.when(F.col("user"), F.col("line")).otherwise(F.concat(F.when(F.contains("line", F.lit(DIRECT_ANSWER)), "[Agent]").otherwise(F.col("line")), F.lit("（"), F.col("n").cast("string"), F.lit(" turns）")))
     recent = Window.partitionBy("conv_id").orderBy(F.desc("pos"))
