@@ -22,7 +22,7 @@ from marlstone.llm.common import documents
 BUCKET_BITS = 16
 SIZES = (2, 3, 4)
 #: Training reads at most so many rows of each language, chosen by hash, and so many languages.
-ROWS_PER_LANGUAGE = 1000
+ROWS_PER_LANGUAGE = 500
 MAX_LANGUAGES = 256
 _STRIDE = 1 << 22  # bytes hashed at once, so memory is bounded for very long texts
 
@@ -165,7 +165,11 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = ROWS_PER_LANGU
     best = counted_rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("k") <= per_language).drop("k")
     t = best.toArrow().sort_by([("lang", "ascending"), ("u", "ascending")])
     rows = [(lang, np.array(i, np.int32), np.array(c, np.float32)) for lang, i, c in zip(t["lang"].to_pylist(), t["ids"], t["counts"], strict=True) for i, c in [(i.values.to_numpy(), c.values.to_numpy())] if len(i)]
-    return train(rows) if rows else None
+    del t, best
+    model = train(rows) if rows else None
+    rows.clear()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
