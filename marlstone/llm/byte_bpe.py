@@ -110,8 +110,8 @@ class ByteBpe:
         self.words = MinimalPerfectHash(list(self.ranks), list(self.ranks.values()))
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self._matches = regex.compile(pattern).findall
-        self._pieces = Memo(lambda new: [self._encode_piece(x) for x in new], 300_000)
-        self._units = Memo(lambda new: [b"".join(self._pieces.many(self._matches(x))) for x in new], 300_000)
+        self._pieces = Memo(lambda new: [self._encode_piece(x) for x in new], 200_000)
+        self._units = Memo(lambda new: [b"".join(self._pieces.many(self._matches(x))) for x in new], 200_000)
 
     def _encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
