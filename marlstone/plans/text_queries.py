@@ -159,6 +159,14 @@ def x4(spark, d):
     return table(spark, d, "documents").where(~F.col("text").rlike("[^\\x00-\\x7f]")).select("doc_id", fold("text").alias("folded"))
 
 
+@query("x4_folded")
+def x4_all(spark, d):
+    """All documents; DuckDB has no NFKC and no case folding, so there is no SQL."""
+    from marlstone.functions.unicode import fold
+
+    return table(spark, d, "documents").select("doc_id", fold("text").alias("folded"))
+
+
 @query("x6_last_segment", "SELECT page_id, list_extract(string_split(url, '/'), -1) AS last FROM pages")
 def x6(spark, d):
     return table(spark, d, "pages").select("page_id", T.source_name(F.concat(F.lit("/"), "url")).alias("last"))
