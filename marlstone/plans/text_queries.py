@@ -86,6 +86,11 @@ def f13(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact(F.concat(F.lit("/var/data/x.md in kb-src1 "), T.strip(F.left("text", F.lit(60))))).alias("redacted"))
 
 
+@query("f13_redact_whole")
+def f13_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.redact(F.concat(F.lit("/var/data/x.md in kb-src1 "), F.coalesce("text", F.lit("")))).alias("redacted"))
+
+
 @query("f14_url_substring", "SELECT page_id, url FROM pages WHERE contains(url, 'example.com/en')")
 def f14(spark, d):
     return table(spark, d, "pages").where(F.contains("url", F.lit("example.com/en"))).select("page_id", "url")
@@ -152,6 +157,12 @@ def x3(spark, d):
     return table(spark, d, "documents").where(~F.contains(F.left("text", F.lit(40)), F.lit("!["))).select("doc_id", T.public_text(t).alias("public_text"))
 
 
+@query("x3_public_text_whole")
+def x3_all(spark, d):
+    t = F.concat(F.lit("章节路径：/a/b\n\n![ cat ](x/y.png) "), F.coalesce("text", F.lit("")), F.lit(" p.assets-1/i.png"))
+    return table(spark, d, "documents").select("doc_id", T.public_text(t).alias("public_text"))
+
+
 @query("x4_folded_ascii", "SELECT doc_id, lower(text) AS folded FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
 def x4(spark, d):
     from marlstone.functions.unicode import fold
@@ -205,6 +216,12 @@ def x15(spark, d):
     return table(spark, d, "documents").select("doc_id", T.last_code_block(t, "python").alias("code"))
 
 
+@query("x15_last_code_block_whole")
+def x15_all(spark, d):
+    t = F.concat(F.lit("```py\nfirst\n```\n```bash\nls\n```\n```python\n"), F.coalesce("text", F.lit("")), F.lit("\n```"))
+    return table(spark, d, "documents").select("doc_id", T.last_code_block(t, "python").alias("code"))
+
+
 @query("x16_stamp", "SELECT event_id, strftime(ts, '%m%d_%H%M') AS stamp FROM events")
 def x16(spark, d):
     return table(spark, d, "events").select("event_id", T.stamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("stamp"))
