@@ -52,8 +52,9 @@ def captions(lines: DataFrame) -> DataFrame:
     side = lambda f: (F.nullif(F.trim(f("line", 1).over(w)), F.lit("")), F.nullif(F.trim(f("line", 2).over(w)), F.lit("")))
     (a1, a2), (b1, b2) = side(F.lag), side(F.lead)
     rows = lines.select("doc_id", "line_no", "line", t.alias("own"), a1.alias("a1"), a2.alias("a2"), b1.alias("b1"), b2.alias("b2"))
-    near = F.when(F.col("a1").isNotNull() & F.col("b1").isNotNull(), F.when(T.ref_key(F.col("a1")) == T.ref_key(F.col("b1")), F.col("a1"))).otherwise(F.coalesce("a1", "b1"))
-    far = F.when(F.col("a2").isNotNull() & F.col("b2").isNotNull(), F.when(T.ref_key(F.col("a2")) == T.ref_key(F.col("b2")), F.col("a2"))).otherwise(F.coalesce("a2", "b2"))
+    same = lambda a, b: (T.ref_key(F.col(a)) == T.ref_key(F.col(b))) & (T.ref_key(F.col(a)) != "")
+    near = F.when(F.col("a1").isNotNull() & F.col("b1").isNotNull(), F.when(same("a1", "b1"), F.col("a1"))).otherwise(F.coalesce("a1", "b1"))
+    far = F.when(F.col("a2").isNotNull() & F.col("b2").isNotNull(), F.when(same("a2", "b2"), F.col("a2"))).otherwise(F.coalesce("a2", "b2"))
     none = F.col("a1").isNull() & F.col("b1").isNull()
     return rows.where(F.col("line").rlike(r"!\[[^\]]*\]\([^)]*\)")).select("doc_id", "line_no", F.coalesce(F.nullif("own", F.lit("")), F.when(none, far).otherwise(near)).alias("caption"))
 

@@ -32,6 +32,13 @@ records AS (SELECT 'kb-' || source AS kb_id, 'd' || doc_id AS data_id, chunk_ind
   body, CASE WHEN chunk_index % 3 = 2 THEN left(body, 30) ELSE '' END AS caption, '图 ' || (doc_id % 9) || '－' || chunk_index AS label, doc_id FROM lines)"""
 
 
+# The first figure or table number of a text, half-width and with one kind of dash and dot; REF takes at most three digits.
+_WIDE = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　–—·"
+_HALF = ("".join(chr(x - 0xFEE0) for x in range(0xFF01, 0xFF5F)) + " --.").replace("'", "''")
+_NUMBER = "(图|表)\\s*([0-9]{{1,3}}(?:\\s*[-.]\\s*[0-9]{{1,3}}){{0,3}})"
+REF_KEY = f"regexp_replace(regexp_extract(translate({{0}}, '{_WIDE}', '{_HALF.replace('{', '{{').replace('}', '}}')}'), '{_NUMBER}', 0), '\\s+', '', 'g')"
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a message board."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("author"), F.col("event_type").alias("content"), F.col("ts").alias("created_at"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import chunking, control, lookups, maintenance, sessions, tree
-from marlstone.plans.inputs import RECORDS, records, table
+from marlstone.plans.inputs import RECORDS, REF_KEY, records, table
 
 QUERIES, SQL = {}, {}
 
@@ -67,6 +67,28 @@ def g6(spark, d):
     return lookups.captions(records(spark, d).where("chunk_index < 2").select("doc_id", F.col("chunk_index").cast("int").alias("line_no"), line.alias("line"))).where("line_no = 1")
 
 
+# Each line of kind image is an image before its own text, by document: on one line with it, or with blank lines between
+# it and what is above, or above and below. Odd documents name every other figure on both sides of its image.
+_G6 = f"""WITH {RECORDS}, b AS (SELECT doc_id, chunk_index, kind, CASE WHEN doc_id % 2 = 1 AND chunk_index % 3 > 0 AND (chunk_index - 1) // 3 % 2 = 0 THEN '图 ' || (chunk_index - 1) // 3 % 500 || '： ' || body ELSE body END AS body FROM records),
+a AS (SELECT doc_id, chunk_index, CASE WHEN kind <> 'image' THEN [body] WHEN doc_id % 8 < 2 THEN ['![x](y.png) ' || body] WHEN doc_id % 8 < 4 THEN ['![x](y.png)', body] WHEN doc_id % 8 < 6 THEN ['', '![x](y.png)', body] ELSE ['', '![x](y.png)', '', body] END AS ls FROM b),
+l AS (SELECT doc_id, chunk_index * 4 + i AS line_no, ls[i + 1] AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM a)),
+n AS (SELECT doc_id, line_no, line, nullif(regexp_replace(regexp_replace(line, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'), '') AS own,
+  nullif(trim(lag(line) OVER w), '') AS a1, nullif(trim(lag(line, 2) OVER w), '') AS a2, nullif(trim(lead(line) OVER w), '') AS b1, nullif(trim(lead(line, 2) OVER w), '') AS b2 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+m AS (SELECT *, CASE WHEN coalesce(a1, b1) IS NULL THEN a2 ELSE a1 END AS a, CASE WHEN coalesce(a1, b1) IS NULL THEN b2 ELSE b1 END AS b FROM n WHERE regexp_matches(line, '!\\[[^\\]]*\\]\\([^)]*\\)'))
+SELECT doc_id, line_no, coalesce(own, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN {REF_KEY.format("a")} = {REF_KEY.format("b")} AND {REF_KEY.format("a")} <> '' THEN a END) AS caption FROM m"""
+
+
+@query("g6_captions_whole", _G6)
+def g6_all(spark, d):
+    c, n = F.col("chunk_index"), F.expr("(chunk_index - 1) div 3")
+    named = (F.col("doc_id") % 2 == 1) & (c % 3 > 0) & (n % 2 == 0)
+    body = F.when(named, F.concat(F.lit("图 "), (n % 500).cast("string"), F.lit("： "), "body")).otherwise(F.col("body"))
+    image, blank, k = F.lit("![x](y.png)"), F.lit(""), F.col("doc_id") % 8
+    ls = F.when(F.col("kind") != "image", F.array("body")).when(k < 2, F.array(F.concat(image, F.lit(" "), "body"))).when(k < 4, F.array(image, "body")).when(k < 6, F.array(blank, image, "body")).otherwise(F.array(blank, image, blank, "body"))
+    rows = records(spark, d).withColumn("body", body).select("doc_id", "chunk_index", F.posexplode(ls).alias("i", "line"))
+    return lookups.captions(rows.select("doc_id", (c * 4 + F.col("i")).alias("line_no"), "line"))
+
+
 @query("g8_near_text", f"WITH {RECORDS} SELECT doc_id, chunk_index AS line_no, coalesce(string_agg(nullif(trim(body), ''), ' ') OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), '') AS near FROM records")
 def g8(spark, d):
     return lookups.near_text(records(spark, d).select("doc_id", F.col("chunk_index").alias("line_no"), F.col("body").alias("line")), 1).select("doc_id", "line_no", "near")

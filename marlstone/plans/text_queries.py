@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.plans.inputs import RECORDS, records, table
+from marlstone.plans.inputs import RECORDS, REF_KEY, records, table
 
 QUERIES, SQL = {}, {}
 
@@ -124,6 +124,11 @@ def g4(spark, d):
     return records(spark, d).where("chunk_index < 1000").select("data_id", "chunk_index", T.ref_key(F.concat(F.lit("见 "), "label", F.lit("。"))).alias("ref_key"))
 
 
+@query("g4_ref_key_whole", f"WITH {RECORDS} SELECT data_id, chunk_index, {REF_KEY.format("'见 ' || label || '。'")} AS ref_key FROM records")
+def g4_all(spark, d):
+    return records(spark, d).select("data_id", "chunk_index", T.ref_key(F.concat(F.lit("见 "), "label", F.lit("。"))).alias("ref_key"))
+
+
 @query("g5_ref_candidates", f"WITH {RECORDS} SELECT data_id, chunk_index, '图 ' || (doc_id % 9) || ' 表2-1' AS found FROM records")
 def g5(spark, d):
     t = F.concat(F.lit("见图　"), F.translate((F.col("doc_id") % 9).cast("string"), "0123456789", "０１２３４５６７８９"), F.lit("，表2-1；表2-1 "))
