@@ -67,6 +67,13 @@ def g6(spark, d):
     return lookups.captions(records(spark, d).where("chunk_index < 2").select("doc_id", F.col("chunk_index").cast("int").alias("line_no"), line.alias("line"))).where("line_no = 1")
 
 
+@query("g1_image_references_whole")
+def g1_all(spark, d):
+    i = F.col("doc_id").cast("string")
+    t = F.concat(F.lit("![ cat "), i, F.lit("](img/"), i, F.lit('.png "t") '), F.coalesce("text", F.lit("")), F.lit(" ![x](http://a/b.png)"))
+    return lookups.image_references(table(spark, d, "documents").select("doc_id", t.alias("text")))
+
+
 # Each line of kind image is an image before its own text, by document: on one line with it, or with blank lines between
 # it and what is above, or above and below. Odd documents name every other figure on both sides of its image.
 _G6 = f"""WITH {RECORDS}, b AS (SELECT doc_id, chunk_index, kind, CASE WHEN doc_id % 2 = 1 AND chunk_index % 3 > 0 AND (chunk_index - 1) // 3 % 2 = 0 THEN '图 ' || (chunk_index - 1) // 3 % 500 || '： ' || body ELSE body END AS body FROM records),

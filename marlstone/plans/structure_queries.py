@@ -41,6 +41,14 @@ def k2(spark, d):
     return rows.where("line_no > 3").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "header_path")
 
 
+@query("k2_sections_whole")
+def k2_all(spark, d):
+    """All lines of all documents; SQL can't say what their own headings, fences and formulas give."""
+    text = F.concat(F.lit("# Source "), "source", F.lit("\n\n## Document <b>"), F.col("doc_id").cast("string"), F.lit("</b> ##\n\n"), F.coalesce("text", F.lit("")))
+    rows = chunking.sections(chunking.classified(chunking.lines(table(spark, d, "documents").select("doc_id", text.alias("text")))))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "header_path")
+
+
 @query("k10_html_tables")
 def k10(spark, d):
     t = F.concat(F.lit("<table><tr><th rowspan=2>page</th><th colspan=2>url</th></tr><tr><th>a</th><th>b</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), "url", F.lit("</td></tr></table>"), "html")
@@ -64,6 +72,13 @@ def k19(spark, d):
     return chunking.checklist(_markdown(spark, d).join(docs, "doc_id", "left_semi"))
 
 
+@query("k19_checklist_whole")
+def k19_all(spark, d):
+    docs = table(spark, d, "documents")
+    text = F.concat(F.lit("- [x] read\n- [ ] keep "), F.coalesce("lang", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return chunking.checklist(docs.select("doc_id", text.alias("text")))
+
+
 @query("x5_label", "SELECT page_id, 'a & b ' || page_id AS label FROM pages")
 def x5(spark, d):
     return table(spark, d, "pages").select("page_id", U.label(F.concat(F.lit(" **a &amp;  <b>b</b> "), F.col("page_id").cast("string"), F.lit("** "))).alias("label"))

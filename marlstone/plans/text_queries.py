@@ -215,6 +215,12 @@ def x14(spark, d):
     return table(spark, d, "documents").where(~F.contains("text", F.lit("<"))).select("doc_id", T.visible(t).alias("visible"))
 
 
+@query("x14_visible_whole")
+def x14_all(spark, d):
+    t = F.concat(F.lit("<thinking a>x\ny</thinking><tool_use>{}</tool_use>"), F.coalesce("text", F.lit("")), F.lit(" <function = run.it> rest"))
+    return table(spark, d, "documents").select("doc_id", T.visible(t).alias("visible"))
+
+
 @query("x15_last_code_block", "SELECT doc_id, regexp_replace(left(text, 30), '\\A\\s+|\\s+\\z', '', 'g') AS code FROM documents")
 def x15(spark, d):
     t = F.concat(F.lit("```py\nfirst\n```\n```bash\nls\n```\n```python\n"), F.left("text", F.lit(30)), F.lit("\n```"))
