@@ -94,7 +94,8 @@ def drop_prompts(sections: DataFrame) -> DataFrame:
 
 def archivable(sessions: DataFrame, archived: DataFrame, now, keep: int = 10, hours: int = 2, least: int = 4500) -> DataFrame:
     """Sessions to archive: not of the newest, not touched of late, large enough, not there yet; with their month."""
-    older = sessions.withColumn("k", F.row_number().over(Window.orderBy(F.desc("mtime"), "name"))).where(F.col("k") > keep).drop("k")
+    newest = sessions.orderBy(F.desc("mtime"), "name").limit(keep).select(F.col("name").alias("_newest"))
+    older = sessions.join(F.broadcast(newest), F.col("name").eqNullSafe(F.col("_newest")), "left_anti")
     old = (F.lit(now) - F.col("mtime")) >= F.expr(f"interval {hours} hours")
     return older.where(old & (F.col("size") >= least)).join(archived, "name", "left_anti").withColumn("month", F.date_format("mtime", "yyyy-MM"))
 
