@@ -43,11 +43,11 @@ class Workspace:
         saved._marlstone_path = where
         return saved
 
-    def drop(self, saved: DataFrame) -> None:
-        """Delete a table of save() that no later plan reads."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(saved._marlstone_path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *saved: DataFrame) -> None:
+        """Delete tables of save() that no later plan reads."""
+        for s in saved:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(s._marlstone_path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
