@@ -1,9 +1,12 @@
 """Operator 1: token ids in flat binary files with 64-bit document offsets, read back through memory maps.
 
-A data set is a folder.  Each part has three files: ``.ids`` (unsigned 16-bit where the vocabulary allows, else
-32-bit, little-endian), ``.offsets`` (unsigned 64-bit, one more than documents, counted over the whole data set) and
-``.docs`` (signed 64-bit document ids; the least one stands for null).  Parts and documents ascend by doc_id.
-Where a part begins comes from prefix sums of the parts' totals.
+A data set is a folder and the table of its parts.  Each part has three files: ``.ids`` (unsigned 16-bit where the
+vocabulary allows, else 32-bit, little-endian), ``.offsets`` (unsigned 64-bit, one more than documents, counted over
+the whole data set) and ``.docs`` (signed 64-bit document ids; the least one stands for null).  Parts and documents
+ascend by doc_id.  Where a part begins comes from prefix sums of the parts' totals.
+
+Every attempt of a task writes files of its own name, which is in the table only if the attempt is the one that
+counts.  Nothing is renamed or overwritten, so tasks can fail, run again or twice on any store.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.common import Memo, Workspace, documents, partitions
 from marlstone.llm.pretokens import units
@@ -34,7 +38,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the library takes for one token wherever they stand: texts that hold one go to it whole
+        self._added = [t.content for t in self._t.get_added_tokens_decoder().values()]
         self._dtype = dtype
         end = self._t.encode("\n", add_special_tokens=False).ids
         self._line_end = end[0] if len(end) == 1 else None
@@ -63,6 +68,8 @@ class _Encoder:
         return [out[x] for x in new]
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self._added):
+            return np.array(self._t.encode(text, add_special_tokens=False).ids, self._dtype).tobytes()
         return b"".join(self._units.many(units(text)))
 
 
@@ -83,13 +90,10 @@ def _open(uri: str):
 
 
 def _put(uri: str, chunks) -> None:
-    """Write under a name of this attempt, then rename: a task that runs again or twice leaves one whole file."""
     fs, path = _open(uri)
-    mine = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(mine) as out:
+    with fs.open_output_stream(path) as out:
         for c in chunks:
             out.write(c)
-    fs.move(mine, path)
 
 
 def _array(uri: str, dtype: str) -> np.ndarray:
@@ -104,8 +108,10 @@ def _array(uri: str, dtype: str) -> np.ndarray:
 def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, parts: int | None = None) -> DataFrame:
     """Encode every whole text (null: empty), append end_id, write the files; returns the table of parts.
 
-    Columns: part, path, n_docs, n_tokens, base (tokens of all parts before).  Documents of one id stand side by side
-    in the order of their texts; null ids come first.  An empty table gives no parts.
+    Columns: part, path (without the files' endings), n_docs, n_tokens, base (tokens of all parts before).  Documents
+    of one id stand side by side, in the order of their texts' hashes, so that a frequent id can fill many parts; null
+    ids come first.  Texts are encoded as the library does it, strings of its added tokens included.  An empty table
+    gives no parts.
     """
     dtype = id_dtype(tokenizer_path)
     fs, path = _open(folder)
@@ -116,7 +122,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, dtype)
         part = TaskContext.get().partitionId()
-        where = f"{folder}/part-{part:06d}"
+        where = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
         ids, lens = [], []
 
         def chunks():
@@ -136,25 +142,29 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [where], "n_docs": pa.array([len(lens)], pa.int64()), "n_tokens": pa.array([int(sum(lens))], pa.int64())})
 
     n = parts or partitions(spark)
-    ranged = documents(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = Workspace(spark, "token-parts").save(ranged.mapInArrow(encode, "part int, path string, n_docs long, n_tokens long"), "parts")
+    hashed = documents(docs).withColumn("h", F.xxhash64("text"))
+    ranged = hashed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    done = Workspace(spark, "token-parts").save(ranged.select("doc_id", "text").mapInArrow(encode, "part int, path string, n_docs long, n_tokens long"), "parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
     return done.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def finish(spark: SparkSession, parts: DataFrame) -> DataFrame:
-    """Second pass: each part's lengths become offsets in the whole data set.  Returns the parts again, now complete."""
+    """Second pass: each part's lengths become offsets in the whole data set.  Returns the parts with the column
+    offsets, the name of that file."""
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            names = []
             for path, base in zip(b["path"].to_pylist(), b["base"].to_pylist(), strict=True):
                 lens = _array(f"{path}.lens", "<u8")
                 at = np.concatenate([[0], np.cumsum(lens)]).astype("<u8") + np.uint64(base)
-                _put(f"{path}.offsets", [at.astype("<u8").tobytes()])
-            yield b
+                names.append(f"{path}-{uuid.uuid4().hex}.offsets")
+                _put(names[-1], [at.astype("<u8").tobytes()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string())], [*b.schema.names, "offsets"])
 
     spread = parts.repartition(partitions(spark))
-    return Workspace(spark, "token-parts").save(spread.mapInArrow(offsets, parts.schema), "offsets")
+    return Workspace(spark, "token-parts").save(spread.mapInArrow(offsets, T.StructType([*parts.schema.fields, T.StructField("offsets", T.StringType())])), "offsets")
 
 
 def read(spark: SparkSession, parts: DataFrame, dtype: str, digest: bool = False) -> DataFrame:
@@ -163,8 +173,8 @@ def read(spark: SparkSession, parts: DataFrame, dtype: str, digest: bool = False
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b["path"].to_pylist():
-                docs, at, ids = _array(f"{path}.docs", "<i8"), _array(f"{path}.offsets", "<u8"), _array(f"{path}.ids", dtype)
+            for path, offsets in zip(b["path"].to_pylist(), b["offsets"].to_pylist(), strict=True):
+                docs, at, ids = _array(f"{path}.docs", "<i8"), _array(offsets, "<u8"), _array(f"{path}.ids", dtype)
                 base = int(at[0])
                 for i in range(0, len(docs), 1000):
                     own = np.asarray(docs[i : i + 1000])
@@ -173,4 +183,4 @@ def read(spark: SparkSession, parts: DataFrame, dtype: str, digest: bool = False
                     last = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in texts], pa.int64()) if digest else pa.array([x.astype(np.int64) for x in texts], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=own == _NULL_ID), pa.array(cut[:-1]), pa.array(np.diff(cut)), last], ["doc_id", "start", "n_tokens", kind.split()[0]])
 
-    return parts.select("path").repartition(partitions(spark)).mapInArrow(load, f"doc_id long, start long, n_tokens long, {kind}")
+    return parts.select("path", "offsets").repartition(partitions(spark)).mapInArrow(load, f"doc_id long, start long, n_tokens long, {kind}")
