@@ -2,19 +2,25 @@
 
 Jaccard distance is a metric, but unrelated texts are all at distance 1, where pivots tell nothing apart.  So the
 space is first cut exactly: linked sets share one of their least shingles in a common order (frequent ones last), and
-texts that no chain of such shingles joins are never compared.  Blocks that fit a task are joined there.  Larger ones
-are cut by pivots into Voronoi regions; a text goes to its nearest pivot's region and, by the triangle inequality,
-also to each whose pivot is at most twice the radius farther; regions are joined in the same way, recursively.  A region that
-pivots don't cut is joined in a grid of bounded tasks.  Tasks give out a spanning forest of the links, not all pairs.
+texts that no chain of such shingles joins are never compared.
+
+The blocks left are joined by pivots.  Distances to a few pivots give their links at once.  A text so near a pivot
+that by the triangle inequality nothing outside the pivot's links can be linked to it is done, so a dense group is
+gone after one round.  The others go to their nearest pivot's Voronoi region and to each whose pivot is at most twice
+the radius farther; regions are joined in the same way, recursively, with new pivots.  Blocks over BLOCK_TEXTS are cut
+in rounds of Spark jobs until their regions fit a task, which goes on by itself down to regions of LEAF texts.
+What pivots can't cut is dealt by the distance to one pivot into chunks, of which only those in each other's window
+meet.  Tasks give out a spanning forest of the links, not all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import Workspace, documents, partitions
@@ -23,12 +29,16 @@ from marlstone.llm.components import components
 WIDTH = 5
 PERCENT = 75
 #: What one task joins at once: texts and shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 4_000, 4_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 2_000_000
+#: Regions of so many texts are joined text by text.
+LEAF = 32
+#: Where so many texts near the borders of regions make more copies than this of each, regions would repeat the work.
+CROWDED = 1.5
 #: Size of the list of frequent shingles that every task gets (8 bytes each); only speed depends on it.
 HOT_SHINGLES = 1 << 20
 #: Texts that share a prefix shingle are taken two by two up to this number, as one block beyond it.
 PAIRED = 64
-_PIVOTS, _DEPTH = 8, 3
+_PIVOTS, _DEPTH = 8, 4
 BROADCAST_ROWS = 1_000_000
 
 
@@ -109,12 +119,13 @@ def _candidates(ws: Workspace, classes: DataFrame, percent: int) -> DataFrame:
 
     Where few texts share a shingle, each two are counted: common shingles of both prefixes (counted exactly), plus at
     most what stands behind the longer rest, must reach the overlap that their sizes ask for.  Shingles with the same
-    texts are counted together.  Where many share one, all are tied to the least of them instead: no pairs are made.
+    texts are counted together.  Where many share one, those whose sizes allow a link are tied to the least of them
+    instead: no pairs are made.
     """
     shared = classes.select("rep", "n", F.explode("prefix").alias("s"))
-    w = Window.partitionBy("s")
-    met = shared.withColumns({"g": F.count("*").over(w), "lead": F.min("rep").over(w)}).where("g > 1")
-    met = ws.save(met, "shared")
+    # counted with partial sums and joined back, so that no task holds all texts of a frequent shingle
+    many = shared.groupBy("s").agg(F.count("*").alias("g")).where("g > 1")
+    met = ws.save(shared.join(many, "s"), "shared")
     texts = F.array_sort(F.collect_list(F.struct("rep", "n")))
     groups = met.where(F.col("g") <= PAIRED).groupBy("s").agg(texts.alias("m")).groupBy("m").agg(F.count("*").alias("c"))
     two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, PAIRED), lambda y: F.struct(x["rep"].alias("a"), x["n"].alias("na"), y["rep"].alias("b"), y["n"].alias("nb")))))
@@ -123,13 +134,17 @@ def _candidates(ws: Workspace, classes: DataFrame, percent: int) -> DataFrame:
     behind = F.ceil(F.greatest("na", "nb") * percent / 100 - 1e-9) - 1
     wanted = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
     likely = pairs.where(F.col("c") + behind >= wanted).select("a", "b")
-    tied = met.where((F.col("g") > PAIRED) & (F.col("lead") < F.col("rep"))).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    # sizes of linked texts differ by a factor of at most 100 / percent: each text is in its own class of sizes and the next
+    band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
+    hot = met.where(F.col("g") > PAIRED).select("s", "rep", F.explode(F.array(band, band + 1)).alias("band"))
+    leads = hot.groupBy("s", "band").agg(F.min("rep").alias("lead"))
+    tied = hot.join(leads, ["s", "band"]).where("lead < rep").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     return likely.unionByName(tied).distinct()
 
 
 def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links enough to connect what is linked.  Each text is compared through an inverted index with those not yet
-    reached, so a dense group takes little more than one pass."""
+    """Links enough to connect what is linked in a small region or one that pivots can't cut: each text is compared
+    with those not yet reached."""
     m = len(ids)
     size = np.array([len(s) for s in sets], np.int64)
     bounds = np.concatenate([[0], np.cumsum(size)])
@@ -161,6 +176,48 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
+def voronoi(ids: list[int], sets: list[np.ndarray], percent: int, seed: int = 0) -> list[tuple[int, int]]:
+    """Links enough to connect what is linked among texts that fit a task, by pivots and regions, recursively."""
+    if len(ids) <= LEAF:
+        return forest(ids, sets, percent)
+    size = np.array([len(x) for x in sets], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    kinds, token = np.unique(np.concatenate(sets), return_inverse=True)
+    radius = (100 - percent) / 100 + 1e-9
+    out: list[tuple[int, int]] = []
+    open_ = np.ones(len(ids), bool)
+    distance, farthest = [], np.full(len(ids), np.inf)
+    pivot = seed % len(ids)
+    for _ in range(_PIVOTS):
+        mark = np.zeros(len(kinds), bool)
+        mark[token[begin[pivot] : begin[pivot] + size[pivot]]] = True
+        common = np.add.reduceat(mark[token], begin)
+        union = size + size[pivot] - common
+        d = 1 - common / union
+        linked = 100 * common >= percent * union
+        out += [(ids[pivot], ids[i]) for i in np.flatnonzero(linked).tolist() if i != pivot]
+        # nothing outside the pivot's links is within the radius of those so near to it
+        outside = d[~linked].min(initial=np.inf)
+        open_ &= ~(linked & (d < outside - radius))
+        open_[pivot] = False
+        distance.append(d)
+        farthest = np.minimum(farthest, d)
+        left = np.where(open_, farthest, -1)
+        pivot = int(left.argmax())  # the open text farthest from all pivots
+        if left[pivot] < 0:
+            return out
+    d = np.array(distance)
+    inside = (d <= d.min(0) + 2 * radius) & open_
+    if inside.sum() > CROWDED * open_.sum() or inside.sum(1).max() > 0.7 * open_.sum():  # regions would repeat the work
+        rest = np.flatnonzero(open_)
+        return out + forest([ids[i] for i in rest], [sets[i] for i in rest], percent)
+    for region in inside:
+        rest = np.flatnonzero(region)
+        if len(rest) > 1:
+            out += voronoi([ids[i] for i in rest], [sets[i] for i in rest], percent, seed + 1)
+    return out
+
+
 def _joined(rows: DataFrame, key: list[str], percent: int, width: int) -> DataFrame:
     """Links (a, b) inside each group of rows (key, id, text); a group is one that fits a task."""
 
@@ -169,7 +226,7 @@ def _joined(rows: DataFrame, key: list[str], percent: int, width: int) -> DataFr
 
         def links() -> Iterator[pa.RecordBatch]:
             if len(own) > 1:
-                found = forest([i for i, _ in own], list(own.values()), percent)
+                found = voronoi([i for i, _ in own], list(own.values()), percent)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
@@ -191,47 +248,73 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles")).withColumn("large", (F.col("texts") > BLOCK_TEXTS) | (F.col("shingles") > BLOCK_SHINGLES))
 
 
-def _cut(ws: Workspace, rows: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(links to pivots, rows dealt to the Voronoi regions of their blocks, boundary texts to several)."""
-    hashed = rows.withColumn("h", F.xxhash64("id", "text"))
+def _measure(ws: Workspace, rows: DataFrame, percent: int, width: int, depth: int) -> DataFrame:
+    """rows with d and linked (distances to their block's pivots, and whether linked to them) and p (the pivots' ids);
+    other pivots at each depth."""
+    hashed = rows.withColumn("h", F.xxhash64("id", "text", F.lit(depth)))
     pivots = hashed.groupBy("block", F.pmod("h", F.lit(_PIVOTS)).alias("j")).agg(F.min(F.struct("h", "id", "text")).alias("p"))
     pivots = ws.save(pivots.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("pivots")), "pivots")  # at most _PIVOTS a block
-    both = rows.join(pivots, "block")
-    slack = 2 * (100 - percent) / 100 + 1e-9
+    both = rows.join(pivots, "block")  # AQE splits a large block's side
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, [])
         for b in batches:
-            out: list[tuple] = []
-            for block, i, n, t, pivots_ in zip(b["block"].to_pylist(), b["id"].to_pylist(), b["n"].to_pylist(), _texts(b), b["pivots"], strict=True):
+            d, linked, p = [], [], []
+            for block, t, pivots_ in zip(b["block"].to_pylist(), _texts(b), b["pivots"], strict=True):
                 if known[0] != block:
-                    known = (block, [(p["id"], shingle_set(p["text"], width)) for p in pivots_.as_py()])
+                    known = (block, [(x["id"], shingle_set(x["text"], width)) for x in pivots_.as_py()])
                 s = shingle_set(t, width)
-                distance = []
-                for _, p in known[1]:
-                    common = np.intersect1d(s, p, assume_unique=True).size
-                    distance.append(1 - common / (len(s) + len(p) - common))
-                near = min(distance)
-                for (p, _), d in zip(known[1], distance, strict=True):
-                    if d <= (100 - percent) / 100 + 1e-12 and p != i:
-                        out.append((None, i, None, None, p))
-                    if d <= near + slack:
-                        out.append((f"{block}/{p}", i, n, t, None))
-            if out:
-                block, i, n, t, p = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(t, pa.string()), pa.array(p, pa.int64())], ["block", "id", "n", "text", "pivot"])
-
-    dealt = ws.save(both.mapInArrow(run, "block string, id long, n long, text string, pivot long"), "regions")
-    return dealt.where("pivot is not null").select(F.col("id").alias("a"), F.col("pivot").alias("b")), dealt.where("pivot is null").drop("pivot")
-
-
-def _grid(rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links inside blocks of any size: chunks of bounded size meet two by two, each two in a task of their own."""
-    count = rows.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / (BLOCK_TEXTS / 2)), F.ceil(F.sum("n") / (BLOCK_SHINGLES / 2))).cast("int").alias("k"))
-    chunked = rows.join(count, "block").withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.col("k")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("chunk")).alias("x"), F.greatest(j, F.col("chunk")).alias("y")))
-    dealt = chunked.select("block", "id", "text", F.explode(meet).alias("cell")).select("block", "cell.x", "cell.y", "id", "text")
-    return _joined(dealt, ["block", "x", "y"], percent, width)
+                common = [(np.intersect1d(s, x, assume_unique=True).size, len(s) + len(x)) for _, x in known[1]]
+                d.append([1 - c / (both_ - c) for c, both_ in common])
+                linked.append([100 * c >= percent * (both_ - c) for c, both_ in common])
+                p.append([i for i, _ in known[1]])
+            lists = pa.array(d, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.bool_())), pa.array(p, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["block"], b["id"], b["n"], b["text"], *lists], ["block", "id", "n", "text", "d", "linked", "p"])
+
+    found = both.select("block", "id", "n", "text", "pivots").mapInArrow(run, "block string, id long, n long, text string, d array<double>, linked array<boolean>, p array<long>")
+    return ws.save(found, "measured")
+
+
+def _cut(ws: Workspace, rows: DataFrame, percent: int, width: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links to pivots, open rows dealt to the Voronoi regions of their blocks, boundary texts to several; open rows
+    of blocks that pivots don't cut, with at, the distance to the first pivot)."""
+    radius = (100 - percent) / 100 + 1e-9
+    measured = _measure(ws, rows, percent, width, depth)
+    each = measured.select("block", "id", F.posexplode(F.arrays_zip("d", "p", "linked")).alias("j", "x")).select("block", "id", "j", "x.d", "x.p", "x.linked")
+    pivot_links = ws.save(each.where("linked and p <> id").select(F.col("id").alias("a"), F.col("p").alias("b")), "links")
+    outside = each.where("not linked").groupBy("block", "j").agg(F.min("d").alias("d"))
+    outside = ws.save(outside.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("j", "d"))).alias("outside")), "outside")
+    beyond = F.transform("d", lambda x, j: F.coalesce(F.try_element_at("outside", j), F.lit(2.0)) - radius > x)
+    done = F.array_contains("p", F.col("id")) | F.exists(F.arrays_zip(F.col("linked"), beyond.alias("far")), lambda x: x["linked"] & x["far"])
+    left = ws.save(measured.join(outside, "block", "left").where(~done).drop("outside", "linked", "p"), "open")
+    near = F.array_min("d") + 2 * radius
+    own = F.filter(F.transform("d", lambda x, j: F.when(x <= near, j)), lambda j: j.isNotNull())
+    sizes = left.select("block", "n", F.size(own).alias("k")).groupBy("block").agg(F.sum("k").alias("copies"), F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    large = (F.col("texts") > BLOCK_TEXTS) | (F.col("shingles") > BLOCK_SHINGLES)
+    way = F.when(~large, "whole").when(F.col("copies") > CROWDED * F.col("texts"), "stuck").otherwise("cut")
+    left = left.join(ws.save(sizes.select("block", way.alias("way")), "ways"), "block")
+    to = F.explode(F.when(F.col("way") == "whole", F.array(F.lit(-1))).otherwise(own)).alias("j")
+    regions = left.where("way <> 'stuck'").select("id", "n", "text", "block", to).select(F.concat_ws("/", "block", "j").alias("block"), "id", "n", "text")
+    stuck = left.where("way = 'stuck'").select("block", "id", "n", "text", F.col("d")[0].alias("at"))
+    return pivot_links, ws.save(regions, "regions"), ws.save(stuck, "stuck")
+
+
+def _chunked(ws: Workspace, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links inside blocks that pivots don't cut (block, id, n, text, at).  Texts are dealt by their distance to one
+    pivot into chunks that fit a task; a chunk meets those that begin within the radius behind its end only."""
+    radius = (100 - percent) / 100 + 1e-9
+    step = radius / 16  # cells of distance; a cell of many texts has several chunks
+    celled = rows.withColumn("cell", F.floor(F.col("at") / step).cast("int"))
+    sizes = celled.groupBy("block", "cell").agg(F.greatest(F.ceil(F.count("*") / (BLOCK_TEXTS / 2)), F.ceil(F.sum("n") / (BLOCK_SHINGLES / 2))).cast("int").alias("k"))
+    sizes = ws.save(sizes, "cells")  # a row for each of at most 65 cells of a block
+    near = sizes.alias("x").join(sizes.select("block", F.col("cell").alias("to"), F.col("k").alias("many")).alias("y"), "block").where(F.abs(F.col("to") - F.col("cell")) <= 17)
+    near = near.groupBy("block", "cell", "k").agg(F.collect_list(F.struct("to", "many")).alias("others"))
+    placed = celled.join(near, ["block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.col("k")).cast("int"))
+    own = F.struct(F.col("cell").alias("c"), F.col("chunk").alias("i"))
+    cells = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["many"] - 1), lambda i: F.struct(o["to"].alias("c"), i.cast("int").alias("i")))))
+    meet = F.transform(cells, lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
+    dealt = placed.select("block", "id", "text", F.explode(meet).alias("m")).select("block", F.concat_ws("-", "m.x.c", "m.x.i", "m.y.c", "m.y.i").alias("pair"), "id", "text")
+    return _joined(dealt, ["block", "pair"], percent, width)
 
 
 def links(spark: SparkSession, ws: Workspace, rows: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -245,19 +328,11 @@ def links(spark: SparkSession, ws: Workspace, rows: DataFrame, percent: int = PE
         if not large:
             break
         rows = rows.join(sizes.where("large").select("block"), "block", "left_semi")
+        pivot_links, regions, stuck = _cut(ws, rows, percent, width, depth)
+        found += [pivot_links, ws.save(_chunked(ws, stuck, percent, width), "links")]
+        rows = regions
         if depth == _DEPTH:
-            found.append(ws.save(_grid(rows, percent, width), "links"))
-            break
-        pivot_links, regions = _cut(ws, rows, percent, width)
-        found.append(pivot_links)
-        # a region as large as its block: pivots can't cut it
-        parent = sizes.select(F.col("block").alias("parent"), F.col("texts").alias("of"))
-        stuck = _sizes(regions).where("large").withColumn("parent", F.regexp_replace("block", "/[^/]*$", "")).join(parent, "parent").where("texts > 0.8 * of").select("parent").distinct()
-        stuck = ws.save(stuck, "stuck")
-        if stuck.count():
-            found.append(ws.save(_grid(rows.join(stuck, F.col("block") == F.col("parent"), "left_semi"), percent, width), "links"))
-            regions = regions.withColumn("parent", F.regexp_replace("block", "/[^/]*$", "")).join(stuck, "parent", "left_anti").drop("parent")
-        rows = ws.save(regions, "regions")
+            found.append(ws.save(_chunked(ws, rows.withColumn("at", F.lit(0.0)), percent, width), "links"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
