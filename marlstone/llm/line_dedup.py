@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import Workspace
 
-MIN_CHARS = 10
+#: Lines of fewer characters are compared for equality only: one edit makes "1." of "2.".
+EDIT_CHARS = 10
 FINE = 8
+_BLANKS = " \t\r\v\f"
 #: Ids of up to so many lines (16 bytes each) are broadcast after they are counted; more are shuffled.
 BROADCAST_LINES = 1_000_000
 
@@ -51,12 +53,18 @@ def _parts(n: Column, line: Column, segments: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(2 * segments - 1)), part)
 
 
+def _trimmed(line: Column) -> Column:
+    """Without ASCII white space at both ends; the general trim is slow and only runs where more than spaces stand there."""
+    t = F.trim(line)
+    return F.when((F.ascii(t) <= 32) | (F.ascii(F.right(t, F.lit(1))) <= 32), F.btrim(t, F.lit(_BLANKS))).otherwise(t)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed), chars, h1, h2 of lines that are long enough."""
-    trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))
+    """doc_id, line_no (from 0), line (trimmed), chars, h1, h2 of lines that aren't blank."""
+    trimmed = F.transform(F.split("text", "\n", -1), _trimmed)
     sized = F.transform(trimmed, lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))  # lengths are taken once
     cut = docs.select("doc_id", F.posexplode(sized).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.chars")
-    return cut.where(F.col("chars") >= MIN_CHARS).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    return cut.where(F.col("chars") > 0).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def _shared(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -91,20 +99,20 @@ def near_earlier(spark: SparkSession, ws: Workspace, docs: DataFrame, distinct:
     return ws.save(near.select("h1", "h2").distinct(), "near")
 
 
-def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1) -> DataFrame:
+def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """doc_id, removed (array of line numbers from 0) of documents that lose lines.
 
-    Lines are parts between line ends, compared without white space at their ends; lines under MIN_CHARS characters
-    stay.  Of equal lines the first by (doc_id, line number) stays, null ids first; a line also goes if a line within
-    bound edits (0 or 1 characters) occurs earlier, even one that goes itself.  Rows of one doc_id are one place:
-    equal rows are treated alike.
+    Lines are parts between line ends, compared without ASCII white space at their ends; blank lines stay.  Of equal
+    lines the first by (doc_id, line number) stays, null ids first; a line of edit_chars characters or more also goes
+    if such a line within bound edits (0 or 1 characters) occurs earlier, even one that goes itself.  Rows of one
+    doc_id are one place: equal rows are treated alike.
     """
     if bound not in (0, 1):
         raise ValueError("bound is 0 or 1")
     ws = Workspace(spark, "line-dedup")
     lines = _lines(docs)
     keys = [F.first("keys", True).alias("keys")] if bound else []
-    keyed = lines.withColumn("keys", _halves(F.col("chars"), F.col("line"))) if bound else lines
+    keyed = lines.withColumn("keys", F.when(F.col("chars") >= edit_chars, _halves(F.col("chars"), F.col("line")))) if bound else lines
     distinct = ws.save(keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *keys), "distinct")
     several = distinct.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     if bound:
@@ -116,12 +124,12 @@ def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1) -> DataF
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, bound: int = 1) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """The rows of docs with text, n_lines and n_removed: text has lost the lines of removed_lines().
 
     Null texts stay null with 0 lines; a text whose lines all go becomes empty.
     """
-    gone = Workspace(spark, "line-dedup").save(removed_lines(spark, docs, bound), "removed").select(F.col("doc_id").alias("_marlstone_id"), F.col("removed").alias("_marlstone_removed"))
+    gone = Workspace(spark, "line-dedup").save(removed_lines(spark, docs, bound, edit_chars), "removed").select(F.col("doc_id").alias("_marlstone_id"), F.col("removed").alias("_marlstone_removed"))
     # always dealt by id: what is removed grows with the corpus
     joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_marlstone_id")), "left").drop("_marlstone_id")
     lines = F.split("text", "\n", -1)

@@ -72,9 +72,9 @@ SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
 """,
     "op7_line_dedup": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, line_no, trim(raw) AS line FROM l),
-f AS (SELECT line, min((doc_id, line_no)) AS first FROM t WHERE length(line) >= 10 GROUP BY 1),
-near AS (SELECT DISTINCT a.line FROM f a JOIN f b ON length(a.line) - length(b.line) BETWEEN -1 AND 1 AND b.first < a.first AND levenshtein(a.line, b.line) = 1),
+t AS (SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+f AS (SELECT line, min((doc_id, line_no)) AS first FROM t WHERE line <> '' GROUP BY 1),
+near AS (SELECT DISTINCT a.line FROM f a JOIN f b ON length(a.line) >= 10 AND length(b.line) >= 10 AND length(a.line) - length(b.line) BETWEEN -1 AND 1 AND b.first < a.first AND levenshtein(a.line, b.line) = 1),
 gone AS (SELECT doc_id, line_no FROM t JOIN f USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR (doc_id, line_no) <> first),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.doc_id) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.line_no) FILTER (WHERE g.doc_id IS NULL), '') AS kept
       FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY 1)
