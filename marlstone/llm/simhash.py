@@ -8,6 +8,7 @@ terms, so that 32 sums serve 128 bits.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,56 +64,71 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return _votes(documents(docs).withColumn("_text_key", F.sha2("text", 256)), ["doc_id", "_text_key"]).drop("_text_key")
 
 
-def _range_index(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most value, by binary search; null: 0."""
-    if not bounds:
-        return F.lit(0)
-    known = F.array(*[F.lit(b).cast("long") for b in bounds])
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
-
-    def further(at: Column, step: Column) -> Column:
-        to = at + step
-        return F.when((to <= len(bounds)) & (F.try_element_at(known, F.least(to, F.lit(len(bounds)))) <= value), to).otherwise(at)
-
-    return F.coalesce(F.aggregate(steps, F.lit(0), further), F.lit(0))
+def _ranges(spark: SparkSession, every: DataFrame, tasks: int) -> tuple[DataFrame, int, int, int]:
+    """(bucket, lo, hi, first, parts: ids from lo to hi - 1 are dealt to parts ranges from first on), least id, width of a
+    bucket, number of ranges.  An id of many rows has a line of its own with several ranges, dealt by the text's hash;
+    so has null, in bucket -1.  A row for each range, joined through buckets of ids, so none is sought one by one."""
+    at = [i / tasks for i in range(1, tasks)] or [0.5]
+    found = every.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", at, 10_000).alias("at")).first()
+    rows, lines = [], 0
+    nulls = found["rows"] - found["ids"]
+    if nulls:
+        lines = 1 + nulls * tasks // found["rows"]
+        rows.append((-1, None, None, 0, lines))
+    lo, hi = found["lo"] or 0, found["hi"] or 0
+    width = max(1, (hi - lo) // (4 * tasks) + 1)
+    bounds = sorted(found["at"] or [])
+    begin = lo
+    spans = []
+    for v in dict.fromkeys(bounds):
+        if v > begin:
+            spans.append((begin, v, 1))
+            begin = v
+        if (many := bounds.count(v)) > 1:
+            spans.append((v, v + 1, many))
+            begin = v + 1
+    if begin <= hi:
+        spans.append((begin, hi + 1, 1))
+    for a, z, parts in spans:
+        rows += [(k, a, z, lines, parts) for k in range((a - lo) // width, (z - 1 - lo) // width + 1)]
+        lines += parts
+    return spark.createDataFrame(rows, "bucket long, lo long, hi long, first int, parts int"), lo, width, lines
 
 
 def with_next(docs: DataFrame, n: int) -> DataFrame:
-    """rid (place in ascending doc_id, text), doc_id, text, next_text (after the last: the first).
+    """rid (place in ascending doc_id, then hash of the text), doc_id, text, next_text (after the last: the first).
 
-    Documents are dealt to n ranges of ids; each range gets a copy of the next one's first document as a guest at its
-    end, so a window inside ranges sees every neighbour.
+    Documents are dealt to about n ranges of ids, and rows of a frequent id to ranges of their texts' hashes; each range
+    gets a copy of the next one's first document as a guest at its end, so a window inside ranges sees every neighbour.
     """
-    every = documents(docs)
-    ids = every.select("doc_id")
-    at = [i / n for i in range(1, n)]
-    got = ids.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] if at else []
-    bounds = sorted(set(got or []))
-    ranged = every.withColumn("range", _range_index(F.col("doc_id"), bounds))
-    # one row a range: how many documents, the first id
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("range").collect()
-    if not sizes:
-        return every.select(F.lit(0).cast("long").alias("rid"), "doc_id", "text", F.col("text").alias("next_text"))
-    base, total = {}, 0
-    for r in sizes:
-        base[r["range"]] = total
-        total += r["n"]
-    firsts = [(r["range"], None if r["has_null"] else r["first_id"], sizes[i - 1]["range"]) for i, r in enumerate(sizes)]
     spark = docs.sparkSession
-    small = F.broadcast(spark.createDataFrame(firsts, "r int, first_id long, host int"))  # a row a range
-    guests = ranged.join(small, (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("host").agg(F.min("text").alias("text"))
-    both = ranged.withColumn("guest", F.lit(0)).unionByName(guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("host").alias("range"), F.lit(1).alias("guest")))
-    w = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
-    before = F.create_map(*[F.lit(x) for r in sizes for x in (r["range"], base[r["range"]])])
-    out = both.withColumn("next_text", F.lead("text").over(w)).withColumn("k", F.row_number().over(w))
-    return out.where("guest = 0").select((before[F.col("range")].cast("long") + F.col("k") - 1).alias("rid"), "doc_id", "text", "next_text")
+    every = documents(docs).withColumn("h", F.xxhash64("text"))
+    lines, lo, width, count = _ranges(spark, every, n)
+    bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(width)).cast("long"), F.lit(-1))
+    met = every.withColumn("bucket", bucket).join(F.broadcast(lines), "bucket").where("doc_id is null or (doc_id >= lo and doc_id < hi)")  # a line a range
+    part = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("parts")).cast("int"), F.col("parts") - 1)
+    ranged = met.select("doc_id", "text", "h", (F.col("first") + part).alias("range"))
+    # a row a range: how many documents are before it, the first one, the range that it is a guest of
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")).alias("least"))
+    order = Window.orderBy("range")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    host = F.coalesce(F.lag("range").over(order), F.max("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sizes = Workspace(spark, "simhash").save(sizes.select("range", before.alias("base"), host.alias("host"), "least.doc_id", "least.h"), "ranges")
+    firsts = F.broadcast(sizes.select("range", F.col("doc_id").alias("id"), F.col("h").alias("hash"), "host"))
+    guests = ranged.join(firsts, "range").where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))).groupBy("host").agg(F.min("text").alias("text"))
+    both = ranged.withColumn("guest", F.lit(0)).unionByName(guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), F.col("host").alias("range"), F.lit(1).alias("guest")))
+    w = Window.partitionBy("range").orderBy("guest", "doc_id", "h", "text")
+    out = both.repartition(max(n, count), "range").withColumn("next_text", F.lead("text").over(w)).withColumn("k", F.row_number().over(w)).where("guest = 0")
+    bases = F.broadcast(sizes.select("range", "base"))
+    return out.join(bases, "range").select((F.col("base") + F.col("k") - 1).alias("rid"), "doc_id", "text", "next_text")
 
 
 def neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has its last half replaced by as much of the next document's start.  Null and empty texts: n_chars
-    0, the digest of nothing, a fingerprint of zeros.  Rows of one id are ordered by text; a null id comes first.
+    0, the digest of nothing, a fingerprint of zeros.  Rows of one id are ordered by their texts' hashes; a null id
+    comes first.
     """
     n = partitions(spark)
     half = F.floor(F.length("text") / 2).cast("int")
@@ -127,32 +143,41 @@ def neighbours(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return saved.join(after, "rid").select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), hex_of(*own).alias("fingerprint"), hex_of("fp_hi1", "fp_lo1").alias("edited_fingerprint"), likeness(own, ("fp_hi1", "fp_lo1")).alias("near_edited"), likeness(own, ("next_hi", "next_lo")).alias("near_next"))
 
 
-def near_pairs(prints: DataFrame, radius: int = 7) -> tuple[DataFrame, DataFrame]:
+def near_pairs(prints: DataFrame, radius: int = 7, joint: int = 2) -> tuple[DataFrame, DataFrame]:
     """All fingerprints within radius of each other: (pairs of distinct fingerprints' ids, membership).
 
     prints: doc_id, fp_hi, fp_lo.  Membership has doc_id and class_id, the least id of its fingerprint; pairs have
-    left_id < right_id (class ids) and distance.  The 128 bits are cut into radius + 1 blocks: two fingerprints within
-    the radius agree on one block at least.  Each table is permuted to have its block in front and joined on it; a
-    pair is given out by the first block that it agrees on, so none comes twice and none is lost.
+    left_id < right_id (class ids) and distance.  The 128 bits are cut into radius + joint blocks, of which two
+    fingerprints within the radius agree on joint at least.  A table for each choice of joint blocks is permuted to have
+    them in front and joined on them: 36 tables with keys of 28 bits at radius 7 and joint 2, so a table compares one
+    pair in 2 ** 28 of unrelated fingerprints.  A pair is given out by the first choice that it agrees on, so none
+    comes twice and none is lost.
     """
     classes = prints.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("class_id"))
     membership = prints.join(classes, ["fp_hi", "fp_lo"]).select("doc_id", "class_id")
-    bits = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
+    count = radius + joint
+    bits = [round(i * BITS / count) for i in range(count + 1)]
+    choices = list(combinations(range(count), joint))
 
-    def block(i: int, hi: str, lo: str) -> Column:
-        """Bits [bits[i], bits[i + 1]) of both longs, as text of up to two parts."""
+    def block(i: int) -> Column:
+        """Bits [bits[i], bits[i + 1]) of both longs as one long."""
         parts = []
-        for c, base in ((hi, 0), (lo, 64)):
+        for c, base in (("fp_hi", 0), ("fp_lo", 64)):
             a, z = max(bits[i], base) - base, min(bits[i + 1], base + 64) - base
             if a < z:
-                parts.append(F.shiftrightunsigned(F.shiftleft(F.col(c), 64 - z), 64 - z + a))
-        return F.concat_ws("-", *[p.cast("string") for p in parts])
+                parts.append((F.shiftrightunsigned(F.shiftleft(F.col(c), 64 - z), 64 - z + a), z - a))
+        return parts[0][0] if len(parts) == 1 else F.shiftleft(parts[0][0], parts[1][1]).bitwiseOR(parts[1][0])
+
+    blocked = classes.select("class_id", "fp_hi", "fp_lo", F.array(*[block(i) for i in range(count)]).alias("blocks"))
 
     def tables(side: str) -> DataFrame:
-        renamed = classes.select(F.col("class_id").alias(f"{side}_id"), F.col("fp_hi").alias(f"{side}_hi"), F.col("fp_lo").alias(f"{side}_lo"))
-        return renamed.withColumn("entry", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), block(i, f"{side}_hi", f"{side}_lo").alias("b")) for i in range(radius + 1)]))).select("*", "entry.i", "entry.b").drop("entry")
+        keys = F.array(*[F.struct(F.lit(k).alias("i"), F.concat_ws("-", *[F.col("blocks")[i].cast("string") for i in c]).alias("b")) for k, c in enumerate(choices)])
+        renamed = blocked.select(F.col("class_id").alias(f"{side}_id"), F.col("fp_hi").alias(f"{side}_hi"), F.col("fp_lo").alias(f"{side}_lo"), F.col("blocks").alias(f"{side}_blocks"), F.explode(keys).alias("k"))
+        return renamed.select("*", "k.i", "k.b").drop("k")
 
     met = tables("left").join(tables("right"), ["i", "b"]).where("left_id < right_id")
     distance = F.bit_count(F.col("left_hi").bitwiseXOR(F.col("right_hi"))) + F.bit_count(F.col("left_lo").bitwiseXOR(F.col("right_lo")))
-    first = reduce(lambda rest, i: F.when(block(i, "left_hi", "left_lo") == block(i, "right_hi", "right_lo"), F.lit(i)).otherwise(rest), range(radius, -1, -1), F.lit(-1))
-    return met.withColumn("distance", distance).where((F.col("distance") <= radius) & (F.col("i") == first)).select("left_id", "right_id", "distance"), membership
+    equal = F.filter(F.transform(F.arrays_zip("left_blocks", "right_blocks"), lambda x, i: F.when(x["left_blocks"] == x["right_blocks"], i)), lambda i: i.isNotNull())
+    known = F.array(*[F.array(*[F.lit(i) for i in c]) for c in choices])
+    near = met.withColumn("distance", distance).where(F.col("distance") <= radius)
+    return near.where(F.slice(equal, 1, joint) == known[F.col("i")]).select("left_id", "right_id", "distance"), membership
