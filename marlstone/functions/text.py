@@ -265,3 +265,34 @@ def split_objects(c: Column) -> Column:
 
 def normal_path(c: Column) -> Column:
     return F.regexp_replace(F.replace(text(c), F.lit("\\"), F.lit("/")), "^/+", "")
+
+
+def trim_to_tokens(c: Column, most: int) -> Column:
+    """A text cut to a budget of tokens, where half of the characters is the estimate: over the budget its length is
+    scaled by budget over estimate, less 50, one character at least.  One cut always fits; a budget under one keeps none."""
+    n = F.length(text(c))
+    estimate = F.greatest(F.lit(1), F.floor(n / 2)).cast("double")
+    if most < 1:
+        return F.lit("")
+    return F.when(estimate <= most, text(c)).otherwise(F.left(c, F.greatest(F.lit(1), F.floor(n * (F.lit(float(most)) / estimate)).cast("int") - 50)))
+
+
+def path_score(path: Column, query: str) -> Column:
+    """Fuzzy score of a path in lower case, null unless the query's letters stand in it in order (the first place each).
+
+    A letter counts 1, 2 more right behind the one before and 3 more at the start of a word; 8 more if the whole query
+    stands in the base name, else 4 if in the path.
+    """
+    q, p = query.lower(), F.lower(path)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("score"), F.lit(True).alias("found"))
+
+    def step(now: Column, letter: Column) -> Column:
+        at = F.call_function("locate", letter, p, now["at"] + 1)
+        close = F.when((at == now["at"] + 1) & (now["at"] > 0), 2).otherwise(0)
+        word = F.when((at == 1) | F.substring(p, at - 1, F.lit(1)).isin(*"/\\_-. "), 3).otherwise(0)
+        hit = F.struct(at.alias("at"), (now["score"] + 1 + close + word).alias("score"), F.lit(True).alias("found"))
+        return F.when(now["found"] & (at > 0), hit).otherwise(F.struct(now["at"].alias("at"), now["score"].alias("score"), F.lit(False).alias("found")))
+
+    walked = F.aggregate(F.array(*[F.lit(x) for x in q]), start, step)
+    whole = F.when(F.contains(F.element_at(F.split(p, "/"), -1), F.lit(q)), 8).when(F.contains(p, F.lit(q)), 4).otherwise(0)
+    return F.when(walked["found"], walked["score"] + whole)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import html
 import re
 import unicodedata
@@ -30,12 +29,6 @@ def label(s: pd.Series) -> pd.Series:
     return s.map(lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", html.unescape((x or "").strip()))).strip(" *_`"))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two strings (not an edit distance)."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
-
-
 @F.pandas_udf(T.StringType())
 def decode_text(s: pd.Series) -> pd.Series:
     """Bytes as UTF-8, else GB 18030, else UTF-8 with replacement marks."""
@@ -51,56 +44,3 @@ def decode_text(s: pd.Series) -> pd.Series:
         return bytes(raw).decode("utf-8", "replace")
 
     return s.map(one)
-
-
-@F.pandas_udf(T.StringType())
-def trim_to_tokens(s: pd.Series, most: pd.Series) -> pd.Series:
-    """Cut by the estimate's ratio until a text fits: half its length is the estimate."""
-
-    def one(t, m):
-        t = t or ""
-        while t and max(1, len(t) // 2) > m:
-            t = t[: max(1, int(len(t) * (m / float(max(1, len(t) // 2)))) - 50)]
-        return t
-
-    return pd.Series([one(t, m) for t, m in zip(s, most, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType())]))
-def line_delta(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines that come and go between two versions."""
-    rows = []
-    for a, b in zip(old, new, strict=True):
-        a, b = (a or "").splitlines(), (b or "").splitlines()
-        ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
-        rows.append((sum(o[4] - o[3] for o in ops), sum(o[2] - o[1] for o in ops)))
-    return pd.DataFrame(rows, columns=["added", "removed"])
-
-
-@F.pandas_udf(T.IntegerType())
-def path_score(query: pd.Series, path: pd.Series) -> pd.Series:
-    """Fuzzy score of a path, null unless the query's letters stand in it in order.
-
-    Each letter counts 1, 2 more right behind the last one, 3 more at the start of a word; a match inside the base
-    name adds 8, else 4.
-    """
-
-    def fit(q: str, s: str) -> int | None:
-        at, score, last = 0, 0, -2
-        for c in q:
-            i = s.find(c, at)
-            if i < 0:
-                return None
-            score += 1 + 2 * (i == last + 1) + 3 * (i == 0 or s[i - 1] in "/_-. ")
-            last, at = i, i + 1
-        return score
-
-    def one(q, p):
-        if p is None:
-            return None
-        q, p = (q or "").lower(), p.lower()
-        base = fit(q, p.rsplit("/", 1)[-1])
-        whole = fit(q, p)
-        return None if whole is None else max(whole + 4, -1 if base is None else base + 8)
-
-    return pd.Series([one(q, p) for q, p in zip(query, path, strict=True)], dtype="Int32")

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 
 # Attributes that a reduced page keeps, entities that plain text resolves.
-KEPT = ("id", "class", "name", "src", "href", "alt", "value", "type", "placeholder", "disabled", "checked", "selected", "role", "title", "for", "action", "method", "target", "colspan", "rowspan", "lang", "content")
+KEPT = (
+    "id", "class", "name", "src", "href", "alt", "value", "type", "placeholder", "disabled", "checked", "selected", "readonly", "required", "multiple",
+    "role", "aria-label", "aria-expanded", "aria-hidden", "contenteditable", "title", "for", "action", "method", "target", "colspan", "rowspan",
+)
 ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -26,16 +29,32 @@ def plain_text(html: Column) -> Column:
     return T.strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n"))
 
 
-def simplify(html: Column, long: int = 30, most: int = 100, cut: int = 50) -> Column:
-    """Fewer tokens: no style, script or comment, empty svg, long links and data to placeholders, long attributes cut,
-    generated and unknown attributes left out."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?is)(<svg\b[^>]*>).*?(</svg\s*>)", "$1$2")
-    t = F.regexp_replace(t, r"(?i)\s(?:data-v-[\w-]+|style|on\w+)\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
-    t = F.regexp_replace(t, rf'(?i)(\s(?:src|href|action))\s*=\s*"[^"]{{{long + 1},}}"', '$1="__link__"')
-    t = F.regexp_replace(t, rf'(?i)(\sdata-[\w-]+)\s*=\s*"[^"]{{{long + 1},}}"', '$1="__data__"')
-    t = F.regexp_replace(t, rf'(?i)(\s[\w-]+="[^"]{{{cut}}})[^"]{{{most - cut + 1},}}"', '$1..."')
-    return F.regexp_replace(t, rf'(?i)\s(?!(?:{"|".join(KEPT)}|data-[\w-]+|aria-[\w-]+)\b)[\w:-]+="[^"]*"', "")
+#: A page's pieces: elements whose content isn't markup, comments, start tags, anything else.
+_PIECES = r"""(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|<svg\b.*?</svg\s*>|<[a-z][^\s<>/]*(?:"[^"]*"|'[^']*'|[^"'<>])*>|[^<]+|<"""
+_OUTSIDE = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'  # not inside a quoted value
+
+
+def simplify(html: Column, long: int = 30, data: int = 20, most: int = 100, cut: int = 50) -> Column:
+    """Fewer tokens: svg elements are emptied; of start tags style and unknown attributes go, and generated data-v ones;
+    inline images, long addresses and long data become placeholders; long values, titles and alternative texts are cut."""
+
+    def attribute(t: Column, name: str, value: str, to: str) -> Column:
+        return F.regexp_replace(t, rf'(?i)(\s(?:{name})=")({value})"', to)
+
+    def tag(t: Column) -> Column:
+        t = F.regexp_replace(t, rf"""(?i)\s+(?!(?:{"|".join(KEPT)})[\s=/>]|data-(?!v))[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?""" + _OUTSIDE, "")
+        t = F.regexp_replace(t, r"""(\s[^\s"'<>/=]+)\s*=\s*'([^'"]*)'""" + _OUTSIDE, '$1="$2"')
+        t = F.regexp_replace(t, r"""(\s[^\s"'<>/=]+)\s*=\s*([^\s"'<>=]+)(?=[\s>])""" + _OUTSIDE, '$1="$2"')
+        t = attribute(t, "src", "data:[^\"]*", '$1__img__"')
+        t = attribute(t, "src|action", rf"[^\"]{{{long + 1},}}", '$1__url__"')
+        t = attribute(t, "href", rf"[^\"]{{{long + 1},}}", '$1__link__"')
+        t = attribute(t, r"data-[^\s=]+", rf"[^\"]{{{data + 1},}}", '$1__data__"')
+        return F.regexp_replace(t, rf'(?i)(\s(?:value|title|alt)="[^"]{{{cut}}})[^"]{{{most - cut + 1},}}"', '$1 ..."')
+
+    def piece(x: Column) -> Column:
+        return F.when(x.rlike(r"(?is)^<svg\b"), F.lit("<svg></svg>")).when(x.rlike(r"(?i)^<(?:script|style)\b"), x).when(x.rlike(r"(?i)^<[a-z]"), tag(x)).otherwise(x)
+
+    return F.array_join(F.transform(F.regexp_extract_all(html, F.lit(_PIECES), F.lit(0)), piece), "")
 
 
 def elements(pages: DataFrame) -> DataFrame:

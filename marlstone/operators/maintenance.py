@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -141,3 +141,22 @@ def next_in_cycle(items: DataFrame, by: str) -> DataFrame:
     """Each item with the next of its group, the first behind the last."""
     w = Window.partitionBy(by).orderBy("id")
     return items.withColumn("next_id", F.coalesce(F.lead("id").over(w), F.min("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+
+
+def line_delta(versions: DataFrame) -> DataFrame:
+    """doc_id, added, removed: lines that the new text has more of than the old one, and the other way round.
+
+    versions: doc_id, old, new; null is empty.  Lines are compared as a multiset in one aggregation, so a line that
+    only moves is neither added nor removed.
+    """
+
+    def lines(c: str) -> Column:
+        ended = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), r"\n\z", "")
+        return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(ended, "\n", -1))
+
+    def counted(c: str, n: int) -> Column:
+        return F.transform(lines(c), lambda x: F.struct(x.alias("line"), F.lit(n).alias("n")))
+
+    signed = F.concat(counted("new", 1), counted("old", -1))
+    each = versions.select("doc_id", F.explode_outer(signed).alias("l")).groupBy("doc_id", "l.line").agg(F.coalesce(F.sum("l.n"), F.lit(0)).alias("n"))
+    return each.groupBy("doc_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.session import checkpointed
 
 # Constant of the rank fusion, the channels' weights, the widest pool.
 RANK_CONSTANT, WEIGHTS, WIDEST = 60, {"exact": 4.0, "dense": 1.2, "sparse": 1.0}, 30
@@ -126,12 +127,10 @@ def public_hit(hits: DataFrame, limit: int = 1600) -> DataFrame:
 
 
 def fuzzy_rank(files: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Paths that hold the query's letters in order, best first; without a query shallow ones first."""
-    if not query.strip():
+    """Paths that hold the query's letters in order, best first, then short ones; without a query shallow ones first."""
+    if not query:
         return files.select("path", F.lit(0).alias("score")).orderBy(F.size(F.split("path", "/")), "path").limit(limit)
-    from marlstone.functions.unicode import path_score
-
-    return files.select("path", path_score(F.lit(query), "path").alias("score")).where("score is not null").orderBy(F.desc("score"), F.length("path"), "path").limit(limit)
+    return files.select("path", T.path_score(F.col("path"), query).alias("score")).where("score is not null").orderBy(F.desc("score"), F.length("path"), "path").limit(limit)
 
 
 def complete_paths(paths: DataFrame, prefix: str, limit: int = 50) -> DataFrame:
@@ -139,12 +138,38 @@ def complete_paths(paths: DataFrame, prefix: str, limit: int = 50) -> DataFrame:
     return paths.where(F.startswith("path", F.lit(prefix))).orderBy(F.desc("is_dir"), "path").limit(limit)
 
 
-def did_you_mean(files: DataFrame, name: str, most: int = 2000, k: int = 5) -> DataFrame:
-    """The k nearest of the first so many names, with a ratio over 0.3 (a feature's own bounds)."""
-    from marlstone.functions.unicode import sequence_ratio
+def matched_length(pairs: DataFrame) -> DataFrame:
+    """id and matched: characters in the matching blocks of two texts (id, a, b).
+
+    The longest common block (the first in a, then in b) is taken, then the longest in what stands before both and
+    behind both, and so on.  Each round handles the open segments of all pairs: equal places on one diagonal are runs,
+    the longest run is the block.  Rounds end when no segment has a common character, after as many as a has blocks.
+    """
+    open_ = pairs.select("id", F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b")).select("*", F.lit(1).alias("alo"), F.length("a").alias("ahi"), F.lit(1).alias("blo"), F.length("b").alias("bhi"))
+    found = open_.select("id", F.lit(0).alias("k"))
+    segment = ["id", "alo", "ahi", "blo", "bhi"]
+    while True:
+        places = open_.where("alo <= ahi and blo <= bhi").select("*", F.explode(F.sequence("alo", "ahi")).alias("i")).select("*", F.explode(F.sequence("blo", "bhi")).alias("j"))
+        equal = places.where(F.substring("a", F.col("i"), F.lit(1)) == F.substring("b", F.col("j"), F.lit(1)))
+        diagonal = Window.partitionBy(*segment, F.col("i") - F.col("j")).orderBy("i")
+        runs = equal.withColumn("run", F.col("i") - F.row_number().over(diagonal)).groupBy(*segment, "a", "b", (F.col("i") - F.col("j")).alias("diagonal"), "run").agg(F.count("*").cast("int").alias("k"), F.min("i").alias("i"), F.min("j").alias("j"))
+        best = runs.groupBy(*segment, "a", "b").agg(F.max(F.struct("k", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("m"))
+        best = checkpointed(best.select(*segment, "a", "b", "m.k", (-F.col("m.i")).alias("i"), (-F.col("m.j")).alias("j")))
+        if not best.limit(1).count():
+            return found.groupBy("id").agg(F.sum("k").alias("matched"))
+        found = found.unionByName(best.select("id", "k"))
+        before = best.select("id", "a", "b", "alo", (F.col("i") - 1).alias("ahi"), "blo", (F.col("j") - 1).alias("bhi"))
+        behind = best.select("id", "a", "b", (F.col("i") + F.col("k")).alias("alo"), "ahi", (F.col("j") + F.col("k")).alias("blo"), "bhi")
+        open_ = before.unionByName(behind)
+
 
-    pool = files.orderBy("path").limit(most)
-    return pool.select("path", sequence_ratio(F.lit(name.lower()), F.lower(F.element_at(F.split("path", "/"), -1))).alias("ratio")).where("ratio > 0.3").orderBy(F.desc("ratio"), "path").limit(k)
+def did_you_mean(files: DataFrame, name: str, most: int = 2000, k: int = 5) -> DataFrame:
+    """The k nearest base names of the first so many paths (a feature's own bounds): twice the characters in matching
+    blocks over those of both names, over 0.3."""
+    pool = files.select("path").distinct().orderBy("path").limit(most).select(F.col("path").alias("id"), F.lit(name.lower()).alias("a"), F.lower(F.element_at(F.split("path", "/"), -1)).alias("b"))
+    pool = checkpointed(pool)
+    ratio = 2 * F.col("matched") / F.greatest(F.length("a") + F.length("b"), F.lit(1))
+    return pool.join(matched_length(pool), "id").select(F.col("id").alias("path"), ratio.alias("ratio")).where("ratio > 0.3").orderBy(F.desc("ratio"), "path").limit(k)
 
 
 def search_sessions(sessions: DataFrame, words: str) -> DataFrame:

@@ -123,9 +123,19 @@ def r13(spark, d):
     return maintenance.documents_with_manifest(records(spark, d).select(F.col("file_name").alias("path")).distinct(), m)
 
 
-@query("r18_fuzzy_rank")
+def _fuzzy_sql(query: str) -> str:
+    """The first place of each letter behind the one before, step by step."""
+    steps = ["p0 AS (SELECT DISTINCT url AS path, lower(url) AS p, 0 AS pos, 0 AS score FROM pages WHERE url IS NOT NULL)"]
+    for i, c in enumerate(query, 1):
+        steps.append(f"q{i} AS (SELECT *, strpos(substr(p, pos + 1), '{c}') AS d FROM p{i - 1})")
+        steps.append(f"p{i} AS (SELECT path, p, pos + d AS pos, score + 1 + CASE WHEN d = 1 AND pos > 0 THEN 2 ELSE 0 END + CASE WHEN pos + d = 1 OR contains('/\\_-. ', substr(p, pos + d - 1, 1)) THEN 3 ELSE 0 END AS score FROM q{i} WHERE d > 0)")
+    whole = f"CASE WHEN contains(list_extract(string_split(p, '/'), -1), '{query}') THEN 8 WHEN contains(p, '{query}') THEN 4 ELSE 0 END"
+    return "WITH " + ", ".join(steps) + f" SELECT path, CAST(score + {whole} AS INTEGER) AS score FROM p{len(query)} ORDER BY 2 DESC, length(path), path LIMIT 10"
+
+
+@query("r18_fuzzy_rank", _fuzzy_sql("exen1"))
 def r18(spark, d):
-    return retrieval.fuzzy_rank(table(spark, d, "pages").select(F.col("url").alias("path")), "exen1", 10)
+    return retrieval.fuzzy_rank(table(spark, d, "pages").select(F.col("url").alias("path")).where("path is not null").distinct(), "exen1", 10)
 
 
 @query("r19_complete_paths", "SELECT DISTINCT path, is_dir FROM (SELECT url AS path, ends_with(url, '/') AS is_dir FROM pages) WHERE starts_with(path, 'http://t') ORDER BY is_dir DESC, path LIMIT 50")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.functions import unicode as U
-from marlstone.operators import chunking, html
+from marlstone.operators import chunking, html, maintenance
 from marlstone.plans.inputs import RECORDS, records, table
 
 QUERIES, SQL = {}, {}
@@ -84,9 +85,10 @@ def x5(spark, d):
     return table(spark, d, "pages").select("page_id", U.label(F.concat(F.lit(" **a &amp;  <b>b</b> "), F.col("page_id").cast("string"), F.lit("** "))).alias("label"))
 
 
-@query("x9_trim_to_tokens")
+@query("x9_trim_to_tokens", """WITH n AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, CASE WHEN greatest(1, n // 2) <= 500 THEN t ELSE left(t, greatest(1, CAST(floor(n * (CAST(500 AS DOUBLE) / CAST(n // 2 AS DOUBLE))) AS BIGINT) - 50)) END AS trimmed FROM n""")
 def x9(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(U.trim_to_tokens("text", F.lit(500))).alias("n"))
+    return table(spark, d, "documents").select("doc_id", T.trim_to_tokens(F.col("text"), 500).alias("trimmed"))
 
 
 @query("x20_simplify_html")
@@ -106,6 +108,10 @@ def x25(spark, d):
     return html.sample_lists(table(spark, d, "pages"))
 
 
-@query("a20_line_delta")
+@query("a20_line_delta", """WITH v AS (SELECT doc_id, coalesce(text, '') AS old, 'new' || chr(10) || regexp_replace(coalesce(text, ''), '\\n[^\\n]*$', '') AS new FROM documents),
+l AS (SELECT doc_id, unnest(string_split(regexp_replace(old, '\\n$', ''), chr(10))) AS line, -1 AS n FROM v WHERE old <> '' UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(new, '\\n$', ''), chr(10))), 1 FROM v),
+e AS (SELECT doc_id, line, sum(n) AS n FROM l GROUP BY 1, 2)
+SELECT doc_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM e GROUP BY 1""")
 def a20(spark, d):
-    return table(spark, d, "documents").select("doc_id", U.line_delta(F.col("text"), F.concat(F.lit("new\n"), F.regexp_replace("text", r"\n[^\n]*$", ""))).alias("delta")).select("doc_id", "delta.added", "delta.removed")
+    text = F.coalesce("text", F.lit(""))
+    return maintenance.line_delta(table(spark, d, "documents").select("doc_id", text.alias("old"), F.concat(F.lit("new\n"), F.regexp_replace(text, r"\n[^\n]*$", "")).alias("new")))

@@ -61,9 +61,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return normalize(raw.select(F.from_json("value", RECORD).alias("r")).select("r.*"))
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Normalised records as JSON lines; the job's commit makes them appear at once."""
-    normalize(records).write.mode("overwrite").json(path)
+def write_records(records: DataFrame, path: str) -> str:
+    """Normalised records as JSON lines in a new version of the folder; readers see the old records until it is whole."""
+    return Snapshots(records.sparkSession, path, "json").publish(normalize(records))
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The records that write_records published last, checked as by read_records."""
+    return read_records(spark, Snapshots(spark, path, "json").where())
 
 
 def write_index(records: DataFrame, path: str) -> None:
@@ -115,8 +120,8 @@ def parse_registry(spark: SparkSession, text: str) -> DataFrame:
 class Snapshots:
     """Versions of a table in one folder; readers see the one that a pointer names, which is replaced at once."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, kind: str = "parquet"):
+        self.spark, self.root, self.kind = spark, root.rstrip("/"), kind
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -126,19 +131,22 @@ class Snapshots:
         found = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("CURRENT-"))
         return found[-1].split("-", 2)[2] if found else None
 
-    def read(self) -> DataFrame:
+    def where(self) -> str:
         name = self.current()
         if name is None:
             raise FileNotFoundError(f"nothing is published in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return f"{self.root}/{name}"
+
+    def read(self) -> DataFrame:
+        return self.spark.read.format(self.kind).load(self.where())
 
     def publish(self, df: DataFrame, expected: int | None = None) -> str:
         """Write a new version, check its number of rows, then name it; a failed write is never seen."""
         import uuid
 
         name = f"v{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
-        if expected is not None and (n := self.spark.read.parquet(f"{self.root}/{name}").count()) != expected:
+        df.write.format(self.kind).save(f"{self.root}/{name}")
+        if expected is not None and (n := self.spark.read.format(self.kind).load(f"{self.root}/{name}").count()) != expected:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
             raise ValueError(f"{n} rows were written, {expected} expected")
         pointers = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("CURRENT-")]
