@@ -42,7 +42,14 @@ def retain(jobs: DataFrame, now, hours: int = 24, most: int = 100) -> DataFrame:
 
 
 def evict(files: DataFrame, quota: int, now, days: int = 30, by: str = "cache") -> DataFrame:
-    """Cache files that go: those past their days, then oldest first until the rest fits the quota."""
-    aged = files.withColumn("expired", (F.lit(now) - F.col("mtime")) > F.expr(f"interval {days} days"))
-    newer = Window.partitionBy(by, "expired").orderBy(F.desc("mtime"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0)
-    return aged.withColumn("kept_with", F.sum("size").over(newer)).where(F.col("expired") | (F.col("kept_with") > quota)).drop("kept_with")
+    """Cache files that go: those past their days, then oldest first until the rest fits the quota.
+
+    Sums run over days first, a row for each cache and day, and then inside a day, so a large cache is many tasks.
+    """
+    aged = files.withColumn("expired", (F.lit(now) - F.col("mtime")) > F.expr(f"interval {days} days")).withColumn("_day", F.to_date("mtime"))
+    key = [by, "expired", "_day"]
+    later = Window.partitionBy(by, "expired").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days_ = aged.groupBy(*key).agg(F.sum("size").alias("_sum")).select(*key, F.coalesce(F.sum("_sum").over(later), F.lit(0)).alias("_later"))
+    newer = Window.partitionBy(*key).orderBy(F.desc("mtime"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0)
+    kept_with = F.sum("size").over(newer) + F.col("_later")
+    return aged.join(days_, key).withColumn("_kept_with", kept_with).where(F.col("expired") | (F.col("_kept_with") > quota)).drop("_kept_with", "_later", "_day")

@@ -1,44 +1,104 @@
-"""Checkpoint trees as edge tables; paths by recursive SQL."""
+"""Checkpoint trees as tables of nodes and parents.
+
+Nothing makes a row for each node and ancestor.  Pointers double in length with each round of one join, and what a
+node gathers on its way up doubles with them, so a chain of a million nodes takes twenty joins of a million rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.session import checkpointed
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """id, ancestor, depth (ancestors above) and up (steps from id) for every node and each of its ancestors, itself included.
+def _pointers(nodes: DataFrame) -> DataFrame:
+    """id, to: the parent, null where it isn't there."""
+    known = nodes.select(F.col("id").alias("parent"), F.col("id").alias("to"))
+    return nodes.select("id", "parent").join(known, "parent", "left").select("id", "to")
+
+
+def _rounds(nodes: DataFrame) -> int:
+    """Doublings that reach the root of any tree of so many nodes."""
+    return max(1, nodes.count()).bit_length()
+
 
-    nodes: id, parent (null at a root).  Pointers double in length with each round, so a chain of a thousand nodes
-    takes ten joins, not a thousand.
+def _no_cycle(open_: DataFrame) -> None:
+    left = [r["id"] for r in open_.select("id").limit(5).collect()]
+    if left:
+        raise ValueError(f"nodes in or below a cycle of parents, among them {left}")
+
+
+def fold_up(nodes: DataFrame, own: Column, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """id, value: own values of a node and all its ancestors, merged; merge(near, far) is associative.
+
+    nodes: id, parent (null at a root) and what own needs.  Parents that aren't there count as null.  A cycle of
+    parents is an error.
     """
-    hop = nodes.select("id", F.col("parent").alias("to"), F.lit(1).alias("n")).where("to is not null").join(nodes.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to", "n")
-    reach = hop
-    while hop.limit(1).count():
-        far = reach.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("n").alias("m"))
-        reach = checkpointed(reach.unionByName(hop.join(far, "to").select("id", F.col("beyond").alias("to"), (F.col("n") + F.col("m")).alias("n"))).distinct())
-        longer = hop.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("n").alias("m"))
-        hop = checkpointed(hop.join(longer, "to").select("id", F.col("beyond").alias("to"), (F.col("n") + F.col("m")).alias("n")))
-    every = reach.select("id", F.col("to").alias("ancestor"), F.col("n").alias("up")).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("up")))
-    return every.withColumn("depth", F.max("up").over(Window.partitionBy("id")) - F.col("up"))
+    state = checkpointed(_pointers(nodes).join(nodes.select("id", own.alias("value")), "id"))
+    for _ in range(_rounds(nodes)):
+        open_ = state.where("to is not null")
+        if not open_.limit(1).count():
+            break
+        far = state.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("value").alias("far"))
+        moved = open_.join(far, "to").select("id", F.col("beyond").alias("to"), merge(F.col("value"), F.col("far")).alias("value"))
+        state = checkpointed(state.where("to is null").unionByName(moved))
+    _no_cycle(state.where("to is not null"))
+    return state.select("id", "value")
+
+
+def _jumps(nodes: DataFrame) -> list[DataFrame]:
+    """id, to: the ancestor 1, 2, 4, ... steps up, of nodes that have one; a row a node at most."""
+    out = [checkpointed(_pointers(nodes).where("to is not null"))]
+    rounds = _rounds(nodes)
+    while out[-1].limit(1).count():
+        if len(out) > rounds:
+            _no_cycle(out[-1])
+        half = out[-1]
+        out.append(checkpointed(half.join(half.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to"))))
+    return out[:-1]
 
 
-def path_to(all_paths: DataFrame, node) -> DataFrame:
-    """Root to node."""
-    return all_paths.where(F.col("id") == node).select("depth", F.col("ancestor").alias("id"))
+def depths(nodes: DataFrame) -> DataFrame:
+    """id, depth: ancestors above."""
+    rooted = _pointers(nodes).withColumnRenamed("to", "parent")
+    return fold_up(rooted, F.col("parent").isNotNull().cast("int"), lambda near, far: near + far).select("id", F.col("value").alias("depth"))
 
 
-def rebuild(all_paths: DataFrame, deltas: DataFrame) -> DataFrame:
-    """History of every node: its path's deltas in order; and the last note on the path that isn't null."""
-    met = all_paths.join(deltas.select(F.col("id").alias("ancestor"), "delta", "note"), "ancestor")
-    history = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("depth", "delta"))), lambda x: x["delta"]))
-    return met.groupBy("id").agg(history.alias("history"), F.max_by("note", F.when(F.col("note").isNotNull(), F.col("depth"))).alias("note"))
+def path_to(nodes: DataFrame, node) -> DataFrame:
+    """depth, id: root to node.  Ancestors at multiples of a long jump come first, then those between, by shorter ones."""
+    found = nodes.where(F.col("id") == node).select("id", F.lit(0).alias("up"))
+    for k, jump in reversed(list(enumerate(_jumps(nodes)))):
+        more = found.join(jump, "id").select(F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))
+        found = checkpointed(found.unionByName(more))
+    most = found.agg(F.max("up")).first()[0] or 0
+    return found.select((F.lit(most) - F.col("up")).alias("depth"), "id")
 
 
-def delete_subtree(nodes: DataFrame, all_paths: DataFrame, top) -> DataFrame:
-    return nodes.join(all_paths.where(F.col("ancestor") == top).select("id"), "id", "left_anti")
+def subtree(nodes: DataFrame, top) -> DataFrame:
+    """id: top and all below it.  What is up to 2, 4, 8, ... steps below comes by jumps into what is nearer."""
+    found = nodes.where(F.col("id") == top).select("id").distinct()
+    for jump in _jumps(nodes):
+        found = checkpointed(found.unionByName(jump.join(found.select(F.col("id").alias("to")), "to", "left_semi").select("id")).distinct())
+    return found
+
+
+def rebuild(nodes: DataFrame, deltas: DataFrame) -> DataFrame:
+    """id, history, note: the deltas (id, delta array, note) on the path from the root in order, and the last note on it
+    that isn't null."""
+    every = nodes.select("id", "parent").join(deltas.select("id", "delta", "note"), "id", "left")
+    own = F.struct(F.coalesce("delta", F.array().cast(deltas.schema["delta"].dataType)).alias("history"), F.col("note").alias("note"))
+
+    def merge(near: Column, far: Column) -> Column:
+        return F.struct(F.concat(far["history"], near["history"]).alias("history"), F.coalesce(near["note"], far["note"]).alias("note"))
+
+    return fold_up(every, own, merge).select("id", "value.history", "value.note")
+
+
+def delete_subtree(nodes: DataFrame, top) -> DataFrame:
+    return nodes.join(subtree(nodes, top), "id", "left_anti")
 
 
 def garbage(blobs: DataFrame, references: DataFrame) -> DataFrame:
@@ -46,17 +106,31 @@ def garbage(blobs: DataFrame, references: DataFrame) -> DataFrame:
     return blobs.join(references.select("hash").where("hash is not null").distinct(), "hash", "left_anti")
 
 
-def chains(nodes: DataFrame, all_paths: DataFrame) -> DataFrame:
-    """id and head: the nearest ancestor, or itself, that isn't the only child of its parent."""
+def chains(nodes: DataFrame) -> DataFrame:
+    """id, head, steps: the nearest ancestor, or itself, that isn't the only child of its parent, and how far up it is."""
     only = nodes.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children"))
-    heads = nodes.join(only, "parent", "left").where("children is null or children > 1").select(F.col("id").alias("ancestor"))
-    return all_paths.join(heads, "ancestor").groupBy("id").agg(F.min_by("ancestor", "up").alias("head"), F.min("up").alias("steps"))
+    every = nodes.select("id", "parent").join(only, "parent", "left")
+    heads = F.col("children").isNull() | (F.col("children") > 1)
+    own = F.struct(F.when(heads, F.col("id")).alias("head"), F.when(heads, 0).otherwise(1).alias("steps"))
+
+    def merge(near: Column, far: Column) -> Column:
+        return F.when(near["head"].isNotNull(), near).otherwise(F.struct(far["head"].alias("head"), (near["steps"] + far["steps"]).alias("steps")))
+
+    return fold_up(every, own, merge).select("id", "value.head", "value.steps").where("head is not null")
+
+
+def file_state(nodes: DataFrame, writes: DataFrame) -> DataFrame:
+    """id, path, hash: state of each file at each node, the nearest write (id, path, hash) on its path; a null hash is a
+    file that is gone.  A node carries a map of its files, one write of each."""
+    own = writes.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("hash")))).alias("files"))
+    every = nodes.select("id", "parent").join(own, "id", "left")
+    kind = own.schema["files"].dataType
 
+    def merge(near: Column, far: Column) -> Column:
+        return F.map_concat(near, F.map_filter(far, lambda k, _: ~F.map_contains_key(near, k)))
 
-def file_state(all_paths: DataFrame, writes: DataFrame) -> DataFrame:
-    """State of each file at each node: the nearest write on its path; a null hash is a file that is gone."""
-    met = all_paths.join(writes.select(F.col("id").alias("ancestor"), "path", "hash"), "ancestor")
-    return met.groupBy("id", "path").agg(F.max_by(F.struct("hash"), "depth").alias("s")).select("id", "path", "s.hash").where("hash is not null")
+    states = fold_up(every, F.coalesce("files", F.create_map().cast(kind)), merge)
+    return states.select("id", F.explode("value").alias("path", "s")).select("id", "path", "s.hash").where("hash is not null")
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -64,11 +138,11 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti").select("id")
 
 
-def same_depth(all_paths: DataFrame) -> DataFrame:
+def same_depth(nodes: DataFrame) -> DataFrame:
     """Each node with the next of its depth, around the end."""
     from marlstone.operators.maintenance import next_in_cycle
 
-    return next_in_cycle(all_paths.where("up = 0").select("id", "depth"), "depth")
+    return next_in_cycle(depths(nodes), "depth")
 
 
 def tail_behind(pairs: DataFrame) -> DataFrame:

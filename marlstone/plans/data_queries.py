@@ -605,7 +605,7 @@ paths AS (SELECT *, max(up) OVER (PARTITION BY id) - up AS depth FROM up)"""
 
 @query("v1_path_to", f"WITH RECURSIVE {_TREE} SELECT depth, ancestor AS id FROM paths WHERE id = 148")
 def v1(spark, d):
-    return tree.path_to(tree.paths(_nodes(spark, d)), 148)
+    return tree.path_to(_nodes(spark, d), 148)
 
 
 @query("v2_rebuild", f"WITH RECURSIVE {_TREE} SELECT id, string_agg('d' || ancestor, '' ORDER BY depth) AS history, max(CASE WHEN ancestor % 3 = 0 THEN (depth, 'n' || ancestor) END)[2] AS note FROM paths GROUP BY 1")
@@ -613,13 +613,13 @@ def v2(spark, d):
     n = _nodes(spark, d)
     s = F.col("id").cast("string")
     deltas = n.select("id", F.array(F.concat(F.lit("d"), s)).alias("delta"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("n"), s)).alias("note"))
-    return tree.rebuild(tree.paths(n), deltas).withColumn("history", F.array_join("history", ""))
+    return tree.rebuild(n, deltas).withColumn("history", F.array_join("history", ""))
 
 
 @query("v3_delete_subtree", f"WITH RECURSIVE {_TREE} SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM paths WHERE ancestor = 105)")
 def v3(spark, d):
     n = _nodes(spark, d)
-    return tree.delete_subtree(n, tree.paths(n), 105).select("id")
+    return tree.delete_subtree(n, 105).select("id")
 
 
 @query("v4_garbage", "SELECT DISTINCT md5(text) AS hash FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -631,19 +631,19 @@ def v4(spark, d):
 @query("v5_chains", f"WITH RECURSIVE {_TREE}, c AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1), h AS (SELECT id FROM nodes LEFT JOIN c USING (parent) WHERE n IS NULL OR n > 1) SELECT p.id, arg_min(p.ancestor, p.up) AS head, min(p.up) AS steps FROM paths p JOIN h ON h.id = p.ancestor GROUP BY 1")
 def v5(spark, d):
     n = _nodes(spark, d)
-    return tree.chains(n, tree.paths(n))
+    return tree.chains(n)
 
 
 @query("v6_file_state", f"WITH RECURSIVE {_TREE}, w AS (SELECT id, 'f' || id % 4 AS path, CASE WHEN id % 5 <> 0 THEN 'h' || id END AS hash FROM nodes), s AS (SELECT p.id, path, max((depth, hash))[2] AS hash FROM paths p JOIN w ON w.id = p.ancestor GROUP BY 1, 2) SELECT * FROM s WHERE hash IS NOT NULL")
 def v6(spark, d):
     n = _nodes(spark, d)
     s = F.col("id").cast("string")
-    return tree.file_state(tree.paths(n), n.select("id", F.concat(F.lit("f"), (F.col("id") % 4).cast("string")).alias("path"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("h"), s)).alias("hash")))
+    return tree.file_state(n, n.select("id", F.concat(F.lit("f"), (F.col("id") % 4).cast("string")).alias("path"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("h"), s)).alias("hash")))
 
 
 @query("v8_same_depth", f"WITH RECURSIVE {_TREE}, n AS (SELECT id, depth FROM paths WHERE up = 0) SELECT id, depth, coalesce(lead(id) OVER (PARTITION BY depth ORDER BY id), min(id) OVER (PARTITION BY depth)) AS next_id FROM n")
 def v8(spark, d):
-    return tree.same_depth(tree.paths(_nodes(spark, d)))
+    return tree.same_depth(_nodes(spark, d))
 
 
 @query("v9_roots", "SELECT doc_id AS id FROM documents WHERE doc_id % 10 = 1 OR doc_id = 0")

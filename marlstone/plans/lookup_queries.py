@@ -54,17 +54,13 @@ def f10(spark, d):
     return lookups.resolve_documents(asked, docs, F.lower("source"))
 
 
-@query("g1_image_references", "SELECT doc_id, 0 AS pos, 'cat ' || doc_id AS alt, 'img/' || doc_id || '.png' AS path FROM documents WHERE NOT contains(text, '![')")
+@query("g1_image_references", "SELECT doc_id, 0 AS pos, 'cat ' || doc_id AS alt, 'img/' || doc_id || '.png' AS path FROM documents")
 def g1(spark, d):
+    """Texts whose own images are defused, so that SQL knows what is left; g1_image_references_whole has them as they are."""
     i = F.col("doc_id").cast("string")
-    t = F.concat(F.lit("![ cat "), i, F.lit("](img/"), i, F.lit('.png "t") '), "text", F.lit(" ![x](http://a/b.png)"))
-    return lookups.image_references(table(spark, d, "documents").where(~F.contains("text", F.lit("!["))).select("doc_id", t.alias("text")))
-
-
-@query("g6_captions", f"WITH {RECORDS}, l AS (SELECT doc_id, chunk_index, trim(body) AS b FROM records), c AS (SELECT *, nullif(lag(b) OVER w, '') AS a1, nullif(lead(b) OVER w, '') AS b1 FROM (SELECT doc_id, chunk_index, CASE WHEN chunk_index = 1 THEN '' ELSE b END AS b FROM l WHERE chunk_index < 2) WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)) SELECT doc_id, 1 AS line_no, a1 AS caption FROM c WHERE chunk_index = 1")
-def g6(spark, d):
-    line = F.when(F.col("chunk_index") == 1, "![x](y.png)").otherwise(F.col("body"))
-    return lookups.captions(records(spark, d).where("chunk_index < 2").select("doc_id", F.col("chunk_index").cast("int").alias("line_no"), line.alias("line"))).where("line_no = 1")
+    own = F.replace(F.coalesce("text", F.lit("")), F.lit("!["), F.lit("!("))
+    t = F.concat(F.lit("![ cat "), i, F.lit("](img/"), i, F.lit('.png "t") '), own, F.lit(" ![x](http://a/b.png)"))
+    return lookups.image_references(table(spark, d, "documents").select("doc_id", t.alias("text")))
 
 
 @query("g1_image_references_whole")
@@ -85,8 +81,8 @@ m AS (SELECT *, CASE WHEN coalesce(a1, b1) IS NULL THEN a2 ELSE a1 END AS a, CAS
 SELECT doc_id, line_no, coalesce(own, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN {REF_KEY.format("a")} = {REF_KEY.format("b")} AND {REF_KEY.format("a")} <> '' THEN a END) AS caption FROM m"""
 
 
-@query("g6_captions_whole", _G6)
-def g6_all(spark, d):
+@query("g6_captions", _G6)
+def g6(spark, d):
     c, n = F.col("chunk_index"), F.expr("(chunk_index - 1) div 3")
     named = (F.col("doc_id") % 2 == 1) & (c % 3 > 0) & (n % 2 == 0)
     body = F.when(named, F.concat(F.lit("图 "), (n % 500).cast("string"), F.lit("： "), "body")).otherwise(F.col("body"))

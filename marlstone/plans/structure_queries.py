@@ -33,12 +33,13 @@ def k1(spark, d):
     return chunking.chunks(_markdown(spark, d))
 
 
-@query("k2_sections", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, source FROM documents), r AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM l)
-SELECT doc_id, i + 4 AS line_no, '/Source ' || source || '/Document ' || doc_id || '/' AS header_path FROM r WHERE NOT regexp_matches(line, '^\\s{0,3}#{1,6}\\s+\\S') AND NOT EXISTS (SELECT 1 FROM documents d2 WHERE d2.doc_id = r.doc_id AND regexp_matches(d2.text, '(?m)^\\s{0,3}(#{1,6}\\s+\\S|`{3,}|~{3,}|\\$\\$)'))""")
+@query("k2_sections", """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, source FROM documents), r AS (SELECT doc_id, source, unnest(range(0, len(ls))) AS i FROM l)
+SELECT doc_id, i + 4 AS line_no, '/Source ' || source || '/Document ' || doc_id || '/' AS header_path FROM r""")
 def k2(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(?m)^\s{0,3}(#{1,6}\s+\S|`{3,}|~{3,}|\$\$)"))
-    text = F.concat(F.lit("# Source "), "source", F.lit("\n\n## Document <b>"), F.col("doc_id").cast("string"), F.lit("</b> ##\n\n"), "text", F.lit("|"))
-    rows = chunking.sections(chunking.classified(chunking.lines(docs.select("doc_id", text.alias("text")))))
+    """Texts whose own marks are defused, so that SQL knows the sections; k2_sections_whole has them as they are."""
+    own = F.translate(F.coalesce("text", F.lit("")), "#`~$", "....")
+    text = F.concat(F.lit("# Source "), "source", F.lit("\n\n## Document <b>"), F.col("doc_id").cast("string"), F.lit("</b> ##\n\n"), own, F.lit("|"))
+    rows = chunking.sections(chunking.classified(chunking.lines(table(spark, d, "documents").select("doc_id", text.alias("text")))))
     return rows.where("line_no > 3").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "header_path")
 
 
@@ -67,10 +68,12 @@ def k16(spark, d):
     return table(spark, d, "pages").select("page_id", html.plain_text(F.col("html")).alias("plain"))
 
 
-@query("k19_checklist", "SELECT doc_id, unnest(['read', 'keep ' || lang]) AS content, unnest([true, false]) AS done, unnest([8, 9]) AS pos FROM (SELECT DISTINCT doc_id, lang FROM documents WHERE NOT regexp_matches(text, '(?m)^\\s*([-*+]|\\d+[.)])\\s*\\['))")
+@query("k19_checklist", "SELECT doc_id, unnest(['read', 'keep ' || coalesce(lang, '')]) AS content, unnest([true, false]) AS done, unnest([0, 1]) AS pos FROM documents")
 def k19(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(?m)^\s*([-*+]|\d+[.)])\s*\[")).select("doc_id")
-    return chunking.checklist(_markdown(spark, d).join(docs, "doc_id", "left_semi"))
+    """Texts whose own brackets are defused, so that SQL knows the list; k19_checklist_whole has them as they are."""
+    own = F.replace(F.coalesce("text", F.lit("")), F.lit("["), F.lit("("))
+    text = F.concat(F.lit("- [x] read\n- [ ] keep "), F.coalesce("lang", F.lit("")), F.lit("\n\n"), own)
+    return chunking.checklist(table(spark, d, "documents").select("doc_id", text.alias("text")))
 
 
 @query("k19_checklist_whole")

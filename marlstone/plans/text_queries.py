@@ -81,13 +81,14 @@ def f12(spark, d):
     return records(spark, d).select("data_id", T.source_name(F.concat(F.lit("0123456789abcdef-"), "file_name")).alias("a"), T.source_name(F.col("file_name")).alias("source_file_name"), T.section_name(F.col("file_name")).alias("source_section")).drop("a").distinct()
 
 
-@query("f13_redact", "SELECT doc_id, '[内部路径] in [内部知识库] ' || regexp_replace(regexp_replace(regexp_replace(left(text, 60), '\\A\\s+|\\s+\\z', '', 'g'), '(?:[A-Za-z]:[\\\\/]|/)[^\\s,;]+', '[内部路径]', 'g'), '(?i)\\bkb-[a-z0-9_-]+\\b', '[内部知识库]', 'g') AS redacted FROM documents")
-def f13(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.redact(F.concat(F.lit("/var/data/x.md in kb-src1 "), T.strip(F.left("text", F.lit(60))))).alias("redacted"))
+# What public_text does to a text, in SQL.
+_PUBLIC = _STRIP.format("""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?m)^\\s*章节路径：/[^\\r\\n]*\\r?\\n+', '', 'g'), '!\\[\\s*\\]\\([^\\r\\n)]*(?:\\)|$)', '[图片]', 'g'),
+  '!\\[\\s*([^\\]]*?)\\s*\\]\\([^\\r\\n)]*(?:\\)|$)', '[图片：\\1]', 'g'), '(?i)\\S*?\\.assets-[^\\s()]*[\\\\/][^\\s()]+\\.(?:png|jpe?g|jp2|webp|gif|bmp|tiff?)(?:\\?[^\\s)]*)?\\)?', '[图片]', 'g')""")
 
 
-@query("f13_redact_whole")
-def f13_all(spark, d):
+@query("f13_redact", f"""WITH p AS (SELECT doc_id, {_PUBLIC.format("'/var/data/x.md in kb-src1 ' || coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(t, '(?:[A-Za-z]:[\\\\/]|/)[^\\s,;]+', '[内部路径]', 'g'), '(?i)\\bkb-[a-z0-9_-]+\\b', '[内部知识库]', 'g') AS redacted FROM p""")
+def f13(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact(F.concat(F.lit("/var/data/x.md in kb-src1 "), F.coalesce("text", F.lit("")))).alias("redacted"))
 
 
@@ -119,13 +120,8 @@ def r16(spark, d):
     return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), ["the", "Der", "x"]).alias("snippet"))
 
 
-@query("g4_ref_key", f"WITH {RECORDS} SELECT data_id, chunk_index, '图' || (doc_id % 9) || '-' || chunk_index AS ref_key FROM records WHERE chunk_index < 1000")
+@query("g4_ref_key", f"WITH {RECORDS} SELECT data_id, chunk_index, {REF_KEY.format("'见 ' || label || '。'")} AS ref_key FROM records")
 def g4(spark, d):
-    return records(spark, d).where("chunk_index < 1000").select("data_id", "chunk_index", T.ref_key(F.concat(F.lit("见 "), "label", F.lit("。"))).alias("ref_key"))
-
-
-@query("g4_ref_key_whole", f"WITH {RECORDS} SELECT data_id, chunk_index, {REF_KEY.format("'见 ' || label || '。'")} AS ref_key FROM records")
-def g4_all(spark, d):
     return records(spark, d).select("data_id", "chunk_index", T.ref_key(F.concat(F.lit("见 "), "label", F.lit("。"))).alias("ref_key"))
 
 
@@ -140,9 +136,9 @@ def g13(spark, d):
     return records(spark, d).where("kind = 'image'").select("data_id", "chunk_index", T.asset_body({"title": F.col("caption"), "ref_key": F.col("label"), "table_markdown": F.col("table_markdown")}).alias("asset_body"))
 
 
-@query("k17_clean_transport", "SELECT doc_id, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') || chr(10) || 'end x' AS cleaned FROM documents WHERE length(text) > 0")
+@query("k17_clean_transport", f"""WITH s AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || chr(10) END || 'end x' AS cleaned FROM s""")
 def k17(spark, d):
-    return table(spark, d, "documents").where("length(text) > 0").select("doc_id", T.clean_transport(F.concat(F.lit(" \r\n"), T.strip(F.col("text")), F.lit("\r\nend\0x\r"))).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", T.clean_transport(F.concat(F.lit(" \r\n"), T.text(F.col("text")), F.lit("\r\nend\0x\r"))).alias("cleaned"))
 
 
 @query("x1_middle_ellipsis", "SELECT doc_id, CASE WHEN length(text) < 110 THEN text ELSE left(text, 50) || ' ... ' || right(text, 50) END AS short FROM documents")
@@ -156,23 +152,18 @@ def x2(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clip_rows(F.col("text"), 300).alias("clipped"))
 
 
-@query("x3_public_text", "SELECT doc_id, '[图片：cat] ' || regexp_replace(left(text, 40), '\\A\\s+|\\s+\\z', '', 'g') || ' [图片]' AS public_text FROM documents WHERE NOT contains(left(text, 40), '![')")
+@query("x3_public_text", f"""SELECT doc_id, {_PUBLIC.format("'章节路径：/a/b' || chr(10) || chr(10) || '![ cat ](x/y.png) ' || coalesce(text, '') || ' p.assets-1/i.png'")} AS public_text FROM documents""")
 def x3(spark, d):
-    t = F.concat(F.lit("章节路径：/a/b\n\n![ cat ](x/y.png) "), T.strip(F.left("text", F.lit(40))), F.lit(" p.assets-1/i.png"))
-    return table(spark, d, "documents").where(~F.contains(F.left("text", F.lit(40)), F.lit("!["))).select("doc_id", T.public_text(t).alias("public_text"))
-
-
-@query("x3_public_text_whole")
-def x3_all(spark, d):
     t = F.concat(F.lit("章节路径：/a/b\n\n![ cat ](x/y.png) "), F.coalesce("text", F.lit("")), F.lit(" p.assets-1/i.png"))
     return table(spark, d, "documents").select("doc_id", T.public_text(t).alias("public_text"))
 
 
-@query("x4_folded_ascii", "SELECT doc_id, lower(text) AS folded FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query("x4_folded_ascii", "SELECT doc_id, lower(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')) AS folded FROM documents")
 def x4(spark, d):
+    """The ASCII characters of every text, for which SQL has the folding."""
     from marlstone.functions.unicode import fold
 
-    return table(spark, d, "documents").where(~F.col("text").rlike("[^\\x00-\\x7f]")).select("doc_id", fold("text").alias("folded"))
+    return table(spark, d, "documents").select("doc_id", fold(F.regexp_replace("text", "[^\\x00-\\x7f]", "")).alias("folded"))
 
 
 @query("x4_folded")
@@ -209,10 +200,11 @@ def x12(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(T.split_objects(F.concat(F.lit('{"k": 1}'), "props")), "|").alias("objects"))
 
 
-@query("x14_visible", "SELECT doc_id, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS visible FROM documents WHERE NOT contains(text, '<')")
+@query("x14_visible", f"""SELECT doc_id, {_STRIP.format("replace(coalesce(text, ''), '<', '(')")} AS visible FROM documents""")
 def x14(spark, d):
-    t = F.concat(F.lit("<thinking a>x\ny</thinking><tool_use>{}</tool_use>"), "text", F.lit(" <function = run.it> rest"))
-    return table(spark, d, "documents").where(~F.contains("text", F.lit("<"))).select("doc_id", T.visible(t).alias("visible"))
+    """Texts whose own tags are defused, so that SQL knows what is left; x14_visible_whole has them as they are."""
+    t = F.concat(F.lit("<thinking a>x\ny</thinking><tool_use>{}</tool_use>"), F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("(")), F.lit(" <function = run.it> rest"))
+    return table(spark, d, "documents").select("doc_id", T.visible(t).alias("visible"))
 
 
 @query("x14_visible_whole")
@@ -221,14 +213,9 @@ def x14_all(spark, d):
     return table(spark, d, "documents").select("doc_id", T.visible(t).alias("visible"))
 
 
-@query("x15_last_code_block", "SELECT doc_id, regexp_replace(left(text, 30), '\\A\\s+|\\s+\\z', '', 'g') AS code FROM documents")
+@query("x15_last_code_block", f"""WITH t AS (SELECT doc_id, '```py' || chr(10) || 'first' || chr(10) || '```' || chr(10) || '```bash' || chr(10) || 'ls' || chr(10) || '```' || chr(10) || '```python' || chr(10) || coalesce(text, '') || chr(10) || '```' AS t FROM documents)
+SELECT doc_id, {_STRIP.format("list_extract(regexp_extract_all(t, '(?s)```(?:python|py)\\n(.*?)\\n```', 1), -1)")} AS code FROM t""")
 def x15(spark, d):
-    t = F.concat(F.lit("```py\nfirst\n```\n```bash\nls\n```\n```python\n"), F.left("text", F.lit(30)), F.lit("\n```"))
-    return table(spark, d, "documents").select("doc_id", T.last_code_block(t, "python").alias("code"))
-
-
-@query("x15_last_code_block_whole")
-def x15_all(spark, d):
     t = F.concat(F.lit("```py\nfirst\n```\n```bash\nls\n```\n```python\n"), F.coalesce("text", F.lit("")), F.lit("\n```"))
     return table(spark, d, "documents").select("doc_id", T.last_code_block(t, "python").alias("code"))
 
