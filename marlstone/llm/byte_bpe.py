@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
 from marlstone.llm.common import Memo, documents
@@ -110,6 +111,7 @@ class ByteBpe:
         self.words = MinimalPerfectHash(list(self.ranks), list(self.ranks.values()))
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self._matches = regex.compile(pattern).findall
+        self._cut = pattern == PATTERN  # what units() may cut apart is known for that pattern only
         self._pieces = Memo(lambda new: [self._encode_piece(x) for x in new], 200_000)
         self._units = Memo(lambda new: [b"".join(self._pieces.many(self._matches(x))) for x in new], 200_000)
 
@@ -121,7 +123,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self._units.many(units(text)))
+        return b"".join(self._units.many(units(text)) if self._cut else self._pieces.many(self._matches(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

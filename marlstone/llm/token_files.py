@@ -11,6 +11,7 @@ counts.  Nothing is renamed or overwritten, so tasks can fail, run again or twic
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -40,6 +41,10 @@ class _Encoder:
         self._t = Tokenizer.from_file(path)
         # strings that the library takes for one token wherever they stand: texts that hold one go to it whole
         self._added = [t.content for t in self._t.get_added_tokens_decoder().values()]
+        # units() may cut texts apart for this way of pre-tokenizing only; with another one texts go to the library whole
+        made = json.loads(self._t.to_str())
+        way = made.get("pre_tokenizer") or {}
+        self._cut = made.get("normalizer") is None and way.get("type") == "ByteLevel" and not way.get("add_prefix_space", True) and way.get("use_regex", True)
         self._dtype = dtype
         end = self._t.encode("\n", add_special_tokens=False).ids
         self._line_end = end[0] if len(end) == 1 else None
@@ -68,7 +73,7 @@ class _Encoder:
         return [out[x] for x in new]
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self._added):
+        if not self._cut or any(x in text for x in self._added):
             return np.array(self._t.encode(text, add_special_tokens=False).ids, self._dtype).tobytes()
         return b"".join(self._units.many(units(text)))
 
