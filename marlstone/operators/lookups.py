@@ -38,10 +38,31 @@ def lenient_json(c: Column) -> Column:
     return F.coalesce(good(bare), good(span), good(escaped))
 
 
+CALL = "array<struct<name:string,args:string>>"
+
+
 def tool_calls(c: Column) -> Column:
-    """Arguments' JSON of tool calls written into text, tags first."""
-    tagged = F.regexp_extract_all(c, F.lit(r"(?s)<(?:tool_use|tool_call)>\s*(\{.*?\})\s*</(?:tool_use|tool_call)>"), F.lit(1))
-    return F.filter(tagged, lambda x: F.try_parse_json(x).isNotNull())
+    """name and args (JSON) of tool calls written into text: a JSON array of calls at its end and nothing else, or calls
+    in tags and then function tags.  A function whose arguments aren't an object is called bad_json."""
+    begin = F.regexp_instr(c, F.lit(r'\[\{"type": ?"tool_use"'))
+    array = F.from_json(F.when((begin > 0) & F.endswith(c, F.lit("}]")), F.substring(c, begin, F.length(c))), "array<struct<type:string,name:string,input:string>>")
+    listed = F.transform(F.filter(array, lambda x: x["type"] == "tool_use"), lambda x: F.struct(x["name"].alias("name"), F.coalesce(x["input"], F.lit("{}")).alias("args")))
+
+    def args(x: Column, otherwise: Column) -> Column:
+        return F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in ("arguments", "args", "input")], otherwise)
+
+    tagged = F.regexp_extract_all(c, F.lit(r"(?s)<(?:tool_use|tool_call)>((?:(?!<(?:tool_use|tool_call)>).){15,}?)</(?:tool_use|tool_call)>"), F.lit(1))
+    tagged = F.transform(F.filter(tagged, lambda x: F.try_parse_json(x).isNotNull()), lambda x: F.struct(F.get_json_object(x, "$.name").alias("name"), args(x, F.lit("{}")).alias("args")))
+    tagged = F.filter(tagged, lambda x: F.coalesce(x["name"], F.lit("")) != "")
+    tag = F.lit(r"(?is)<function\s*=\s*([A-Za-z_][\w.-]*)\s*>(.*?)</function\s*>")
+    functions = F.arrays_zip(F.regexp_extract_all(c, tag, F.lit(1)).alias("name"), F.transform(F.regexp_extract_all(c, tag, F.lit(2)), T.strip).alias("body"))
+
+    def called(x: Column) -> Column:
+        inner = args(x["body"], x["body"])
+        good = F.try_parse_json(x["body"]).isNotNull() & F.startswith(x["body"], F.lit("{")) & F.startswith(inner, F.lit("{"))
+        return F.struct(F.when((x["body"] == "") | good, x["name"]).otherwise("bad_json").alias("name"), F.when(x["body"] == "", "{}").when(good, inner).otherwise(F.to_json(F.struct(F.concat(F.lit("Failed to parse function arguments for "), x["name"]).alias("msg")))).alias("args"))
+
+    return F.coalesce(F.when(F.size(listed) > 0, listed), F.concat(tagged.cast(CALL), F.transform(functions, called).cast(CALL)), F.array().cast(CALL))
 
 
 def captions(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import chunking, control, lookups, maintenance, sessions, tree
+from marlstone.operators import caching, chunking, control, lookups, maintenance, scopes, sessions, tree
 from marlstone.plans.inputs import RECORDS, REF_KEY, records, table
 
 QUERIES, SQL = {}, {}
@@ -135,10 +135,75 @@ def x11(spark, d):
     return table(spark, d, "events").select("event_id", lookups.lenient_json(c).alias("object"))
 
 
-@query("x13_tool_calls", "SELECT event_id, props || '|{\"a\": 1}' AS calls FROM events")
+@query("x13_tool_calls", """WITH p AS (SELECT event_id, CAST(json(props) AS VARCHAR) AS a, 'n' || event_id % 5 AS n FROM events)
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN n || a || '|m{}' WHEN 1 THEN n || a || '|m{"x":[1]}' WHEN 2 THEN 'f' || a || '|' || n || '{}' WHEN 3 THEN 'bad_json{"msg":"Failed to parse function arguments for f"}' WHEN 4 THEN '' ELSE 't' || a || '|f' || a END AS calls FROM p""")
 def x13(spark, d):
-    c = F.concat(F.lit("x <tool_use>"), "props", F.lit('</tool_use> y <tool_call>\n{"a": 1}\n</tool_call> <tool_use>{bad</tool_use>'))
-    return table(spark, d, "events").select("event_id", F.array_join(lookups.tool_calls(c), "|").alias("calls"))
+    name = F.concat(F.lit("n"), (F.col("event_id") % 5).cast("string"))
+    forms = [
+        F.concat(F.lit('said [{"type": "tool_use", "name": "'), name, F.lit('", "input": '), "props", F.lit('}, {"type": "text"}, {"type": "tool_use", "name": "m"}]')),
+        F.concat(F.lit('x <tool_use>{"name": "'), name, F.lit('", "arguments": '), "props", F.lit('}</tool_use> y <tool_call>\n{"name": "m", "input": {"x": [1]}}</tool_call> <tool_use>{bad, not any JSON}</tool_use>')),
+        F.concat(F.lit("<function = f>"), "props", F.lit("</function><FUNCTION="), name, F.lit("> </FUNCTION >")),
+        F.lit("<function=f>[1, 2]</function>"), F.lit('nothing [{"type": "text"}]'),
+        F.concat(F.lit('<tool_call>{"name": "t", "args": '), "props", F.lit('}</tool_call><function=f>{"args": '), "props", F.lit("}</function>")),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
+    # JSON without white space, as the reader of a column may keep or drop it
+    shown = F.transform(lookups.tool_calls(text), lambda x: F.concat(x["name"], F.when(F.startswith(x["args"], F.lit('{"msg"')), x["args"]).otherwise(F.to_json(F.try_parse_json(x["args"])))))
+    return table(spark, d, "events").select("event_id", F.array_join(shown, "|").alias("calls"))
+
+
+_SCOPES = """CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '[1]' WHEN 2 THEN '{"mode": "everything"}' WHEN 3 THEN '{"mode": " KB ", "kb_id": "' || source || '"}'
+  WHEN 4 THEN '{"mode": "document", "kb_id": "' || source || '", "data_id": "' || source || '::d' || doc_id || '", "origin": "chat"}' WHEN 5 THEN '{"mode": "document", "kb_id": "a", "data_id": "b::d"}'
+  WHEN 6 THEN '{"mode": "selection", "targets": [{"kb_id": "' || source || '", "documents": [{"data_id": "b::d"}]}, {"kb_id": "' || source || '", "all_documents": true}, {"kb_id": "x", "documents": [{"data_id": "x::1"}, {"data_id": "x::1"}]}]}'
+  ELSE '{"mode": "selection", "targets": [{"kb_id": "' || source || '"}]}' END"""
+
+
+@query("f9_scopes", """SELECT doc_id AS id, CASE doc_id % 8 WHEN 0 THEN 'all' WHEN 3 THEN 'kb' WHEN 4 THEN 'document' WHEN 6 THEN 'selection' ELSE 'none' END AS mode,
+  CASE WHEN doc_id % 8 IN (3, 5) THEN 'knowledge' ELSE 'chat' END AS origin, CASE WHEN doc_id % 8 IN (3, 4) THEN source END AS kb_id, CASE WHEN doc_id % 8 = 4 THEN source || '::d' || doc_id END AS data_id,
+  CASE WHEN doc_id % 8 = 6 THEN source || ':0,x:1' END AS targets FROM documents""")
+def f9(spark, d):
+    normal = scopes.normalize(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(_SCOPES).alias("scope")))
+    shown = F.array_join(F.transform("targets", lambda t: F.concat_ws(":", t["kb_id"], F.size(t["documents"]).cast("string"))), ",")
+    return normal.select("id", "mode", "origin", "kb_id", "data_id", shown.alias("targets"))
+
+
+@query("f9_allowed", """SELECT d.doc_id AS id, r.doc_id AS request, CASE d.doc_id % 8 WHEN 0 THEN true WHEN 3 THEN d.source = r.source WHEN 4 THEN d.doc_id = r.doc_id WHEN 6 THEN d.source = r.source ELSE false END AS allowed
+FROM documents d JOIN documents r ON r.doc_id // 8 = d.doc_id // 8""")
+def f9_check(spark, d):
+    docs = table(spark, d, "documents")
+    normal = scopes.normalize(docs.select(F.col("doc_id").alias("id"), F.expr(_SCOPES).alias("scope")))
+    group = F.expr("doc_id div 8")
+    asked = docs.select(F.col("doc_id").alias("id"), group.alias("g")).join(docs.select(F.col("doc_id").alias("request"), F.col("source").alias("kb_id"), group.alias("g")), "g")
+    asked = asked.select("id", "request", "kb_id", F.concat("kb_id", F.lit("::d"), F.col("request").cast("string")).alias("data_id"))
+    return scopes.allowed(asked, normal).select("id", "request", "allowed")
+
+
+@query("m14_list_documents", f"WITH {RECORDS} SELECT kb_id, data_id, count(*) AS n_chunks FROM records WHERE kb_id IN ('kb-src1', 'kb-src2') GROUP BY 1, 2")
+def m14_documents(spark, d):
+    normal = scopes.normalize(spark.createDataFrame([(1, '{"mode": "selection", "targets": [{"kb_id": "kb-src1", "all_documents": true}, {"kb_id": "kb-src2", "all_documents": true}]}')], "id int, scope string"))
+    return scopes.list_documents(records(spark, d).select("kb_id", "data_id"), normal, 1)
+
+
+@query("m14_list_chunks", f"""WITH {RECORDS}, n AS (SELECT * FROM records WHERE data_id = 'd7')
+SELECT chunk_index, left(body, 80) AS preview, CASE WHEN content_type <> '' THEN content_type WHEN kind = 'image' THEN CASE WHEN trim(table_markdown) <> '' THEN 'table' ELSE 'image' END WHEN regexp_matches(body, '(?i)<table\\b') OR regexp_matches(body, '(?m)^\\s*\\|?.+\\|.+$') THEN 'table' ELSE 'prose' END AS evidence_type,
+  CASE WHEN (SELECT max(chunk_index) FROM n) >= 5 THEN 5 END AS next_offset FROM n WHERE chunk_index BETWEEN 1 AND 4""")
+def m14_chunks(spark, d):
+    normal = scopes.normalize(spark.createDataFrame([(1, '{"mode": "all"}')], "id int, scope string"))
+    return scopes.list_chunks(records(spark, d), normal, 1, "d7", 1, 4)
+
+
+@query("u5_cache_misses", "SELECT DISTINCT sha256('embed' || chr(31) || text) AS cache_key, text FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+def u5(spark, d):
+    keyed = caching.keyed(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "embed")
+    return caching.misses(keyed, keyed.where("doc_id % 3 = 0"))
+
+
+@query("u5_cached_lengths", "SELECT doc_id, length(text) AS value, bool_or(doc_id % 3 = 0) OVER (PARTITION BY text) AS hit FROM documents WHERE text IS NOT NULL")
+def u5_all(spark, d):
+    """The lengths of texts stand for a model's answers; a third of the documents is known."""
+    keyed = caching.keyed(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "embed")
+    cache = keyed.where("doc_id % 3 = 0").select("cache_key", F.length("text").cast("long").alias("value"))
+    return caching.answered(keyed, cache, lambda texts: [len(t) for t in texts], "long", 256).select("doc_id", "value", "hit")
 
 
 @query("t3_reconcile", "SELECT event_id AS call, CASE WHEN event_id % 2 = 0 AND event_id % 120 > 60 THEN ts + INTERVAL 1 SECOND * (event_id % 120) ELSE ts END AS ts, CASE WHEN event_id % 2 = 0 THEN event_id % 7 ELSE 100 END AS tokens, CASE WHEN event_id % 2 = 0 AND event_id % 120 > 60 THEN 0 ELSE 1 END AS requests FROM events")
