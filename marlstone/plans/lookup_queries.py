@@ -251,13 +251,13 @@ def m9(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("real_path")).agg(F.min("doc_id").alias("doc"))
 
 
-@query("k13_k14_table_context")
+@query("k13_k14_table_context", """WITH t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '#`~$|>-*+[!', '...........'), '(?m)^(\\s*\\d+)[.)]', '\\1:', 'g') AS own FROM documents)
+SELECT doc_id, '表 ' || doc_id % 9 || '-2 Sales' AS title, '表格：表 ' || doc_id % 9 || '-2 Sales' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '单位：kg' ELSE '' END AS lead, 'about ' || doc_id AS before, nullif(left(regexp_replace(own, '\\A\\s+|\\s+\\z', '', 'g'), 384), '') AS after FROM t""")
 def k14(spark, d):
-    """Text around table blocks, from the block rows of the chunker."""
-    from pyspark.sql import Window
-
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("before\n\n| a |\n| --- |\n| 1 |\n\n"), "text").alias("text"))
-    b = chunking.blocks(chunking.sections(chunking.classified(chunking.lines(t))))
-    w = Window.partitionBy("doc_id").orderBy("block")
-    side = lambda f: F.when(f("kind").over(w) == "prose", F.left(T.strip(f("raw").over(w)), F.lit(384)))
-    return b.withColumns({"before": side(F.lag), "after": side(F.lead)}).where("kind = 'table'").select("doc_id", "block", "before", "after")
+    """Names, units and texts around tables; marks of the documents' own are defused, so that SQL knows the blocks."""
+    i = F.col("doc_id")
+    own = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "#`~$|>-*+[!", "..........."), r"(?m)^(\s*\d+)[.)]", "$1:")
+    unit = F.when(i % 2 == 0, "\n单位：kg\n").otherwise("")
+    t = F.concat(F.lit("about "), i.cast("string"), F.lit("\n\n表 "), (i % 9).cast("string"), F.lit("-2 Sales"), unit, F.lit("\n| a |\n| --- |\n| 1 |\n\n"), own)
+    rows = chunking.bound(chunking.blocks(chunking.sections(chunking.classified(chunking.lines(table(spark, d, "documents").select("doc_id", t.alias("text")))))))
+    return chunking.table_context(rows).drop("block")
