@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import board, control, folds, maintenance, references, retrieval, sessions, splitting, tree, usage
 from marlstone.plans.inputs import COUNTERS, CURRENCY_RATE, DEFAULT_PRICE, POSTS, PRICES, PRICES_SQL, RECORDS, counters, posts, records, table
+from marlstone.sources import files
 
 QUERIES, SQL = {}, {}
 NOW = datetime(2024, 1, 20, 12, 30)
@@ -203,6 +204,22 @@ def l8(spark, d):
     return e.where("event_type = 'purchase'").select("user_id").distinct().join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_anti")
 
 
+@query("l9_stream_blocks", """SELECT user_id AS stream, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'thinking' END AS kind, string_agg(event_type || ' ' || event_id, '' ORDER BY event_id) AS text FROM events GROUP BY 1, 2""")
+def l9(spark, d):
+    """The events as token streams of their users, a third of them in each wire format."""
+    part = F.to_json(F.struct(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("p")))
+    part = F.substring(part, F.lit(6), F.length(part) - 6)  # the JSON string
+    first = lambda a, b: F.when(F.col("event_id") % 2 == 0, F.lit(a)).otherwise(F.lit(b))
+    forms = [
+        F.concat(F.lit('{"index": 0, "delta": {"type": "'), first('text_delta", "text": ', 'thinking_delta", "thinking": '), part, F.lit("}}")),
+        F.concat(F.lit('{"choices": [{"delta": {"'), first("content", "reasoning_content"), F.lit('": '), part, F.lit("}}]}")),
+        F.concat(F.lit('{"type": "response.'), first("output_text.delta", "reasoning_text.delta"), F.lit('", "delta": '), part, F.lit("}")),
+    ]
+    value = F.concat(F.lit("data: "), F.element_at(F.array(*forms), (F.col("user_id") % 3 + 1).cast("int")))
+    lines = table(spark, d, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), value.alias("value"))
+    return files.token_stream(lines).select("stream", "kind", "text")
+
+
 @query("l10_ordered_distinct", "SELECT user_id, event_type, min(event_id) AS pos FROM events GROUP BY 1, 2")
 def l10(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("pos"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.schema import RECORD, normalize
@@ -87,16 +87,53 @@ def log_lines(spark: SparkSession, root: str, since=None) -> DataFrame:
     return (rows if since is None else rows.where(F.col("_metadata.file_modification_time") >= F.lit(since))).select("value")
 
 
+def _deltas(body: Column) -> Column:
+    """What one event adds, in any of three wire formats: structs of kind, index, part, name, call and whole.
+
+    Blocks with indexes and typed deltas; choices with a delta; responses with typed events.  whole: the part is all of
+    the block, not a piece of it.
+    """
+    j = lambda p: F.get_json_object(body, p)
+    kind = j("$.type")
+
+    def delta(kind_, index, part, name=F.lit(None), call=F.lit(None), whole=False):
+        return F.struct(F.lit(kind_).alias("kind"), F.coalesce(index.cast("int"), F.lit(0)).alias("index"), part.cast("string").alias("part"), name.cast("string").alias("name"), call.cast("string").alias("call"), F.lit(whole).alias("whole"))
+
+    zero, typed = F.lit(0), j("$.delta.type")
+    calls = F.from_json(j("$.choices[0].delta.tool_calls"), "array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>")
+    one = F.transform(calls, lambda x: F.struct(F.lit("tool_use").alias("kind"), F.coalesce(x["index"], zero).alias("index"), x["function"]["arguments"].alias("part"), x["function"]["name"].alias("name"), x["id"].alias("call"), F.lit(False).alias("whole")))
+    item = F.lit("function_call") == j("$.item.type")
+    many = F.array(
+        F.when(typed == "text_delta", delta("text", j("$.index"), j("$.delta.text"))), F.when(typed == "thinking_delta", delta("thinking", j("$.index"), j("$.delta.thinking"))),
+        F.when(typed == "input_json_delta", delta("tool_use", j("$.index"), j("$.delta.partial_json"))),
+        F.when(j("$.content_block.type") == "tool_use", delta("tool_use", j("$.index"), F.lit(None), j("$.content_block.name"), j("$.content_block.id"))),
+        F.when(j("$.choices[0].delta.content") != "", delta("text", zero, j("$.choices[0].delta.content"))),
+        F.when(F.coalesce(j("$.choices[0].delta.reasoning_content"), j("$.choices[0].delta.reasoning")) != "", delta("thinking", zero, F.coalesce(j("$.choices[0].delta.reasoning_content"), j("$.choices[0].delta.reasoning")))),
+        F.when(kind == "response.output_text.delta", delta("text", zero, j("$.delta"))), F.when(kind == "response.output_text.done", delta("text", zero, j("$.text"), whole=True)),
+        F.when(kind.isin("response.reasoning_summary_text.delta", "response.reasoning_text.delta"), delta("thinking", zero, j("$.delta"))), F.when(kind == "response.reasoning_text.done", delta("thinking", zero, j("$.text"), whole=True)),
+        F.when((kind == "response.output_item.added") & item, delta("tool_use", j("$.output_index"), F.lit(None), j("$.item.name"), F.coalesce(j("$.item.call_id"), j("$.item.id")))),
+        F.when(kind == "response.function_call_arguments.delta", delta("tool_use", j("$.output_index"), j("$.delta"))),
+        F.when(kind == "response.function_call_arguments.done", delta("tool_use", j("$.output_index"), j("$.arguments"), whole=True)),
+    )
+    return F.filter(F.concat(many, F.coalesce(one, F.slice(many, 1, 0))), lambda x: x.isNotNull())
+
+
 def token_stream(lines: DataFrame) -> DataFrame:
-    """Text of each block of event-stream lines, in order: stream, index, kind, text.
+    """stream, kind (thinking, text or tool_use), index, name, call, text of each block of event-stream lines.
 
-    lines: stream, seq, value with ``data: {json}``; deltas of text, thinking and tool input are joined by block.
+    lines: stream, seq, value with ``data: {json}`` in any of three wire formats.  Pieces are joined in order; the
+    whole of a text counts where no piece came, of a tool's arguments or of a thought always.  What stands behind a
+    stream's end, and what isn't an object, doesn't count.
     """
     body = F.regexp_extract("value", r"^data:\s*(\{.*\})\s*$", 1)
-    j = lambda p: F.get_json_object(body, p)
-    rows = lines.select("stream", "seq", F.coalesce(j("$.index"), j("$.choices[0].index"), F.lit("0")).cast("int").alias("index"), F.coalesce(j("$.delta.type"), F.when(j("$.choices[0].delta.content").isNotNull(), "text_delta")).alias("kind"), F.coalesce(j("$.delta.text"), j("$.delta.thinking"), j("$.delta.partial_json"), j("$.choices[0].delta.content")).alias("part"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"])
-    return rows.where("part is not null").groupBy("stream", "index").agg(F.min_by("kind", "seq").alias("kind"), F.array_join(parts, "").alias("text"))
+    ended = F.col("value").rlike(r"^data:\s*\[DONE\]") | F.get_json_object(body, "$.type").isin("response.completed", "response.incomplete", "response.failed", "message_stop")
+    rows = lines.where(ended).groupBy("stream").agg(F.min("seq").alias("_end"))
+    rows = lines.join(rows, "stream", "left").where("_end is null or seq < _end").select("stream", "seq", F.posexplode(_deltas(body)).alias("pos", "d")).select("stream", "seq", "pos", "d.*")
+    pieces = F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("seq", "pos", "part", "whole")), lambda x: ~x["whole"])), lambda x: x["part"]), "")
+    whole = F.max_by("part", F.when(F.col("whole"), F.col("seq")))
+    blocks = rows.groupBy("stream", "kind", "index").agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("seq"))).alias("name"), F.min_by("call", F.when(F.col("call").isNotNull(), F.col("seq"))).alias("call"), pieces.alias("pieces"), whole.alias("whole"))
+    text = F.when(F.col("kind") == "text", F.coalesce(F.nullif("pieces", F.lit("")), "whole")).otherwise(F.coalesce("whole", "pieces"))
+    return blocks.select("stream", "kind", "index", "name", "call", text.alias("text")).where("text is not null or name is not null")
 
 
 def parse_registry(spark: SparkSession, text: str) -> DataFrame:
