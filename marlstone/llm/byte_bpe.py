@@ -14,7 +14,7 @@ import pyarrow as pa
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import Memo, documents
+from marlstone.llm.common import Memo, bounded, documents
 from marlstone.llm.pretokens import units
 
 _MASK = (1 << 64) - 1
@@ -113,7 +113,7 @@ class ByteBpe:
         self._matches = regex.compile(pattern).findall
         self._cut = pattern == PATTERN  # what units() may cut apart is known for that pattern only
         self._pieces = Memo(lambda new: [self._encode_piece(x) for x in new], 200_000)
-        self._units = Memo(lambda new: [b"".join(self._pieces.many(self._matches(x))) for x in new], 200_000)
+        self._units = Memo(self._join_pieces, 200_000)
 
     def _encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -121,9 +121,21 @@ class ByteBpe:
         ids = [known] if known >= 0 else [self.ranks[p] for p in merge(raw, self.ranks.get)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _join_pieces(self, texts: list[str]) -> list[bytes]:
+        pieces = [self._matches(x) for x in texts]
+        known = self._pieces.known(set().union(*pieces))
+        return [b"".join(map(known.__getitem__, x)) for x in pieces]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self._cut:
+            return self._join_pieces(texts)
+        own = [units(t) for t in texts]
+        known = self._units.known(set().union(*own))
+        return [b"".join(map(known.__getitem__, x)) for x in own]
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self._units.many(units(text)) if self._cut else self._pieces.many(self._matches(text)))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -146,7 +158,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = [codec.encode(t) for t in part["text"].to_pylist()]
+                ids = [x for texts in bounded(part["text"].to_pylist()) for x in codec.encode_all(texts)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return documents(docs).mapInArrow(run, "doc_id long, ids binary")
@@ -176,11 +188,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         codec = _codec(ranks_path, pattern)
         for b in batches:
             n, one, two = [], [], []
-            for text in b["text"]:
-                ids = codec.encode(text.as_py())
-                n.append(len(ids) // 4)
-                one.append(hashlib.sha256(ids).hexdigest())
-                two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            for texts in bounded(x.as_py() for x in b["text"]):
+                for ids in codec.encode_all(texts):
+                    n.append(len(ids) // 4)
+                    one.append(hashlib.sha256(ids).hexdigest())
+                    two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,22 +73,30 @@ class Memo:
     def __init__(self, compute, limit: int = 250_000):
         self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
 
-    def many(self, keys: list) -> list:
-        """The values of keys; compute(list of new keys) gives those not known."""
-        values = list(map(self.young.get, keys))
-        if None in values:
-            new = dict.fromkeys(k for k, v in zip(keys, values, strict=True) if v is None)
-            young, old = self.young, self.old
-            missing = []
-            for k in new:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                else:
-                    young[k] = v
-            if missing:
-                young.update(zip(missing, self.compute(missing), strict=True))
-            values = list(map(young.get, keys))
-            if len(young) > self.limit:
-                self.old, self.young = young, {}
-        return values
+    def known(self, keys: set) -> dict:
+        """A table with the values of keys (and others), to be read before the next call; compute(list of new keys) gives
+        those not known."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = keys.difference(young)
+        new = missing.difference(old)
+        for k in missing.difference(new):
+            young[k] = old[k]
+        if new:
+            new = list(new)
+            young.update(zip(new, self.compute(new), strict=True))
+        return young
+
+
+def bounded(texts: Iterable, most: int = 1 << 20) -> Iterator[list]:
+    """Texts in lists of about so many characters at most, long ones alone."""
+    own, n = [], 0
+    for t in texts:
+        if own and n + len(t) > most:
+            yield own
+            own, n = [], 0
+        own.append(t)
+        n += len(t)
+    if own:
+        yield own

@@ -9,7 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import Memo, documents
+from marlstone.llm.common import Memo, bounded, documents
 
 _WORD = re.compile(r"\w+|[^\w\s]")
 
@@ -112,10 +112,11 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         _, memo = _counter(model_path)
         for b in batches:
             words, tokens = [], []
-            for text in b["text"]:
-                own = text.as_py().split()
-                words.append(len(own))
-                tokens.append(sum(memo.many(own)))
+            for texts in bounded(x.as_py() for x in b["text"]):
+                own = [t.split() for t in texts]
+                known = memo.known(set().union(*own))
+                words += map(len, own)
+                tokens += (sum(map(known.__getitem__, x)) for x in own)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

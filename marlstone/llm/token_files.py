@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import Memo, Workspace, documents, partitions
+from marlstone.llm.common import Memo, Workspace, bounded, documents, partitions
 from marlstone.llm.pretokens import units
 
 _MARKS = ".,;:!?*&%$#)"
@@ -56,8 +56,8 @@ class _Encoder:
         cores = [x.rstrip(_MARKS) for x in new]
         cores = [c if c[-1:].isalnum() else x for c, x in zip(cores, new, strict=True)]
         ends = [x[len(c) :] for c, x in zip(cores, new, strict=True)]
-        known = dict(zip(marks := [*{e for e in ends if e}], self._parts.many(marks), strict=True))
-        return [a + known[e] if e else a for a, e in zip(self._parts.many(cores), ends, strict=True)]
+        known = self._parts.known({*cores, *ends} - {""})
+        return [known[c] + known[e] if e else known[c] for c, e in zip(cores, ends, strict=True)]
 
     def _compute(self, new: list[str]) -> list[bytes]:
         """Words go to the library in one text with a line end between each two, which is a token of its own."""
@@ -72,10 +72,11 @@ class _Encoder:
         out.update((x, np.array(e.ids, self._dtype).tobytes()) for x, e in zip(rest, self._t.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [out[x] for x in new]
 
-    def encode(self, text: str) -> bytes:
-        if not self._cut or any(x in text for x in self._added):
-            return np.array(self._t.encode(text, add_special_tokens=False).ids, self._dtype).tobytes()
-        return b"".join(self._units.many(units(text)))
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text in the files' type."""
+        own = [units(t) if self._cut and not any(x in t for x in self._added) else None for t in texts]
+        known = self._units.known(set().union(*filter(None, own)))
+        return [b"".join(map(known.__getitem__, x)) if x is not None else np.array(self._t.encode(t, add_special_tokens=False).ids, self._dtype).tobytes() for t, x in zip(texts, own, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -133,10 +134,10 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str
         def chunks():
             for b in batches:
                 ids.append(np.array([_NULL_ID if x is None else x for x in b["doc_id"].to_pylist()], "<i8"))
-                for text in b["text"]:
-                    out = encoder.encode(text.as_py()) + end
-                    lens.append(len(out) // size)
-                    yield out
+                for texts in bounded(x.as_py() for x in b["text"]):
+                    out = [x + end for x in encoder.encode_all(texts)]
+                    lens.extend(len(x) // size for x in out)
+                    yield b"".join(out)
 
         first = next(found := chunks(), None)
         if first is None:
