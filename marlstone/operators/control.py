@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,26 +29,44 @@ def window_load(events: DataFrame, rpm: int, tpm: int, headroom: float = 0.9) ->
     return out.withColumn("fits", fits).drop("_us")
 
 
+class _Recent:
+    """Admitted events of the last micros, with their tokens added up."""
+
+    def __init__(self, micros: int):
+        self.micros, self.events, self.tokens = micros, deque(), 0
+
+    def until(self, us: int) -> None:
+        while self.events and self.events[0][0] <= us - self.micros:
+            self.tokens -= self.events.popleft()[1]
+
+    def add(self, us: int, tokens: int) -> None:
+        self.events.append((us, tokens))
+        self.tokens += tokens
+
+
 def admit(events: DataFrame, rpm: int, tpm: int, headroom: float = 0.9, seconds: int = 60) -> DataFrame:
     """bucket, seq, admitted: only admitted events count against later ones, so each bucket is a sequential fold.
 
-    Batches of a sorted partition stream by; a bucket's state is the admitted events of the last window.
+    Batches of a sorted partition stream by; a bucket's state is the admitted events of the last window with running
+    sums.  One bucket is one task, as each decision hangs on those before.
     """
     requests, budget = int(rpm * headroom), int(tpm * headroom)
     per_second = max(1, requests // 60), max(1, budget // 60)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        now, long, short = None, _Recent(seconds * 1_000_000), _Recent(1_000_000)
         for pdf in frames:
             out = []
             for bucket, us, tokens in zip(pdf["bucket"], pdf["us"], pdf["tokens"], strict=True):
                 if bucket != now:
-                    now, held = bucket, []
-                held = [x for x in held if x[0] > us - seconds * 1_000_000]
-                last = [x for x in held if x[0] > us - 1_000_000]
-                fits = len(held) < requests and sum(x[1] for x in held) + tokens <= budget and len(last) < per_second[0] and (not last or sum(x[1] for x in last) + tokens <= per_second[1])
+                    now, long, short = bucket, _Recent(seconds * 1_000_000), _Recent(1_000_000)
+                long.until(us)
+                short.until(us)
+                room = len(long.events) < requests and long.tokens + tokens <= budget
+                fits = room and len(short.events) < per_second[0] and (not short.events or short.tokens + tokens <= per_second[1])
                 if fits:
-                    held.append((us, tokens))
+                    long.add(us, tokens)
+                    short.add(us, tokens)
                 out.append(fits)
             yield pdf[["bucket", "seq"]].assign(admitted=out)
 

@@ -5,6 +5,7 @@ Keys are dealt by hash and sorted inside their partition, so a task holds one ke
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -75,45 +76,78 @@ def trim_history(messages: DataFrame, cap: int, keep_rate: float = 0.6, least: i
     return messages.join(cut, "conv_id").where(keep).select(*messages.columns)
 
 
-def merge_blocks(blocks: list[list[str]]) -> list[str]:
-    """Sliding windows over one history put together: by the longest overlap of end and start, else where the block's
-    first line was last seen, else one behind the other."""
-    whole: list[str] = []
-    for block in blocks:
+class MergedHistory:
+    """Sliding windows over one history put together, block by block: by the longest overlap of end and start, else where
+    the block's first line was last seen, else one behind the other."""
+
+    def __init__(self):
+        self.lines: list[str] = []
+        self.last: dict[str, int] = {}  # where each line was last seen
+
+    def add(self, block: list[str]) -> None:
+        whole = self.lines
         if not block:
-            continue
+            return
         overlap = next((k for k in range(min(len(whole), len(block)), 0, -1) if whole[-k:] == block[:k]), 0)
-        if not overlap and block[0] in whole:
-            at = max(i for i, x in enumerate(whole) if x == block[0])
+        if not overlap and block[0] in self.last:
+            at = self.last[block[0]]
             while overlap < len(block) and at + overlap < len(whole) and whole[at + overlap] == block[overlap]:
                 overlap += 1
-        whole.extend(block[overlap:])
-    return whole
+        for line in block[overlap:]:
+            self.last[line] = len(whole)
+            whole.append(line)
+
+
+def merge_blocks(blocks: list[list[str]]) -> list[str]:
+    merged = MergedHistory()
+    for block in blocks:
+        merged.add(block)
+    return merged.lines
 
 
 def merge_histories(blocks: DataFrame) -> DataFrame:
-    """session, lines: the blocks of each session in order of pos; a session's blocks are a small group by nature."""
+    """session, lines: the blocks of each session in order of pos.  Sorted partitions stream by; a task holds one
+    session's merged lines, which are its row of the result, and not its blocks."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"session": [pdf["session"].iloc[0]], "lines": [merge_blocks([list(x) for x in pdf.sort_values("pos")["lines"]])]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, merged = None, None
+        for pdf in frames:
+            for session, lines in zip(pdf["session"], pdf["lines"], strict=True):  # null lines are an empty block
+                if merged is None or session != now:
+                    if merged is not None:
+                        yield pd.DataFrame({"session": [now], "lines": [merged.lines]})
+                    now, merged = session, MergedHistory()
+                merged.add([] if lines is None else list(lines))
+        if merged is not None:
+            yield pd.DataFrame({"session": [now], "lines": [merged.lines]})
 
-    return blocks.select("session", "pos", "lines").groupBy("session").applyInPandas(one, "session long, lines array<string>")
+    dealt = blocks.select("session", "pos", "lines").repartition("session").sortWithinPartitions("session", "pos")
+    return dealt.select("session", "lines").mapInPandas(run, "session long, lines array<string>")
 
 
 def drop_overlapping(candidates: DataFrame, share: float = 0.5) -> DataFrame:
-    """page_id, cand: candidates by falling score, without those more than half of whose items a kept one has."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        out = []
-        for row in pdf.sort_values(["score", "cand"], ascending=[False, True]).itertuples(index=False):
-            items = set(row.items)
-            if all(len(items & k) <= share * len(items) for k in kept):
-                kept.append(items)
-                out.append((row.page_id, row.cand))
-        return pd.DataFrame(out, columns=["page_id", "cand"])
-
-    return candidates.select("page_id", "cand", "score", F.col("items").alias("items")).groupBy("page_id").applyInPandas(one, "page_id long, cand long")
+    """page_id, cand: candidates by falling score, without those more than a share of whose items a kept one has.
+
+    Sorted partitions stream by; a page's state is an index from items to the kept candidates that have them, so a
+    candidate meets only those that it shares an item with.
+    """
+
+    def start():
+        return defaultdict(list), [0]
+
+    def step(state, row):
+        index, count = state
+        items = set() if row.items is None else set(row.items)
+        common = Counter(k for x in items for k in index.get(x, ()))
+        keep = max(common.values(), default=0) <= share * len(items)
+        if keep:
+            for x in items:
+                index[x].append(count[0])
+            count[0] += 1
+        return state, (row.page_id, row.cand, keep)
+
+    ranked = candidates.select("page_id", "cand", (-F.col("score")).alias("_rank"), F.col("items").alias("items"))
+    return _streamed(ranked, "page_id", ["_rank", "cand"], start, step, "page_id long, cand long, keep boolean").where("keep").drop("keep")
 
 
 def compress_tags(messages: DataFrame, keep_recent: int = 10, most: int = 800) -> DataFrame:

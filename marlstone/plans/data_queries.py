@@ -681,7 +681,12 @@ def t2(spark, d):
     return control.window_load(_bucket_events(spark, d), 100, 1000).select("bucket", "seq", F.col("requests_60").cast("long").alias("requests_60"), "tokens_60", F.col("requests_1").cast("long").alias("requests_1"))
 
 
-@query("t2_admission")
+@query("t2_admission", f"""WITH RECURSIVE {_BUCKETS}, i AS (SELECT bucket, seq, epoch_us(ts) AS us, tokens, row_number() OVER (PARTITION BY bucket ORDER BY epoch_us(ts), seq) AS k FROM e),
+r AS (SELECT bucket, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS k, false AS admitted, CAST([] AS STRUCT(us BIGINT, tokens BIGINT)[]) AS held FROM (SELECT DISTINCT bucket FROM i)
+UNION ALL SELECT bucket, seq, k, admitted, CASE WHEN admitted THEN list_append(long, {{'us': us, 'tokens': tokens}}) ELSE long END FROM (
+  SELECT *, len(long) < 108 AND coalesce(list_sum(list_transform(long, lambda x: x.tokens)), 0) + tokens <= 5400 AND len(short) < 1 AND (len(short) = 0 OR list_sum(list_transform(short, lambda x: x.tokens)) + tokens <= 90) AS admitted FROM (
+    SELECT i.*, list_filter(r.held, lambda x: x.us > i.us - 60000000) AS long, list_filter(r.held, lambda x: x.us > i.us - 1000000) AS short FROM r JOIN i ON i.bucket = r.bucket AND i.k = r.k + 1)))
+SELECT bucket, seq, admitted FROM r WHERE k > 0""")
 def t2a(spark, d):
     return control.admit(_bucket_events(spark, d), 120, 6000)
 
@@ -717,23 +722,48 @@ def t11(spark, d):
     return control.failover(table(spark, d, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"))).select("seq", "backend")
 
 
-@query("l6_batches")
+@query("l6_batches", """WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n, length(text) - length(regexp_replace(text, '[㐀-鿿豈-﫿]', '', 'g')) AS cjk FROM documents),
+i AS (SELECT doc_id % 16 AS bucket, doc_id AS pos, greatest(1, CAST(floor((cjk + (n - cjk) / CAST(4.0 AS DOUBLE) + 8) * CAST(1.15 AS DOUBLE) + CAST(0.999 AS DOUBLE)) AS BIGINT)) AS tokens, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS k FROM t),
+r AS (SELECT bucket, pos, k, 0 AS batch, 1 AS n, least(tokens, 18000) AS used FROM i WHERE k = 1
+UNION ALL SELECT bucket, pos, k, batch + CAST(full_ AS INTEGER), CASE WHEN full_ THEN 1 ELSE n + 1 END, CASE WHEN full_ THEN 0 ELSE used END + least(tokens, 18000) FROM (SELECT i.*, r.batch, r.n, r.used, r.n >= 10 OR r.used + i.tokens > 18000 AS full_ FROM r JOIN i ON i.bucket = r.bucket AND i.k = r.k + 1))
+SELECT bucket, pos, batch FROM r""")
 def l6(spark, d):
     t = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("bucket"), F.col("doc_id").alias("pos"), T.limiter_tokens(F.col("text")).alias("tokens"))
     return folds.batches(t, 10, 18_000)
 
 
-@query("k5_pack_lines")
+@query("k5_pack_lines", f"""WITH RECURSIVE {RECORDS}, i AS (SELECT doc_id, chunk_index AS k, length(body) AS n FROM records),
+r AS (SELECT doc_id, k, 0 AS part, n AS used FROM i WHERE k = 0
+UNION ALL SELECT doc_id, k, part + CAST(full_ AS INTEGER), CASE WHEN full_ THEN n ELSE used + n + CASE WHEN used > 0 THEN 1 ELSE 0 END END FROM (SELECT i.*, r.part, r.used, r.used > 0 AND r.used + 1 + i.n > 768 AS full_ FROM r JOIN i ON i.doc_id = r.doc_id AND i.k = r.k + 1))
+SELECT doc_id, k AS line_no, part FROM r""")
 def k5(spark, d):
     return folds.pack_lines(records(spark, d).select("doc_id", F.col("chunk_index").alias("line_no"), F.col("body").alias("line")), 768)
 
 
-@query("k4_overlapping_parts")
+def _last(mark: str) -> str:
+    """Where the last mark of window w ends, counted in w, if it begins past a third of the target."""
+    m, back = (" || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in x) for x in (mark, mark[::-1]))
+    begin = f"length(w) - strpos(reverse(w), {back}) + 1 - {len(mark)}"
+    return f"CASE WHEN contains(w, {m}) AND {begin} > 256 THEN {begin} + {len(mark)} END"
+
+
+_K4 = f"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, text, 0 AS part, 0 AS b, CASE WHEN length(text) <= 768 THEN length(text) ELSE coalesce({", ".join(map(_last, splitting.CUTS))}, 768) END AS e FROM (SELECT *, left(text, 769) AS w FROM d)
+UNION ALL SELECT doc_id, text, part + 1, b, CASE WHEN length(text) - b <= 768 THEN length(text) ELSE b + coalesce({", ".join(map(_last, splitting.CUTS))}, 768) END FROM (SELECT *, substr(text, b + 1, 769) AS w FROM (SELECT doc_id, text, part, greatest(b + 1, e - 96) AS b FROM r WHERE length(text) - b > 768))),
+s AS (SELECT doc_id, part, CASE WHEN length(text) <= 768 THEN text ELSE regexp_replace(substr(text, b + 1, e - b), '\\A\\s+|\\s+\\z', '', 'g') END AS body FROM r)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS part, body FROM s WHERE body <> ''"""
+
+
+@query("k4_overlapping_parts", _K4)
 def k4(spark, d):
     return splitting.exploded(table(spark, d, "documents"), splitting.split_overlapping)
 
 
-@query("k18_split_messages")
+@query("k18_split_messages", """WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, -1 AS part, '' AS body, CASE WHEN t = '' THEN '...' ELSE t END AS rest FROM d
+UNION ALL SELECT doc_id, part + 1, regexp_replace(left(rest, cut), '\\s+\\z', ''), regexp_replace(substr(rest, cut + 1), '\\A\\s+', '') FROM (
+  SELECT *, CASE WHEN length(rest) <= 1900 THEN length(rest) WHEN contains(w, chr(10)) AND length(w) - strpos(reverse(w), chr(10)) >= 1140 THEN length(w) - strpos(reverse(w), chr(10)) ELSE 1900 END AS cut FROM (SELECT *, left(rest, 1900) AS w FROM r WHERE rest <> '')))
+SELECT doc_id, part, body FROM r WHERE part >= 0""")
 def k18(spark, d):
     return splitting.exploded(table(spark, d, "documents"), lambda t: splitting.split_message(t, 1900))
 
@@ -751,7 +781,11 @@ def w9(spark, d):
     return folds.merge_histories(lines.select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.collect_list("text").over(w).alias("lines")))
 
 
-@query("l11_drop_overlapping")
+@query("l11_drop_overlapping", """WITH RECURSIVE w AS (SELECT conv_id AS page_id, turn AS cand, list_distinct(string_split(lower(text), ' ')) AS items FROM conversations WHERE text IS NOT NULL),
+i AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY len(items) DESC, cand) AS k FROM w),
+r AS (SELECT page_id, cand, k, true AS keep, [items] AS kept FROM i WHERE k = 1
+UNION ALL SELECT page_id, cand, k, keep, CASE WHEN keep THEN list_append(kept, items) ELSE kept END FROM (SELECT i.*, r.kept, len(list_filter(r.kept, lambda x: len(list_intersect(x, i.items)) > 0.5 * len(i.items))) = 0 AS keep FROM r JOIN i ON i.page_id = r.page_id AND i.k = r.k + 1))
+SELECT page_id, cand FROM r WHERE keep""")
 def l11(spark, d):
     words = F.array_distinct(F.split(F.lower("text"), " "))
-    return folds.drop_overlapping(table(spark, d, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("cand"), F.size(words).alias("score"), words.alias("items")))
+    return folds.drop_overlapping(table(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("cand"), F.size(words).alias("score"), words.alias("items")))

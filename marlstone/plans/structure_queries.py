@@ -63,7 +63,13 @@ def k11(spark, d):
     return html.markdown_rows(records(spark, d).select("doc_id", F.col("chunk_index").alias("line_no"), line.alias("line"))).withColumn("cells", F.array_join("cells", "/"))
 
 
-@query("k16_plain_text")
+_ENTITIES = "{}"
+for _name, _char in html.ENTITIES:
+    _ENTITIES = "replace(" + _ENTITIES + f", '{_name}', " + ("chr(34))" if _char == '"' else "'" + _char.replace("'", "''") + "')")
+
+
+@query("k16_plain_text", """WITH t AS (SELECT page_id, """ + _ENTITIES.format("""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g'), '(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')""") + """ AS t FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '\\A\\s+|\\s+\\z', '', 'g') AS plain FROM t""")
 def k16(spark, d):
     return table(spark, d, "pages").select("page_id", html.plain_text(F.col("html")).alias("plain"))
 
@@ -106,7 +112,9 @@ def x22(spark, d):
     return html.changed_elements(p, p.withColumn("html", F.replace("html", F.lit("</article>"), F.lit('<p class="new">added</p></article>'))))
 
 
-@query("x25_sample_lists")
+@query("x25_sample_lists", """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<(?:ul|ol)\\b[^>]*>(.*?)</(?:ul|ol)>', 1) AS ls FROM pages), u AS (SELECT page_id, unnest(range(0, len(ls))) AS list_no, unnest(ls) AS body FROM l),
+i AS (SELECT page_id, list_no, regexp_extract_all(body, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS items FROM u)
+SELECT page_id, CAST(list_no AS INTEGER) AS list_no, CAST(len(items) AS INTEGER) AS n, CAST(unnest(range(0, least(3, len(items)))) AS INTEGER) AS pos, unnest(items[:3]) AS item FROM i WHERE len(items) >= 5""")
 def x25(spark, d):
     return html.sample_lists(table(spark, d, "pages"))
 
