@@ -127,10 +127,23 @@ def next_number(names: DataFrame, pattern: str) -> DataFrame:
     return names.agg((F.coalesce(F.max(F.regexp_extract("name", pattern, 1).try_cast("long")), F.lit(0)) + 1).alias("next"))
 
 
-def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Whether two tables hold the same rows as often, by one aggregation of both."""
+def same_multiset(a: DataFrame, b: DataFrame, by: str | None = None) -> DataFrame:
+    """Whether two tables hold the same rows as often, by one aggregation of both: same, or by and same for each value of
+    a column."""
     both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
-    return both.groupBy(*a.columns).agg(F.sum("_n").alias("d")).agg(F.coalesce(F.max(F.abs("d")), F.lit(0)).alias("most")).select((F.col("most") == 0).alias("same"))
+    each = both.groupBy(*a.columns).agg(F.sum("_n").alias("_d"))
+    most = F.coalesce(F.max(F.abs("_d")), F.lit(0)).alias("_most")
+    return (each.groupBy(by).agg(most) if by else each.agg(most)).select(*([by] if by else []), (F.col("_most") == 0).alias("same"))
+
+
+def checkpoint_matches(files: DataFrame, checkpoint: DataFrame, by: str) -> DataFrame:
+    """by and matches: a checkpoint serves a run again only if both name the same files with the same contents."""
+    return same_multiset(files, checkpoint, by).withColumnRenamed("same", "matches")
+
+
+def distinct_sources(files: DataFrame) -> DataFrame:
+    """Of selected files with one real path the first by path: real_path, path, n."""
+    return files.groupBy("real_path").agg(F.min("path").alias("path"), F.count("*").alias("n"))
 
 
 def access_counts(log: DataFrame) -> DataFrame:

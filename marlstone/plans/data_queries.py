@@ -313,10 +313,11 @@ def a16(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("a17_same_multiset", "SELECT true AS same")
+@query("a17_same_multiset", "SELECT user_id, list_sort(list(event_type)) = list_sort(list(CASE WHEN event_id % 97 = 0 THEN 'click' ELSE event_type END)) AS same FROM events GROUP BY 1")
 def a17(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type")
-    return maintenance.same_multiset(e, e.orderBy("event_type"))
+    e = table(spark, d, "events")
+    changed = e.select("user_id", F.when(F.col("event_id") % 97 == 0, "click").otherwise(F.col("event_type")).alias("event_type"))
+    return maintenance.same_multiset(e.select("user_id", "event_type"), changed, "user_id")
 
 
 @query("a18_next_number", "SELECT max(CAST(nullif(regexp_extract(url, '/(\\d+)', 1), '') AS BIGINT)) + 1 AS next FROM pages")
@@ -484,10 +485,11 @@ def a12(spark, d):
     return maintenance.insert_stats(r, r.where("doc_id % 2 = 0").select(F.sha2("body", 256).alias("key")).distinct())
 
 
-@query("m2_add_documents", "SELECT doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'replaced' ELSE 'added' END AS action FROM documents")
+@query("m2_add_documents", "SELECT doc_id AS path, CASE WHEN lang = 'en' THEN 'replaced' ELSE 'added' END AS action, CASE WHEN lang = 'en' THEN 'skipped' ELSE 'added' END AS kept FROM documents")
 def m2(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("path"))
-    return maintenance.add_documents(t.where("path % 3 = 0"), t, replace=True)
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "lang")
+    known, offered = t.where("lang = 'en'"), t.select("path")
+    return maintenance.add_documents(known, offered, replace=True).join(maintenance.add_documents(known, offered).withColumnRenamed("action", "kept"), "path")
 
 
 @query("m5_pending_images", f"WITH {RECORDS} SELECT data_id, chunk_index FROM records WHERE kind = 'image' AND (doc_id % 4 = 1 OR (caption = '' AND table_markdown = ''))")
@@ -496,10 +498,11 @@ def m5(spark, d):
     return maintenance.pending_images(r, "v2").select("data_id", "chunk_index")
 
 
-@query("m6_unreferenced", "SELECT doc_id AS path FROM documents WHERE doc_id % 2 = 1")
+@query("m6_unreferenced", "SELECT doc_id AS path FROM documents WHERE lang IS DISTINCT FROM 'en' AND NOT contains(coalesce(text, ''), 'the ')")
 def m6(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("path"))
-    return maintenance.unreferenced(t, t.where("path % 2 = 0").select(F.array("path").alias("processed")))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "lang", "source", "text")
+    manifest = t.where("lang = 'en' or contains(text, 'the ')").groupBy("source").agg(F.collect_list("path").alias("processed"))
+    return maintenance.unreferenced(t.select("path"), manifest)
 
 
 @query("m8_base_status", "SELECT user_id AS kb_id, CASE WHEN bool_or(event_type = 'signup') THEN 'processing' WHEN count(*) < 3 THEN 'empty' WHEN user_id % 9 = 0 THEN 'missing' WHEN user_id % 8 = 0 THEN 'broken' WHEN bool_or(event_type = 'error') THEN 'ready_with_warnings' ELSE 'ready' END AS status FROM events GROUP BY 1")
@@ -585,11 +588,17 @@ def g9(spark, d):
     return references.related_paragraphs(p, p.select("doc_id", F.lit("图1").alias("ref_key")).distinct(), 5, 900)
 
 
-@query("g10_title_keys", "SELECT doc_id, '图 1-' || doc_id || ' x' AS title, '图1-' || doc_id AS ref_key FROM documents")
+@query("g10_title_keys", """WITH t AS (SELECT doc_id, doc_id % 3 AS a, doc_id % 7 AS b, doc_id % 5 AS c FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '图 ' || a || '－' || b || ' － ' || c || ' x' WHEN 1 THEN '图' || a || '-' || b || '.' ELSE '图 ' || a || ' 7' END AS title,
+  CASE doc_id % 4 WHEN 0 THEN '图' || a || '-' || b || '-' || c WHEN 1 THEN '图' || a || '-' || b ELSE '图' || a END AS ref_key FROM t WHERE doc_id % 4 < 3""")
 def g10(spark, d):
-    s = F.col("doc_id").cast("string")
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("图 1-"), s, F.lit(" x")).alias("title"))
-    keys = docs.select("doc_id", F.explode(F.array(F.lit("图1"), F.concat(F.lit("图1-"), s), F.lit("表1"))).alias("ref_key"))
+    """Titles with a key of three numbers, two, one, and of another kind that has none."""
+    n = {k: (F.col("doc_id") % m).cast("string") for k, m in (("a", 3), ("b", 7), ("c", 5), ("kind", 4))}
+    one = F.concat(F.lit("图"), n["a"])
+    two = F.concat(one, F.lit("-"), n["b"])
+    title = F.when(n["kind"] == "0", F.concat(F.lit("图 "), n["a"], F.lit("－"), n["b"], F.lit(" － "), n["c"], F.lit(" x"))).when(n["kind"] == "1", F.concat(two, F.lit("."))).when(n["kind"] == "2", F.concat(F.lit("图 "), n["a"], F.lit(" 7"))).otherwise("表 1")
+    docs = table(spark, d, "documents").select("doc_id", title.alias("title"))
+    keys = docs.select("doc_id", F.explode(F.array(one, two, F.concat(two, F.lit("-"), n["c"]))).alias("ref_key"))
     return references.title_keys(docs, keys)
 
 

@@ -231,24 +231,25 @@ def s7(spark, d):
     return records(spark, d).where("body <> '' and data_id <> ''").groupBy("kb_id").agg(F.count("*").alias("rows"), F.countDistinct("data_id").alias("documents"))
 
 
-@query("m1_checkpoint_matches", "SELECT source, count(DISTINCT doc_id) > 0 AND bool_and(doc_id % 11 <> 0) AS matches FROM documents GROUP BY 1")
+@query("m1_checkpoint_matches", "SELECT source, bool_and(doc_id % 11 <> 0 AND NOT (doc_id % 13 = 0 AND text <> '')) AS matches FROM documents GROUP BY 1")
 def m1(spark, d):
-    """A checkpoint serves a run again only if both name the same files: sets compared source by source."""
-    docs = table(spark, d, "documents").select("source", "doc_id")
-    both = docs.withColumn("n", F.lit(1)).unionByName(docs.where("doc_id % 11 <> 0").withColumn("n", F.lit(-1)))
-    return both.groupBy("source", "doc_id").agg(F.sum("n").alias("n")).groupBy("source").agg(F.bool_and(F.col("n") == 0).alias("matches"))
+    """Some files are missing from the checkpoint, some have other contents."""
+    files_ = table(spark, d, "documents").select("source", "doc_id", F.md5("text").alias("hash"), "text")
+    old = F.when((F.col("doc_id") % 13 == 0) & (F.col("text") != ""), F.lit("old")).otherwise(F.col("hash"))
+    return maintenance.checkpoint_matches(files_.drop("text"), files_.where("doc_id % 11 <> 0").select("source", "doc_id", old.alias("hash")), "source")
 
 
-@query("m3_delete_document", "SELECT doc_id AS doc, CASE WHEN doc_id = 5 THEN 'removed' ELSE 'kept' END AS state FROM documents")
+@query("m3_delete_document", "SELECT doc_id AS doc, CASE WHEN lang = 'de' THEN 'removed' ELSE 'kept' END AS state FROM documents")
 def m3(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"))
-    left = maintenance.delete(docs, docs.where("doc = 5"), "doc").withColumn("state", F.lit("kept"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang")
+    left = maintenance.delete(docs.select("doc"), docs.where("lang = 'de'"), "doc").withColumn("state", F.lit("kept"))
     return docs.join(left, "doc", "left").select("doc", F.coalesce("state", F.lit("removed")).alias("state"))
 
 
-@query("m9_source_inputs", "SELECT md5(text) AS real_path, min(doc_id) AS doc FROM documents GROUP BY 1")
+@query("m9_source_inputs", "SELECT md5(text) AS real_path, min(source || '/' || doc_id) AS path, count(*) AS n FROM documents GROUP BY 1")
 def m9(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("real_path")).agg(F.min("doc_id").alias("doc"))
+    """The digest of its text stands for a file's real path."""
+    return maintenance.distinct_sources(table(spark, d, "documents").select(F.md5("text").alias("real_path"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))
 
 
 @query("k13_k14_table_context", """WITH t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '#`~$|>-*+[!', '...........'), '(?m)^(\\s*\\d+)[.)]', '\\1:', 'g') AS own FROM documents)
