@@ -142,7 +142,7 @@ def _random_letters(rng: np.random.Generator) -> bytes:
 
 
 def _calibrate(model: Model, rows: list[Row], own: dict[str, int]) -> Model:
-    """Temperature by least log loss; threshold: half of the lowest score but one in a thousand of right predictions.
+    """Temperature by least log loss with a doubt; threshold: half of the lowest score but one in a thousand of right predictions.
     Limit of fit: two fifths of the way from the foreign rows' to the own rows'."""
     if not rows:
         model.frequency = None
@@ -154,8 +154,12 @@ def _calibrate(model: Model, rows: list[Row], own: dict[str, int]) -> Model:
         e = np.exp((z - z.max(1, keepdims=True)) / t)
         return e / e.sum(1, keepdims=True)
 
+    # one row in all is taken as wrong, so that a temperature is found even where every row is right
+    doubt = 1 / (len(y) + 2)
+    target = np.full(z.shape, doubt / max(1, z.shape[1] - 1))
+    target[np.arange(len(y)), y] = 1 - doubt
     grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(scores(t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
+    loss = [-(target * np.log(np.maximum(scores(t), 1e-300))).sum(1).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = scores(model.temperature)
     right = p.argmax(1) == y
