@@ -64,12 +64,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return _votes(documents(docs).withColumn("_text_key", F.sha2("text", 256)), ["doc_id", "_text_key"]).drop("_text_key")
 
 
+#: Characters of texts in a range, about.
+RANGE_CHARS = 1 << 26
+
+
 def _ranges(spark: SparkSession, every: DataFrame, tasks: int) -> tuple[DataFrame, int, int, int]:
-    """(bucket, lo, hi, first, parts: ids from lo to hi - 1 are dealt to parts ranges from first on), least id, width of a
+    """At least so many ranges, and more of larger data: (bucket, lo, hi, first, parts: ids from lo to hi - 1 are dealt to parts ranges from first on), least id, width of a
     bucket, number of ranges.  An id of many rows has a line of its own with several ranges, dealt by the text's hash;
     so has null, in bucket -1.  A row for each range, joined through buckets of ids, so none is sought one by one."""
+    found = every.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.length("text").cast("long")).alias("chars")).first()
+    tasks = max(tasks, (found["chars"] or 0) // RANGE_CHARS)
     at = [i / tasks for i in range(1, tasks)] or [0.5]
-    found = every.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", at, 10_000).alias("at")).first()
+    at = every.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0]
     rows, lines = [], 0
     nulls = found["rows"] - found["ids"]
     if nulls:
@@ -77,7 +83,7 @@ def _ranges(spark: SparkSession, every: DataFrame, tasks: int) -> tuple[DataFram
         rows.append((-1, None, None, 0, lines))
     lo, hi = found["lo"] or 0, found["hi"] or 0
     width = max(1, (hi - lo) // (4 * tasks) + 1)
-    bounds = sorted(found["at"] or [])
+    bounds = sorted(at or [])
     begin = lo
     spans = []
     for v in dict.fromkeys(bounds):
@@ -98,7 +104,7 @@ def _ranges(spark: SparkSession, every: DataFrame, tasks: int) -> tuple[DataFram
 def with_next(docs: DataFrame, n: int) -> DataFrame:
     """rid (place in ascending doc_id, then hash of the text), doc_id, text, next_text (after the last: the first).
 
-    Documents are dealt to about n ranges of ids, and rows of a frequent id to ranges of their texts' hashes; each range
+    Documents are dealt to n ranges of ids or more, and rows of a frequent id to ranges of their texts' hashes; each range
     gets a copy of the next one's first document as a guest at its end, so a window inside ranges sees every neighbour.
     """
     spark = docs.sparkSession
