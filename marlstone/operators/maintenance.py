@@ -173,3 +173,13 @@ def line_delta(versions: DataFrame) -> DataFrame:
     signed = F.concat(counted("new", 1), counted("old", -1))
     each = versions.select("doc_id", F.explode_outer(signed).alias("l")).groupBy("doc_id", "l.line").agg(F.coalesce(F.sum("l.n"), F.lit(0)).alias("n"))
     return each.groupBy("doc_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
+
+
+def reindex(records: DataFrame, texts: DataFrame, published: dict, contract: dict) -> DataFrame:
+    """doc_id, chunk_index, body and the other columns of chunks: the published records (with those columns) as they are,
+    or the texts chunked anew where the way of chunking has changed (contract: its names and sizes, target among them)."""
+    from marlstone.operators import chunking
+
+    if published == contract:
+        return records
+    return chunking.chunks(texts, contract.get("target", chunking.TARGET))

@@ -172,6 +172,15 @@ def did_you_mean(files: DataFrame, name: str, most: int = 2000, k: int = 5) -> D
     return pool.join(matched_length(pool), "id").select(F.col("id").alias("path"), ratio.alias("ratio")).where("ratio > 0.3").orderBy(F.desc("ratio"), "path").limit(k)
 
 
+def filter_choices(choices: DataFrame, query: str) -> DataFrame:
+    """Choices (label, value, head: the first MiB of a file, or null) all of whose terms stand in label and value, else
+    in the head; all of them without a term."""
+    terms = query.lower().split()
+    places = F.lower(F.concat_ws("\n", "label", "value")), F.lower(F.coalesce("head", F.lit("")))
+    met = [reduce(lambda a, b: a & b, [F.contains(c, F.lit(t)) for t in terms], F.lit(True)) for c in places]
+    return choices.where(met[0] | met[1])
+
+
 def search_sessions(sessions: DataFrame, words: str) -> DataFrame:
     """Sessions all of whose terms stand in name and preview, else in the first MiB of the log."""
     terms = words.lower().split()

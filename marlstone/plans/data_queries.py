@@ -149,6 +149,12 @@ def r20(spark, d):
     return retrieval.did_you_mean(table(spark, d, "pages").select(F.col("url").alias("path")), "12345.html")
 
 
+@query("m15_filter_choices", """WITH p AS (SELECT *, lower('Page' || page_id || chr(10) || coalesce(url, '')) AS t FROM pages) SELECT page_id FROM p WHERE (contains(t, 'page') AND contains(t, '1') AND contains(t, '/en/')) OR (contains(lower(left(html, 1048576)), 'page') AND contains(lower(left(html, 1048576)), '1') AND contains(lower(left(html, 1048576)), '/en/'))""")
+def m15(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("Page"), F.col("page_id").cast("string")).alias("label"), F.col("url").alias("value"), F.left("html", F.lit(1 << 20)).alias("head"))
+    return retrieval.filter_choices(p, "page 1 /EN/").select("page_id")
+
+
 @query("r21_search_sessions", "SELECT conv_id FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS log FROM conversations GROUP BY 1) WHERE contains(lower(left(log, 1048576)), 'the') AND contains(lower(left(log, 1048576)), 'ing')")
 def r21(spark, d):
     logs = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("log"))
@@ -492,6 +498,16 @@ def m2(spark, d):
     return maintenance.add_documents(known, offered, replace=True).join(maintenance.add_documents(known, offered).withColumnRenamed("action", "kept"), "path")
 
 
+@query("m4_reindex", "SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, 'one of ' || doc_id AS body FROM documents UNION ALL SELECT doc_id, CAST(1 AS INTEGER), '| two |' || chr(10) || '| --- |' || chr(10) || '| ' || doc_id || ' |' FROM documents UNION ALL SELECT -doc_id - 1, 0, 'old' FROM documents")
+def m4(spark, d):
+    """Chunked anew where the contract has changed (ids as they are), the published records where it hasn't (negative ids)."""
+    i = F.col("doc_id").cast("string")
+    texts = table(spark, d, "documents").select("doc_id", F.concat(F.lit("one of "), i, F.lit("\n\n| two |\n| --- |\n| "), i, F.lit(" |")).alias("text"))
+    records_ = texts.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit("old").alias("body"))
+    new = maintenance.reindex(records_, texts, {"target": 768, "parser": 1}, {"target": 768, "parser": 2}).select("doc_id", "chunk_index", "body")
+    return new.unionByName(maintenance.reindex(records_, texts, {"target": 768}, {"target": 768}))
+
+
 @query("m5_pending_images", f"WITH {RECORDS} SELECT data_id, chunk_index FROM records WHERE kind = 'image' AND (doc_id % 4 = 1 OR (caption = '' AND table_markdown = ''))")
 def m5(spark, d):
     r = records(spark, d).withColumns({"meta": F.when(F.col("doc_id") % 4 == 1, "old").otherwise("v2"), "analysis_error": F.lit(""), "description": F.col("caption")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +155,41 @@ def parse_registry(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "id string, name string, path string")
 
 
+def write_registry(registry: DataFrame, root: str) -> str:
+    """id, name, path of a registry as a new version; readers see the old one until it is whole."""
+    return Snapshots(registry.sparkSession, root, "json").publish(registry.select("id", "name", "path").coalesce(1))
+
+
+def read_registry(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("id string, name string, path string").json(Snapshots(spark, root, "json").where())
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """archive, member, content of zip files, one task for each; a member whose path leaves its archive is an error."""
+    import io
+    import posixpath
+    import zipfile
+
+    def run(frames):
+        for pdf in frames:
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                    for m in z.infolist():
+                        where = posixpath.normpath(m.filename.replace("\\", "/"))
+                        if where.startswith(("/", "../")) or where == ".." or re.match(r"^[A-Za-z]:", where):
+                            raise ValueError(f"{name}: {m.filename} leaves the archive")
+                        if not m.is_dir():
+                            yield pd.DataFrame({"archive": [name], "member": [where], "content": [z.read(m)]})
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "content").mapInPandas(run, "archive string, member string, content binary")
+
+
+def write_monthly(rows: DataFrame, path: str, time: str = "mtime") -> None:
+    """Rows added to compressed files in folders by month, which scans prune by."""
+    rows.withColumn("year_month", F.date_format(time, "yyyy-MM")).write.mode("append").partitionBy("year_month").option("compression", "zstd").parquet(path)
+
+
 class Snapshots:
     """Versions of a table in one folder; readers see the one that a pointer names, which is replaced at once."""
 
