@@ -219,16 +219,26 @@ def mask_data(c: Column) -> Column:
     return F.regexp_replace(c, r"data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=]+", DATA_LABEL)
 
 
+def bound(c: Column, use) -> Column:
+    """use(value of c), which is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def snippet(c: Column, terms: list[str], width: int = 220) -> Column:
     """A window around the earliest hit of a term of two letters or more."""
+    wanted = [t.lower() for t in terms if len(t) > 1]
+
+    def earliest(low: Column) -> Column:
+        return F.array_min(F.filter(F.array(*[F.locate(t, low) for t in wanted] or [F.lit(0)]), lambda p: p > 0)) - 1
+
+    def around(flat: Column, at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - width // 3)
+        end = F.least(F.length(flat), start + width)
+        hit = F.concat(F.when(start > 0, "… ").otherwise(""), F.substring(flat, start + 1, end - start), F.when(end < F.length(flat), " …").otherwise(""))
+        return F.when(at.isNotNull(), hit).when(F.length(flat) > width, F.concat(F.left(flat, F.lit(width)), F.lit(" …"))).otherwise(flat)
+
     flat = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    low = F.lower(flat)
-    places = F.filter(F.array(*[F.locate(t.lower(), low) for t in terms if len(t) > 1] or [F.lit(0)]), lambda p: p > 0)
-    at = F.array_min(places) - 1
-    start = F.greatest(F.lit(0), at - width // 3)
-    end = F.least(F.length(flat), start + width)
-    hit = F.concat(F.when(start > 0, "… ").otherwise(""), F.substring(flat, start + 1, end - start), F.when(end < F.length(flat), " …").otherwise(""))
-    return F.when(at.isNotNull(), hit).when(F.length(flat) > width, F.concat(F.left(flat, F.lit(width)), F.lit(" …"))).otherwise(flat)
+    return bound(flat, lambda f: bound(bound(F.lower(f), earliest), lambda at: around(f, at)))
 
 
 def occurrences(c: Column, old: str) -> Column:

@@ -37,7 +37,8 @@ def heading_within(lines: DataFrame, back: int = 80) -> DataFrame:
 def related_paragraphs(paragraphs: DataFrame, keys: DataFrame, most: int = 5, budget: int = 1800) -> DataFrame:
     """Paragraphs that name a key: not captions, images or lists of eight numbers or more; the first ones of each
     document and key, up to a budget of characters, the last one cut."""
-    found = paragraphs.withColumn("refs", T.ref_candidates(F.col("text"))).where((F.size("refs") > 0) & (F.size("refs") < 8) & ~F.contains("text", F.lit("![")))
+    signed = paragraphs.where(F.contains("text", F.lit("图")) | F.contains("text", F.lit("表")))  # cheap, before any expression
+    found = signed.withColumn("refs", T.ref_candidates(F.col("text"))).where((F.size("refs") > 0) & (F.size("refs") < 8) & ~F.contains("text", F.lit("![")))
     named = found.select("doc_id", "pos", "text", F.explode(F.array_distinct(F.transform("refs", T.ref_key))).alias("ref_key"))
     caption = (F.length(T.strip(F.col("text"))) <= 80) & T.strip(F.col("text")).rlike("^" + T.REF) & (T.ref_key(F.col("text")) == F.col("ref_key"))
     w = Window.partitionBy("doc_id", "ref_key").orderBy("pos")
