@@ -139,7 +139,9 @@ def _candidates(ws: Workspace, classes: DataFrame, percent: int) -> DataFrame:
     hot = met.where(F.col("g") > PAIRED).select("s", "rep", F.explode(F.array(band, band + 1)).alias("band"))
     leads = hot.groupBy("s", "band").agg(F.min("rep").alias("lead"))
     tied = hot.join(leads, ["s", "band"]).where("lead < rep").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    return likely.unionByName(tied).distinct()
+    found = ws.save(likely.unionByName(tied).distinct(), "candidates")
+    ws.drop(met)
+    return found
 
 
 def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -286,7 +288,8 @@ def _cut(ws: Workspace, rows: DataFrame, percent: int, width: int, depth: int) -
     outside = ws.save(outside.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("j", "d"))).alias("outside")), "outside")
     beyond = F.transform("d", lambda x, j: F.coalesce(F.try_element_at("outside", j), F.lit(2.0)) - radius > x)
     done = F.array_contains("p", F.col("id")) | F.exists(F.arrays_zip(F.col("linked"), beyond.alias("far")), lambda x: x["linked"] & x["far"])
-    left = ws.save(measured.join(outside, "block", "left").where(~done).drop("outside", "linked", "p"), "open")
+    left = open_ = ws.save(measured.join(outside, "block", "left").where(~done).drop("outside", "linked", "p"), "open")
+    ws.drop(measured)
     near = F.array_min("d") + 2 * radius
     own = F.filter(F.transform("d", lambda x, j: F.when(x <= near, j)), lambda j: j.isNotNull())
     sizes = left.select("block", "n", F.size(own).alias("k")).groupBy("block").agg(F.sum("k").alias("copies"), F.count("*").alias("texts"), F.sum("n").alias("shingles"))
@@ -296,7 +299,9 @@ def _cut(ws: Workspace, rows: DataFrame, percent: int, width: int, depth: int) -
     to = F.explode(F.when(F.col("way") == "whole", F.array(F.lit(-1))).otherwise(own)).alias("j")
     regions = left.where("way <> 'stuck'").select("id", "n", "text", "block", to).select(F.concat_ws("/", "block", "j").alias("block"), "id", "n", "text")
     stuck = left.where("way = 'stuck'").select("block", "id", "n", "text", F.col("d")[0].alias("at"))
-    return pivot_links, ws.save(regions, "regions"), ws.save(stuck, "stuck")
+    regions, stuck = ws.save(regions, "regions"), ws.save(stuck, "stuck")
+    ws.drop(open_)
+    return pivot_links, regions, stuck
 
 
 def _chunked(ws: Workspace, rows: DataFrame, percent: int, width: int) -> DataFrame:
@@ -319,7 +324,7 @@ def _chunked(ws: Workspace, rows: DataFrame, percent: int, width: int) -> DataFr
 
 def links(spark: SparkSession, ws: Workspace, rows: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """a, b: enough links to connect what is linked inside each block of rows (block string, id, n, text)."""
-    found = []
+    found, cut = [], []
     for depth in range(_DEPTH + 1):
         sizes = ws.save(_sizes(rows), "sizes")
         large = sizes.where("large").count()
@@ -330,12 +335,15 @@ def links(spark: SparkSession, ws: Workspace, rows: DataFrame, percent: int = PE
         rows = rows.join(sizes.where("large").select("block"), "block", "left_semi")
         pivot_links, regions, stuck = _cut(ws, rows, percent, width, depth)
         found += [pivot_links, ws.save(_chunked(ws, stuck, percent, width), "links")]
-        rows = regions
+        ws.drop(stuck, *cut)
+        rows, cut = regions, [regions]
         if depth == _DEPTH:
             found.append(ws.save(_chunked(ws, rows.withColumn("at", F.lit(0.0)), percent, width), "links"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
+    out = ws.save(out.distinct(), "links")
+    ws.drop(*found, *cut)
     return out
 
 
@@ -351,8 +359,9 @@ def group(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width: i
     sig = ws.save(_signatures(every, _hot(every, width), width, percent), "signatures")
     known = sig.where("n > 0 and doc_id is not null")
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    near = ws.save(_candidates(ws, classes, percent), "candidates")
+    near = _candidates(ws, classes, percent)
     blocks = ws.save(components(ws, near), "blocks")
+    ws.drop(near)
     reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     few = blocks.count() <= BROADCAST_ROWS
     wanted = reps.join(blocks.withColumnRenamed("id", "rep"), "rep").select(F.col("rep").alias("doc_id"), F.col("component").cast("string").alias("block"), "n").groupBy("doc_id", "block").agg(F.max("n").alias("n"))

@@ -82,6 +82,7 @@ def near_earlier(spark: SparkSession, ws: Workspace, docs: DataFrame, distinct:
     texts = texts.select("h1", "h2", F.struct("first.doc_id", "first.line_no").alias("place"), F.col("first.line").alias("line"), F.col("first.chars").alias("chars"))
     fine = texts.select("h1", "h2", F.col("place").alias("first"), F.explode(_parts(F.col("chars"), F.col("line"), FINE)).alias("k")).select("h1", "h2", "first", "k.*")
     fine = ws.save(_shared(fine, ["k1", "k2"]), "fine")
+    ws.drop(met)
 
     n = F.length("mid")
     deleted = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.struct(p.alias("p"), F.xxhash64(F.concat(F.substring(F.col("mid"), F.lit(1), p - 1), F.substring(F.col("mid"), p + 1, n))).alias("v")))).otherwise(F.array().cast("array<struct<p:int,v:bigint>>"))
@@ -96,7 +97,9 @@ def near_earlier(spark: SparkSession, ws: Workspace, docs: DataFrame, distinct:
     other = F.when(F.col("role") == 0, F.col("any")).when(F.col("role") == 1, F.col("longer")).otherwise(F.col("one"))
     linked = variants.join(groups, key).withColumn("other", other).where(F.col("other").isNotNull())
     near = linked.where((F.col("other.first") < F.col("first")) & (F.levenshtein("mid", "other.mid") <= 1))
-    return ws.save(near.select("h1", "h2").distinct(), "near")
+    found = ws.save(near.select("h1", "h2").distinct(), "near")
+    ws.drop(fine)
+    return found
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
