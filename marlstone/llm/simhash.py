@@ -64,8 +64,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return _votes(documents(docs).withColumn("_text_key", F.sha2("text", 256)), ["doc_id", "_text_key"]).drop("_text_key")
 
 
-#: Characters of texts in a range, about.
-RANGE_CHARS = 1 << 26
+#: Characters of texts in a range, about, and ranges in a task: several, so that dealing them by hash is even.
+RANGE_CHARS, RANGES = 1 << 23, 8
 
 
 def _ranges(spark: SparkSession, every: DataFrame, tasks: int) -> tuple[DataFrame, int, int, int]:
@@ -104,12 +104,12 @@ def _ranges(spark: SparkSession, every: DataFrame, tasks: int) -> tuple[DataFram
 def with_next(docs: DataFrame, n: int) -> DataFrame:
     """rid (place in ascending doc_id, then hash of the text), doc_id, text, next_text (after the last: the first).
 
-    Documents are dealt to n ranges of ids or more, and rows of a frequent id to ranges of their texts' hashes; each range
+    Documents are dealt to several ranges of ids for each of n tasks or more, and rows of a frequent id to ranges of their texts' hashes; each range
     gets a copy of the next one's first document as a guest at its end, so a window inside ranges sees every neighbour.
     """
     spark = docs.sparkSession
     every = documents(docs).withColumn("h", F.xxhash64("text"))
-    lines, lo, width, count = _ranges(spark, every, n)
+    lines, lo, width, count = _ranges(spark, every, RANGES * n)
     bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(width)).cast("long"), F.lit(-1))
     met = every.withColumn("bucket", bucket).join(F.broadcast(lines), "bucket").where("doc_id is null or (doc_id >= lo and doc_id < hi)")  # a line a range
     part = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("parts")).cast("int"), F.col("parts") - 1)
@@ -124,7 +124,7 @@ def with_next(docs: DataFrame, n: int) -> DataFrame:
     guests = ranged.join(firsts, "range").where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))).groupBy("host").agg(F.min("text").alias("text"))
     both = ranged.withColumn("guest", F.lit(0)).unionByName(guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("h"), F.col("host").alias("range"), F.lit(1).alias("guest")))
     w = Window.partitionBy("range").orderBy("guest", "doc_id", "h", "text")
-    out = both.repartition(max(n, count), "range").withColumn("next_text", F.lead("text").over(w)).withColumn("k", F.row_number().over(w)).where("guest = 0")
+    out = both.repartition(max(n, count // RANGES), "range").withColumn("next_text", F.lead("text").over(w)).withColumn("k", F.row_number().over(w)).where("guest = 0")
     bases = F.broadcast(sizes.select("range", "base"))
     return out.join(bases, "range").select((F.col("base") + F.col("k") - 1).alias("rid"), "doc_id", "text", "next_text")
 
