@@ -143,7 +143,7 @@ def _random_letters(rng: np.random.Generator) -> bytes:
 
 def _calibrate(model: Model, rows: list[Row], own: dict[str, int]) -> Model:
     """Temperature by least log loss with a doubt; threshold: half of the lowest score but one in a thousand of right predictions.
-    Limit of fit: two fifths of the way from the foreign rows' to the own rows'."""
+    Limit of fit: a fifth of the way from the foreign rows' to the own rows'."""
     if not rows:
         model.frequency = None
         return model
@@ -183,7 +183,7 @@ def _calibrate(model: Model, rows: list[Row], own: dict[str, int]) -> Model:
     if len(model.languages) > 1:
         fit[np.arange(len(y)), y] = -np.inf
         high = max(high, float(np.quantile(fit.max(1)[size > _PRIOR], 0.95))) if (size > _PRIOR).any() else high
-    model.limit = high + 0.4 * (low - high) if high < low else 1.5 * low
+    model.limit = high + 0.2 * (low - high) if high < low else 1.5 * low
     model.report = {"rows": len(rows), "accuracy": float(right.mean()), "temperature": model.temperature, "threshold": model.threshold, "own_fit": low, "foreign_fit": high, "limit": model.limit}
     return model
 
