@@ -29,8 +29,8 @@ _CHUNK = 1 << 22  # positions treated at once in a long text; a place in a chunk
 _FANOUT = 14
 #: A passage is a string of so many words, so any of more words holds one.
 PASSAGE_WORDS = 50
-#: Keys of up to so many rows (a few MB) are broadcast after they are counted; more are shuffled.
-BROADCAST_ROWS = 100_000
+#: Keys of up to so many rows (some tens of MB) are broadcast after they are counted; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 _ROWS = "rk long, at long, lo int, hi int, start long, stop long, c long, w1 long, w2 long, n int"
 
