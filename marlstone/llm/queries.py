@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import byte_bpe, decontaminate, jaccard_join, langid, line_dedup, simhash, suffix_dedup, token_counts, token_files, url_filter
+from marlstone.llm import byte_bpe, decontaminate, fill_middle, jaccard_join, langid, line_dedup, packing, simhash, suffix_dedup, token_counts, token_files, url_filter, vector_codes
 from marlstone.llm.common import Workspace, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -59,6 +60,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(spark, table(spark, sf_dir, "embeddings"), parts=16, size=64, rounds=2, scale=256)
+    digest = hashlib.sha256(",".join(str(int(x)) for x in books.ravel()).encode()).hexdigest()
+    return vector_codes.with_label_errors(codes).select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"), seed="42", plain_percent=50, spm_percent=80)
+    digest = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return fill_middle.restore(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 _SHINGLED = r"""
 {name}_w AS (SELECT {id}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}),
 {name}_i AS (SELECT {id}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {name}_w WHERE len(w) > 0),
@@ -91,5 +109,21 @@ f AS (SELECT page_id, rhost || rpath AS rule, verdict, row_number() OVER (PARTIT
 SELECT p.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.k = 1
 """,
 }
+# Operator 11: one part after the other of each vector, three assignments with two new sets of codebooks between them.
+_CODES = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT vec_id, label, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM v, range(16) r(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+"""
+_ASSIGNED = """a{0} AS (SELECT vec_id, label, part, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS m FROM p JOIN b{0} USING (part) GROUP BY ALL)"""
+_REFINED = """,
+s{0} AS (SELECT part, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT part, m.e AS e, x, unnest(range(1, len(x) + 1)) AS i FROM a{0}) GROUP BY ALL),
+f{0} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{0} GROUP BY ALL),
+b{1} AS (SELECT part, e, coalesce(f{0}.c, b{0}.c) AS c FROM b{0} LEFT JOIN f{0} USING (part, e)),
+"""
+SQL["op11_vector_codes"] = _CODES + _ASSIGNED.format(0) + _REFINED.format(0, 1) + _ASSIGNED.format(1) + _REFINED.format(1, 2) + _ASSIGNED.format(2) + """,
+r AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY ALL),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("op") and k[2].isdigit()}
