@@ -93,7 +93,8 @@ def relax(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
     columns = np.diag(capacity // lengths).astype(float)
     asked, demand = demand, demand + np.random.default_rng(m).uniform(1e-4, 1e-3, m)  # no ties, so that no step has length zero
     inverse, x = np.diag(1 / np.diag(columns)), demand / np.diag(columns)
-    pack, bound, pivots = _Knapsack(lengths, capacity), 0.0, 0
+    pack, pivots = _Knapsack(lengths, capacity), 0
+    bound = float(lengths @ asked) / capacity  # lengths as dual values
     while True:
         duals = inverse.sum(0)
         gain = duals @ pool

@@ -43,13 +43,33 @@ class _Encoder:
         # words are cut apart for this way of reading texts only; with another one texts go to the library whole
         made = json.loads(self._t.to_str())
         norm, way = ((made.get(k) or {}).get(s, []) for k, s in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
-        drops = [x.get("invert") and x["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]+" in str(x["pattern"]) for x in way[:1]]
+        drops = [x.get("invert") and x["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]+" in x["pattern"].get("Regex", "") for x in way[:1]]
         self._cut = [x["type"] for x in norm] == ["NFC", "Replace", "Lowercase"] and drops == [True] and not way[1].get("add_prefix_space", True)
-        self._parts, self._words = Memo(self._library, 200_000), Memo(self._split, 300_000)
+        suffix = made["model"].get("end_of_word_suffix")
+        self._ends = None
+        if suffix:
+            vocab = self._t.get_vocab(with_added_tokens=False)
+            self._ends = np.zeros(max(vocab.values()) + 1, bool)
+            self._ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self._parts, self._words = Memo(self._pieces, 300_000), Memo(self._split, 450_000)
 
     def _library(self, new: list[str]) -> list[bytes]:
         return [np.array(e.ids, self._dtype).tobytes() for e in self._t.encode_batch_fast(new, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        """Plain words are one match each and go to the library in one text: each ends with the next token that ends a word."""
+        plain = [x for x in new if x.isalpha() and max(x) < "ɐ" and "İ" not in x]
+        out = {}
+        if plain and self._ends is not None:
+            ids = np.array(self._t.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self._dtype)
+            cut = np.flatnonzero(self._ends[ids]) + 1
+            if len(cut) == len(plain):
+                data, size = ids.tobytes(), ids.itemsize
+                out = {w: data[a:z] for w, a, z in zip(plain, [0, *(cut[:-1] * size).tolist()], (cut * size).tolist(), strict=True)}
+        rest = [x for x in new if x not in out]
+        out.update(zip(rest, self._library(rest), strict=True))
+        return [out[x] for x in new]
+
     def _split(self, new: list[str]) -> list[bytes]:
         """A word and the marks behind it never share a match."""
         cores = [x.rstrip(_MARKS) for x in new]
@@ -58,8 +78,18 @@ class _Encoder:
         known = self._parts.known({*cores, *ends} - {""})
         return [known[c] + known[e] if e else known[c] for c, e in zip(cores, ends, strict=True)]
 
+    def _split_text(self, text: str) -> list[str] | None:
+        """Words of a text; none if the library has to see it whole."""
+        if not self._cut or any(x in text for x in self._added) or any(x in text for x in _ODD):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()  # the tokenizer's own way, letter by letter, is the same here
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        own = [t.split() if self._cut and not any(x in t for x in self._added) and not any(x in t for x in _ODD) else None for t in texts]
+        own = [self._split_text(t) for t in texts]
         words = set().union(*filter(None, own))
         long = {x for x in words if len(x) > _LONG}
         known = self._words.known(words - long)
@@ -83,7 +113,7 @@ def tokens(ws: Workspace, docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder, size = _encoder(path, dtype), len(end)
         for b in batches:
             ids, at = b["doc_id"].cast(pa.int64()), 0
-            for texts in bounded(x.as_py() for x in b["text"]):
+            for texts in bounded((x.as_py() for x in b["text"]), 1 << 22):
                 out = [x + end for x in encoder.encode_all(texts)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
                 at += len(out)
