@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.functions import unicode as U
-from marlstone.operators import chunking, html, maintenance
+from marlstone.operators import chunking, html, maintenance, markup
 from marlstone.plans.inputs import RECORDS, records, table
 
 QUERIES, SQL = {}, {}
@@ -119,6 +119,35 @@ def x25(spark, d):
     return html.sample_lists(table(spark, d, "pages"))
 
 
+@query("x22_page_changes")
+def x22_pages(spark, d):
+    """Pages with a paragraph added, others with an attribute that doesn't count, an item renamed, or nothing changed."""
+    p = table(spark, d, "pages").select("page_id", "html")
+    more = F.replace("html", F.lit("</article>"), F.lit('<p class="new">added</p><p>and <b>more</b></p></article>'))
+    tracked = F.replace("html", F.lit("<h1>"), F.lit('<h1 data-track-id="7">'))
+    renamed = F.regexp_replace("html", "<li>(.*?)</li>", "<li>$1</li >")
+    kind = F.col("page_id") % 4
+    return markup.page_changes(p, p.withColumn("html", F.when(kind == 0, more).when(kind == 1, tracked).when(kind == 2, renamed).otherwise(F.col("html"))))
+
+
+@query("x23_truncated_pages")
+def x23(spark, d):
+    return markup.truncate(table(spark, d, "pages").select("page_id", "html"), 2500)
+
+
+@query("x24_repeated_siblings")
+def x24(spark, d):
+    return markup.repeated(markup.nodes(table(spark, d, "pages").select("page_id", "html")))
+
+
+@query("x25_sampled_pages")
+def x25_pages(spark, d):
+    """The best group of like siblings of each element is a list; its long ones are cut to those that name "the"."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    tree = markup.nodes(pages)
+    return markup.sample_items(pages, tree, markup.members(tree, markup.repeated(tree, limit=1)), instruction="the")
+
+
 @query("a20_line_delta", """WITH v AS (SELECT doc_id, coalesce(text, '') AS old, 'new' || chr(10) || regexp_replace(coalesce(text, ''), '\\n[^\\n]*$', '') AS new FROM documents),
 l AS (SELECT doc_id, unnest(string_split(regexp_replace(old, '\\n$', ''), chr(10))) AS line, -1 AS n FROM v WHERE old <> '' UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(new, '\\n$', ''), chr(10))), 1 FROM v),
 e AS (SELECT doc_id, line, sum(n) AS n FROM l GROUP BY 1, 2)
