@@ -1,4 +1,4 @@
-"""Queries of the lookups, and their SQL."""
+"""Queries of the lookups, paths, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import caching, chunking, control, lookups, maintenance, scopes, sessions, tree
+from marlstone.operators import caching, chunking, control, lookups, maintenance, paths, scopes, sessions, tree
 from marlstone.plans.inputs import RECORDS, REF_KEY, records, table
 
 QUERIES, SQL = {}, {}
@@ -262,3 +262,60 @@ def k14(spark, d):
     t = F.concat(F.lit("about "), i.cast("string"), F.lit("\n\n表 "), (i % 9).cast("string"), F.lit("-2 Sales"), unit, F.lit("\n| a |\n| --- |\n| 1 |\n\n"), own)
     rows = chunking.bound(chunking.blocks(chunking.sections(chunking.classified(chunking.lines(table(spark, d, "documents").select("doc_id", t.alias("text")))))))
     return chunking.table_context(rows).drop("block")
+
+
+# Links and files named after documents' texts: every third link is two links in one, the second with an old folder in
+# front; every third is one link; every third ends in a file that isn't there.
+_FILE = "'img/' || left(md5(coalesce(text, '')), 10) || '-' || doc_id || '.png'"
+
+
+@query("g15_split_links", f"""WITH f AS (SELECT doc_id, {_FILE} AS path FROM documents)
+SELECT a.doc_id AS link_id, CASE WHEN a.doc_id % 3 = 0 AND b.path IS NOT NULL THEN '../' || a.path || '|../' || b.path END AS parts FROM f a LEFT JOIN f b ON b.doc_id = a.doc_id + 1""")
+def g15(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("img/"), F.left(F.md5(F.coalesce("text", F.lit(""))), F.lit(10)), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".png"))
+    files = docs.select("doc_id", path.alias("path"))
+    following = files.select((F.col("doc_id") - 1).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    k = F.col("doc_id") % 3
+    first, second = F.concat(F.lit("../"), "path"), F.coalesce("name", F.lit("gone.png"))
+    value = F.when(k == 0, F.concat(first, F.lit("old.assets/"), second)).when(k == 1, first).otherwise(F.concat(first, second, F.lit("/none.png")))
+    links = files.join(following, "doc_id", "left").select(F.col("doc_id").alias("link_id"), F.lit("docs").alias("folder"), value.alias("value"))
+    return paths.split_links(links, files).select("link_id", F.array_join("parts", "|").alias("parts"))
+
+
+def _package(spark, d):
+    """Documents as entries of a manifest, some of whose sources lead out of their root or have no file; and the files."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    source = F.when(k == 0, F.concat(F.lit("a/../in/"), i, F.lit(".pdf"))).when(k == 1, F.concat(F.lit("../in/"), i, F.lit(".pdf"))).when(k == 2, F.concat(F.lit("/in/"), i, F.lit(".pdf"))).when(k == 3, F.lit("")).when(k == 4, F.concat(F.lit("in/"), i, F.lit(".gone"))).otherwise(F.concat(F.lit("in\\"), i, F.lit(".pdf")))
+    docs = table(spark, d, "documents")
+    md = F.concat(F.lit("processed/"), i, F.when(k == 5, ".txt").otherwise(".md"))
+    manifest = docs.select(F.lit("kb").alias("kb_id"), F.col("doc_id").alias("pos"), source.alias("source"), "lang", F.coalesce("source", F.lit("")).alias("name"), F.when(k == 4, "asset").otherwise("document").alias("kind"), F.array(md).alias("processed"))
+    manifest = manifest.drop("lang")
+    originals = docs.select(F.lit("kb").alias("kb_id"), F.concat(F.lit("in/"), i, F.lit(".pdf")).alias("path"))
+    return docs.select(F.col("doc_id").alias("request"), F.lit("kb").alias("kb_id"), "lang", md.alias("registered"), F.regexp_replace(md, "^processed/", "").alias("bare")), manifest, originals
+
+
+@query("r17_sources", """SELECT doc_id AS request, CASE WHEN doc_id % 6 IN (0, 5) THEN 'ok' WHEN doc_id % 6 = 3 THEN 'source_document_not_registered' ELSE 'source_document_not_found' END AS status,
+CASE WHEN doc_id % 6 IN (0, 5) THEN 'in/' || doc_id || '.pdf' END AS path, CASE WHEN doc_id % 6 IN (0, 5) THEN coalesce(nullif(source, ''), doc_id || '.pdf') END AS title FROM documents""")
+def r17_sources(spark, d):
+    asked, manifest, originals = _package(spark, d)
+    return paths.sources(asked.withColumnRenamed("registered", "processed"), manifest, originals).drop("kb_id")
+
+
+@query("r17_processed", """SELECT doc_id AS request, CASE WHEN lang = 'en' THEN 'processed_document_not_found' WHEN doc_id % 6 = 5 THEN 'processed_document_not_markdown' WHEN doc_id % 6 = 4 THEN 'processed_document_not_registered' ELSE 'ok' END AS status,
+CASE WHEN coalesce(lang <> 'en', true) AND doc_id % 6 < 4 THEN doc_id || '.md' END AS path FROM documents""")
+def r17_processed(spark, d):
+    """Documents in English have no file of their own."""
+    asked, manifest, _ = _package(spark, d)
+    made = asked.where("lang is distinct from 'en'").select("kb_id", F.col("bare").alias("path"))
+    return paths.processed(asked.withColumnRenamed("bare", "processed"), manifest, made)
+
+
+@query("r17_assets", "SELECT doc_id AS request, CASE WHEN doc_id % 6 IN (0, 5) AND (lang = 'en' OR lang = 'de') THEN 'pics/' || doc_id || ' x.png' END AS path FROM documents")
+def r17_assets(spark, d):
+    """Images beside the originals' folder; those of French documents lie outside the root, others have a scheme or no image's ending."""
+    asked, manifest, originals = _package(spark, d)
+    i = F.col("request").cast("string")
+    image = F.concat(F.when(F.col("lang").isin("en", "de"), "../pics/").when(F.col("lang") == "fr", "../../pics/").when(F.col("lang") == "es", "http://h/").otherwise("../pdf/"), i, F.when(F.col("lang") == "de", "%20x.png").otherwise(" x.png?size=2"))
+    pictures = originals.select("kb_id", F.concat(F.lit("pics/"), F.regexp_extract("path", r"in/(\d+)", 1), F.lit(" x.png")).alias("path"))
+    return paths.assets(asked.select("request", "kb_id", F.col("registered").alias("processed"), image.alias("image")), manifest, originals.unionByName(pictures))
