@@ -113,7 +113,7 @@ def tokens(ws: Workspace, docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder, size = _encoder(path, dtype), len(end)
         for b in batches:
             ids, at = b["doc_id"].cast(pa.int64()), 0
-            for texts in bounded((x.as_py() for x in b["text"]), 1 << 22):
+            for texts in bounded((x.as_py() for x in b["text"]), 1 << 21):
                 out = [x + end for x in encoder.encode_all(texts)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
                 at += len(out)
