@@ -14,6 +14,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,14 @@ _ODD = "\x1c\x1d\x1e\x1f"  # white space for Python, not for the tokenizer
 _LONG = 64  # longer words aren't remembered
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Encoder:
     """Ids of texts.  White space ends every match of a word tokenizer's pattern, so words are encoded independently."""
 
@@ -58,7 +67,9 @@ class _Encoder:
 
     def _pieces(self, new: list[str]) -> list[bytes]:
         """Plain words are one match each and go to the library in one text: each ends with the next token that ends a word."""
-        plain = [x for x in new if x.isalpha() and max(x) < "ɐ" and "İ" not in x]
+        plain = [x for x in new if x.isalpha()]
+        if not _latin("".join(plain)):
+            plain = [x for x in plain if max(x) < "ɐ" and "İ" not in x]
         out = {}
         if plain and self._ends is not None:
             ids = np.array(self._t.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self._dtype)
@@ -73,7 +84,7 @@ class _Encoder:
     def _split(self, new: list[str]) -> list[bytes]:
         """A word and the marks behind it never share a match."""
         cores = [x.rstrip(_MARKS) for x in new]
-        cores = [c if (e := c[-1:]).isalnum() and e < "ɐ" and e != "İ" else x for c, x in zip(cores, new, strict=True)]
+        cores = [c if c == x or (e := c[-1:]).isalnum() and e < "ɐ" and e != "İ" else x for c, x in zip(cores, new, strict=True)]
         ends = [x[len(c) :] for c, x in zip(cores, new, strict=True)]
         known = self._parts.known({*cores, *ends} - {""})
         return [known[c] + known[e] if e else known[c] for c, e in zip(cores, ends, strict=True)]
@@ -82,11 +93,7 @@ class _Encoder:
         """Words of a text; none if the library has to see it whole."""
         if not self._cut or any(x in text for x in self._added) or any(x in text for x in _ODD):
             return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split()
-        return text.lower().split()  # the tokenizer's own way, letter by letter, is the same here
+        return (text.lower() if _latin(text) else text).split()  # the tokenizer's own way, letter by letter, is the same there
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         own = [self._split_text(t) for t in texts]
@@ -94,7 +101,7 @@ class _Encoder:
         long = {x for x in words if len(x) > _LONG}
         known = self._words.known(words - long)
         if not long:
-            return [b"".join(map(known.__getitem__, x)) if x is not None else self._library([t])[0] for t, x in zip(texts, own, strict=True)]
+            return [b"".join(itemgetter(*x)(known) if len(x) > 1 else map(known.__getitem__, x)) if x is not None else self._library([t])[0] for t, x in zip(texts, own, strict=True)]
         once = dict(zip(long, self._library(list(long)), strict=True))
         return [b"".join(once[w] if w in once else known[w] for w in x) if x is not None else self._library([t])[0] for t, x in zip(texts, own, strict=True)]
 
@@ -113,7 +120,7 @@ def tokens(ws: Workspace, docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder, size = _encoder(path, dtype), len(end)
         for b in batches:
             ids, at = b["doc_id"].cast(pa.int64()), 0
-            for texts in bounded((x.as_py() for x in b["text"]), 1 << 21):
+            for texts in bounded((x.as_py() for x in b["text"]), 3 << 20):
                 out = [x + end for x in encoder.encode_all(texts)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(out)), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
                 at += len(out)
