@@ -13,7 +13,7 @@ from marlstone.session import checkpointed
 
 def keyed(texts: DataFrame, purpose: str) -> DataFrame:
     """texts with cache_key, a digest of purpose and text."""
-    return texts.withColumn("cache_key", F.sha2(F.concat(F.lit(purpose + "\x1f"), "text"), 256))
+    return texts.withColumn("cache_key", F.sha2(F.concat(F.lit(purpose + "\0"), "text"), 256))
 
 
 def misses(texts: DataFrame, cache: DataFrame) -> DataFrame:

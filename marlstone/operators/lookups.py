@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators import paths
 
 
 def resolve_images(requests: DataFrame, images: DataFrame, most: int = 10) -> DataFrame:
@@ -65,32 +66,92 @@ def tool_calls(c: Column) -> Column:
     return F.coalesce(F.when(F.size(listed) > 0, listed), F.concat(tagged.cast(CALL), F.transform(functions, called).cast(CALL)), F.array().cast(CALL))
 
 
-def captions(lines: DataFrame) -> DataFrame:
-    """Image lines with their caption: the rest of their own line, else the nearer of the lines that aren't empty
-    within two above and below; at equal distance only if both name the same number."""
+IMAGE = r"""!\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)"""
+_NUMBERED = r"(?U)^(?:图|表)\s*[0-9]{1,3}+(?:\s*[-–—.·]\s*[0-9]{1,3}+){0,3}+\s*(?:$|[:.、—–-])"
+
+
+def _described(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """Lines with what captions hang on: has (an image), src (a source line), cap (an explicit caption or null), each
+    with its neighbours in _p (above) and _n (below), nearest first; and the line's own."""
+    clean = T.strip(F.regexp_replace("line", IMAGE, ""))
+    clean = F.regexp_replace(F.regexp_replace(clean, r"\\([~*_#])", "$1"), r"^[*_`]+|[*_`]+$", "")
+    clean = F.trim(F.regexp_replace(clean, r"(?U)\s+", " "))
+    source = clean.rlike(r"(?iU)^(?:资料)?来源\b|^source\b")
+    head = T.half_width(T.strip(F.regexp_replace(clean, r"^\s{0,3}#{1,6}\s+", "")))
+    caption = F.when(~source & head.rlike(_NUMBERED), clean)
+    rows = lines.select("doc_id", "line_no", "line", F.struct("line", (T.strip(F.col("line")) != "").alias("full"), F.col("line").rlike(IMAGE).alias("has"), source.alias("src"), caption.alias("cap")).alias("_own"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    t = T.strip(F.regexp_replace("line", r"!\[[^\]]*\]\([^)]*\)", ""))
-    side = lambda f: (F.nullif(F.trim(f("line", 1).over(w)), F.lit("")), F.nullif(F.trim(f("line", 2).over(w)), F.lit("")))
-    (a1, a2), (b1, b2) = side(F.lag), side(F.lead)
-    rows = lines.select("doc_id", "line_no", "line", t.alias("own"), a1.alias("a1"), a2.alias("a2"), b1.alias("b1"), b2.alias("b2"))
-    same = lambda a, b: (T.ref_key(F.col(a)) == T.ref_key(F.col(b))) & (T.ref_key(F.col(a)) != "")
-    near = F.when(F.col("a1").isNotNull() & F.col("b1").isNotNull(), F.when(same("a1", "b1"), F.col("a1"))).otherwise(F.coalesce("a1", "b1"))
-    far = F.when(F.col("a2").isNotNull() & F.col("b2").isNotNull(), F.when(same("a2", "b2"), F.col("a2"))).otherwise(F.coalesce("a2", "b2"))
-    none = F.col("a1").isNull() & F.col("b1").isNull()
-    return rows.where(F.col("line").rlike(r"!\[[^\]]*\]\([^)]*\)")).select("doc_id", "line_no", F.coalesce(F.nullif("own", F.lit("")), F.when(none, far).otherwise(near)).alias("caption"))
+    around = {k: F.array(*[f("_own", i).over(w) for i in range(1, 5)]) for k, f in (("_p", F.lag), ("_n", F.lead))}
+    return rows.withColumns(around), F.col("_own")
 
 
-def near_text(lines: DataFrame, around: int = 2) -> DataFrame:
-    """Lines with the texts around them joined."""
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-around, around)
-    return lines.withColumn("near", F.array_join(F.filter(F.collect_list(F.trim("line")).over(w), lambda x: x != ""), " "))
+def _nearest(side: str, past: Column | int = 0) -> Column:
+    """How far the next line that isn't empty lies, one empty line at most between; counted behind the first past lines."""
+    past = F.lit(past) if isinstance(past, int) else past
+    at = lambda i: F.get(side, past + i)
+    return F.when(at(0)["full"], past + 1).when(at(0).isNotNull() & at(1)["full"], past + 2)
+
+
+def captions(lines: DataFrame) -> DataFrame:
+    """Lines with an image and their caption (null: none).
+
+    Only a line that begins, behind heading marks, with a figure or table number and then ends or has a delimiter is a
+    caption; mentions and source lines aren't.  The image's own line goes first, then the nearer of the next lines with
+    content above and below, one empty line at most between; at equal distance they have to name the same number.
+    """
+    rows, own = _described(lines)
+    rows = rows.where(own["has"]).withColumn("_a", _nearest("_p")).withColumn("_b", _nearest("_n"))
+    above, below = F.get("_p", F.col("_a") - 1)["cap"], F.get("_n", F.col("_b") - 1)["cap"]
+    same = (T.ref_key(above) == T.ref_key(below)) & (T.ref_key(above) != "")
+    both = F.when(F.col("_a") < F.col("_b"), above).when(F.col("_b") < F.col("_a"), below).when(same, above)
+    near = F.when(above.isNotNull() & below.isNotNull(), both).otherwise(F.coalesce(above, below))
+    return rows.select("doc_id", "line_no", F.coalesce(own["cap"], near).alias("caption"))
+
+
+#: Paths that conversion makes for images.
+_MADE = r"(?i)\S*?\.assets-[^\s()]*[\\/][^\s()]+\.(?:png|jpe?g|jp2|webp|gif|bmp|tiff?)(?:\?[^\s)]*)?\)?"
+
+
+def near_text(lines: DataFrame, most: int = 600) -> DataFrame:
+    """Lines with an image and the text that belongs to it: the line, the captions next to it, a source line behind
+    them, and one line of prose before them.  Images become labels, links their texts; of long texts the end is kept."""
+    rows, own = _described(lines)
+    rows = rows.where(own["has"])
+    a, b = _nearest("_p"), _nearest("_n")
+    rows = rows.withColumn("_up", F.when(F.get("_p", a - 1)["cap"].isNotNull(), a).otherwise(0)).withColumn("_down", F.when(F.get("_n", b - 1)["cap"].isNotNull(), b).otherwise(0))
+    rows = rows.withColumn("_s", _nearest("_n", F.col("_down"))).withColumn("_q", _nearest("_p", F.col("_up")))
+    before = F.get("_p", F.col("_q") - 1)
+    text = lambda c: c["line"]
+    parts = F.array(
+        F.when(~before["has"] & ~before["src"] & before["cap"].isNull(), text(before)),
+        F.when(F.col("_up") > 0, text(F.get("_p", F.col("_up") - 1))),
+        text(own),
+        F.when(F.col("_down") > 0, text(F.get("_n", F.col("_down") - 1))),
+        F.when(F.get("_n", F.col("_s") - 1)["src"], text(F.get("_n", F.col("_s") - 1))),
+    )
+    raw = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n")
+    raw = F.regexp_replace(raw, r"""!\[\]\(([^)\s]+)(?:\s+"[^"]*")?\)""", "[图片:image]")
+    raw = F.regexp_replace(raw, r"""!\[\s*([^\]]*?)\s*\]\(([^)\s]+)(?:\s+"[^"]*")?\)""", "[图片:$1]")
+    raw = F.regexp_replace(raw, r"""(?<!!)\[\s*([^\]\r\n]+?)\s*\]\(([^)\s]+)(?:\s+"[^"]*")?\)""", "$1")
+    flat = F.trim(F.regexp_replace(F.regexp_replace(raw, _MADE, "[图片]"), r"(?U)\s+", " "))
+    return rows.select("doc_id", "line_no", F.ltrim(F.when(F.length(flat) > most, F.right(flat, F.lit(most))).otherwise(flat)).alias("near"))
 
 
 def image_references(texts: DataFrame) -> DataFrame:
-    """Images of Markdown texts in order: doc_id, pos, alt, path.  Addresses in other stores are left out."""
-    m = r"!\[([^\]]*)\]\(\s*<?([^)\s>]+)>?[^)]*\)"
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(m), F.lit(1)).alias("alt"), F.regexp_extract_all("text", F.lit(m), F.lit(2)).alias("path"))
-    return texts.select("doc_id", F.posexplode(both).alias("pos", "i")).select("doc_id", "pos", F.trim("i.alt").alias("alt"), "i.path").where(~F.col("path").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"))
+    """Images of Markdown texts, and links whose path ends as an image's does, in order: doc_id, pos, alt, path.
+
+    pos counts all images and links.  Paths are without percent codes and entities; addresses in other stores are left
+    out, and so are links around an image.
+    """
+    m = r"""!\[([^\]]*)\]\(\s*<?([^)\s>]+)>?[^)]*\)|(?<!!)\[((?:(?!!\[)[^\]\r\n])+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)"""
+    names = ("alt", "path", "text", "to")
+    all_ = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(m), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+    found = texts.select("doc_id", F.posexplode(all_).alias("pos", "i"))
+    image = F.col("i.path") != ""
+    path = paths.decoded(F.when(image, F.col("i.path")).otherwise(F.col("i.to")))
+    found = found.select("doc_id", "pos", image.alias("image"), F.trim(F.when(image, F.col("i.alt")).otherwise(F.col("i.text"))).alias("alt"), path.alias("path"))
+    ending = F.lower(F.regexp_extract("path", r"(?s)^([^?#]*)", 1)).rlike(rf"(?:{paths.ENDINGS})$")
+    return found.where((F.col("image") | ending) & ~F.col("path").rlike(paths.SCHEME)).drop("image")
 
 
 def fold_turns(messages: DataFrame, most: int = 72) -> DataFrame:

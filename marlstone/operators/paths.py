@@ -12,8 +12,8 @@ from marlstone.operators.html import ENTITIES
 
 # Endings of images.
 IMAGE_SUFFIXES = (".jpeg", ".webp", ".tiff", ".png", ".jpg", ".jp2", ".gif", ".bmp", ".tif")
-_ENDINGS = "|".join(x.replace(".", r"\.") for x in IMAGE_SUFFIXES)
-_SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
+ENDINGS = "|".join(x.replace(".", r"\.") for x in IMAGE_SUFFIXES)
+SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 
 
 def normal(path: Column) -> Column:
@@ -25,14 +25,14 @@ def normal(path: Column) -> Column:
         up = F.when(F.size(stack) > 0, F.slice(stack, 1, F.size(stack) - 1))
         return F.when(stack.isNull(), None).when(s.isin("", "."), stack).when(s == "..", up).otherwise(F.concat(stack, F.array(s)))
 
-    rooted = p.startswith("/") | p.rlike(_SCHEME) | F.contains(p, F.lit("\0"))
+    rooted = p.startswith("/") | p.rlike(SCHEME) | F.contains(p, F.lit("\0"))
     return F.when(~rooted, F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/"))
 
 
 def within(folder: Column, path: Column) -> Column:
     """The normal form of path seen from folder; null if path has a root of its own or leads out of folder's root."""
     bare = F.replace(path, F.lit("\\"), F.lit("/"))
-    rooted = bare.startswith("/") | bare.rlike(_SCHEME)
+    rooted = bare.startswith("/") | bare.rlike(SCHEME)
     return F.when(~rooted, normal(F.concat(folder, F.lit("/./"), path)))
 
 
@@ -91,10 +91,10 @@ def split_links(links: DataFrame, files: DataFrame) -> DataFrame:
     most = files.agg(F.max(F.length("path"))).first()[0] or 0
     value = F.regexp_replace(F.trim("value"), r"^[<>]+|[<>]+$", "")
     rows = links.select("link_id", F.coalesce("folder", F.lit(".")).alias("folder"), value.alias("value"))
-    open_ = rows.where((F.col("value") != "") & ~F.col("value").rlike(r"[?#]") & ~F.col("value").rlike(_SCHEME))
+    open_ = rows.where((F.col("value") != "") & ~F.col("value").rlike(r"[?#]") & ~F.col("value").rlike(SCHEME))
     whole = open_.withColumn("path", within(F.col("folder"), decoded(F.col("value"))))
     open_ = whole.join(files, "path", "left_anti").drop("path")
-    pieces = F.regexp_extract_all("value", F.lit(rf"(?is).*?(?:{_ENDINGS})"), F.lit(0))
+    pieces = F.regexp_extract_all("value", F.lit(rf"(?is).*?(?:{ENDINGS})"), F.lit(0))
     open_ = open_.withColumn("pieces", pieces).withColumn("k", F.size("pieces")).where((F.col("k") > 1) & (F.array_join("pieces", "") == F.col("value")))
     # where pieces end
     ends = F.aggregate("pieces", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
@@ -104,7 +104,7 @@ def split_links(links: DataFrame, files: DataFrame) -> DataFrame:
     near = F.filter(F.sequence(F.col("i") + 1, F.col("k")), lambda j: F.get("ends", j) - F.get("ends", F.col("i")) <= 12 * most)
     parts = begun.select("*", F.explode(near).alias("j")).withColumn("part", decoded(F.substring(F.col("value"), F.get("ends", F.col("i")) + 1, F.get("ends", F.col("j")) - F.get("ends", F.col("i")))))
     parts = parts.withColumn("path", within(F.col("folder"), F.col("part"))).withColumn("name", F.when(~F.contains("part", F.lit("/")), F.lower("part")))
-    parts = parts.where(~F.col("part").rlike(_SCHEME))
+    parts = parts.where(~F.col("part").rlike(SCHEME))
     met = parts.join(files.withColumn("there", F.col("path")), "path", "left").join(by_name, "name", "left").withColumn("to", F.coalesce("there", "only")).where("to is not null")
     short = met.groupBy("link_id").agg(F.collect_list(F.struct("i", "j", "to")).alias("short"))
     # parts with a slash end in one name, whatever they begin with
@@ -181,7 +181,7 @@ def assets(requests: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFr
     origin = sources(requests, manifest, files).where("status = 'ok'").select("request", "kb_id", "path")
     raw = F.regexp_replace(F.trim("image"), r"^[<>]+|[<>]+$", "")
     raw = F.coalesce(F.try_url_decode(F.replace(F.regexp_extract(raw, r"(?s)^([^?#]*)", 1), F.lit("+"), F.lit("%2B"))), raw)
-    asked = requests.select("request", F.replace(raw, F.lit("\\"), F.lit("/")).alias("image")).where(F.lower("image").rlike(rf"[^/](?:{_ENDINGS})$"))
+    asked = requests.select("request", F.replace(raw, F.lit("\\"), F.lit("/")).alias("image")).where(F.lower("image").rlike(rf"[^/](?:{ENDINGS})$"))
     target = origin.join(asked, "request").select("request", "kb_id", within(folder_of(F.col("path")), F.col("image")).alias("path"))
     found = target.join(files.select("kb_id", "path").distinct(), ["kb_id", "path"]).select("request", "path")
     return requests.select("request").join(found, "request", "left")

@@ -70,15 +70,24 @@ def g1_all(spark, d):
     return lookups.image_references(table(spark, d, "documents").select("doc_id", t.alias("text")))
 
 
+# Lines with an explicit caption: a number at the line's begin, behind heading marks, then a delimiter or nothing.
+_EXPLICIT = r"""c AS (SELECT doc_id, line_no, line, trim(regexp_replace(line, '\A\s+|\s+\z', '', 'g')) <> '' AS full_, regexp_matches(line, '!\[[^\]]*\]\([^)\s]+(?:\s+"[^"]*")?\)') AS has,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '!\[[^\]]*\]\([^)\s]+(?:\s+"[^"]*")?\)', '', 'g'), '\A\s+|\s+\z', '', 'g'), '\\([~*_#])', '\1', 'g'), '^[*_`]+|[*_`]+$', '', 'g'), '\s+', ' ', 'g')) AS clean FROM l),
+h AS (SELECT *, replace(regexp_replace(clean, '^\s{0,3}#{1,6}\s+', ''), '：', ':') AS head FROM c),
+k AS (SELECT *, regexp_extract(head, '^(?:图|表)\s*[0-9]{1,3}(?:\s*[-–—.·]\s*[0-9]{1,3}){0,3}', 0) AS number FROM h),
+x AS (SELECT *, CASE WHEN number <> '' AND (trim(substr(head, length(number) + 1)) = '' OR regexp_matches(ltrim(substr(head, length(number) + 1)), '^[:.、—–-]')) THEN clean END AS cap FROM k)"""
+
 # Each line of kind image is an image before its own text, by document: on one line with it, or with blank lines between
 # it and what is above, or above and below. Odd documents name every other figure on both sides of its image.
 _G6 = f"""WITH {RECORDS}, b AS (SELECT doc_id, chunk_index, kind, CASE WHEN doc_id % 2 = 1 AND chunk_index % 3 > 0 AND (chunk_index - 1) // 3 % 2 = 0 THEN '图 ' || (chunk_index - 1) // 3 % 500 || '： ' || body ELSE body END AS body FROM records),
 a AS (SELECT doc_id, chunk_index, CASE WHEN kind <> 'image' THEN [body] WHEN doc_id % 8 < 2 THEN ['![x](y.png) ' || body] WHEN doc_id % 8 < 4 THEN ['![x](y.png)', body] WHEN doc_id % 8 < 6 THEN ['', '![x](y.png)', body] ELSE ['', '![x](y.png)', '', body] END AS ls FROM b),
 l AS (SELECT doc_id, chunk_index * 4 + i AS line_no, ls[i + 1] AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM a)),
-n AS (SELECT doc_id, line_no, line, nullif(regexp_replace(regexp_replace(line, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'), '') AS own,
-  nullif(trim(lag(line) OVER w), '') AS a1, nullif(trim(lag(line, 2) OVER w), '') AS a2, nullif(trim(lead(line) OVER w), '') AS b1, nullif(trim(lead(line, 2) OVER w), '') AS b2 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-m AS (SELECT *, CASE WHEN coalesce(a1, b1) IS NULL THEN a2 ELSE a1 END AS a, CASE WHEN coalesce(a1, b1) IS NULL THEN b2 ELSE b1 END AS b FROM n WHERE regexp_matches(line, '!\\[[^\\]]*\\]\\([^)]*\\)'))
-SELECT doc_id, line_no, coalesce(own, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN {REF_KEY.format("a")} = {REF_KEY.format("b")} AND {REF_KEY.format("a")} <> '' THEN a END) AS caption FROM m"""
+{{EXPLICIT}},
+n AS (SELECT *, lag(full_) OVER w AS f1, lag(full_, 2) OVER w AS f2, lag(cap) OVER w AS c1, lag(cap, 2) OVER w AS c2, lead(full_) OVER w AS g1, lead(full_, 2) OVER w AS g2, lead(cap) OVER w AS d1, lead(cap, 2) OVER w AS d2 FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+m AS (SELECT *, CASE WHEN f1 THEN 1 WHEN f1 IS NOT NULL AND f2 THEN 2 END AS at_a, CASE WHEN g1 THEN 1 WHEN g1 IS NOT NULL AND g2 THEN 2 END AS at_b FROM n WHERE has),
+o AS (SELECT *, CASE at_a WHEN 1 THEN c1 WHEN 2 THEN c2 END AS a, CASE at_b WHEN 1 THEN d1 WHEN 2 THEN d2 END AS b FROM m)
+SELECT doc_id, line_no, coalesce(cap, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN at_a < at_b THEN a WHEN at_b < at_a THEN b WHEN {REF_KEY.format("a")} = {REF_KEY.format("b")} AND {REF_KEY.format("a")} <> '' THEN a END) AS caption FROM o"""
+_G6 = _G6.replace("{EXPLICIT}", _EXPLICIT)
 
 
 @query("g6_captions", _G6)
@@ -92,9 +101,14 @@ def g6(spark, d):
     return lookups.captions(rows.select("doc_id", (c * 4 + F.col("i")).alias("line_no"), "line"))
 
 
-@query("g8_near_text", f"WITH {RECORDS} SELECT doc_id, chunk_index AS line_no, coalesce(string_agg(nullif(trim(body), ''), ' ') OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), '') AS near FROM records")
+@query("g8_near_text")
 def g8(spark, d):
-    return lookups.near_text(records(spark, d).select("doc_id", F.col("chunk_index").alias("line_no"), F.col("body").alias("line")), 1).select("doc_id", "line_no", "near")
+    """All lines; those of kind image are images with captions above, sources below and prose before, in turn."""
+    c, k = F.col("chunk_index"), F.col("doc_id") % 3
+    number = F.concat(F.lit("图 "), (c % 1000).cast("string"))
+    ls = F.array(F.concat(number, F.lit("： "), "body"), F.lit(""), F.lit('![x](y.png "t") [a link](z)'), F.when(k == 0, F.lit("来源：报告")).when(k == 1, F.concat(number, F.lit(" 所示"))).otherwise(F.concat(number, F.lit(". below"))))
+    rows = records(spark, d).select("doc_id", "chunk_index", F.posexplode(F.when(F.col("kind") == "image", ls).otherwise(F.array("body"))).alias("i", "line"))
+    return lookups.near_text(rows.select("doc_id", (c * 4 + F.col("i")).alias("line_no"), "line"))
 
 
 @query("w14_fold_turns", "SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS last, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN text ELSE left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 72) END AS shown FROM conversations")
@@ -192,7 +206,7 @@ def m14_chunks(spark, d):
     return scopes.list_chunks(records(spark, d), normal, 1, "d7", 1, 4)
 
 
-@query("u5_cache_misses", "SELECT DISTINCT sha256('embed' || chr(31) || text) AS cache_key, text FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+@query("u5_cache_misses", "SELECT DISTINCT sha256('embed' || chr(0) || text) AS cache_key, text FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
 def u5(spark, d):
     keyed = caching.keyed(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "embed")
     return caching.misses(keyed, keyed.where("doc_id % 3 = 0"))

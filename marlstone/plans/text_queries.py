@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators import caching
 from marlstone.plans.inputs import RECORDS, REF_KEY, records, table
 
 QUERIES, SQL = {}, {}
@@ -190,9 +191,10 @@ def x8(spark, d):
     return table(spark, d, "documents").select("doc_id", T.rough_tokens(F.col("text")).cast("long").alias("rough"), T.limiter_tokens(F.col("text")).alias("limiter"))
 
 
-@query("x10_cache_key", "SELECT doc_id, sha256('search-v2' || chr(31) || text) AS cache_key, sha1(doc_id || '#' || 0) AS row_id FROM documents")
+@query("x10_cache_key", "SELECT doc_id, sha256('search-v2' || chr(0) || coalesce(text, '')) AS cache_key, sha1(doc_id || '#' || 0) AS row_id FROM documents")
 def x10(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("search-v2\x1f"), "text"), 256).alias("cache_key"), F.sha1(F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("0"))).alias("row_id"))
+    texts = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return caching.keyed(texts, "search-v2").select("doc_id", "cache_key", F.sha1(F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("0"))).alias("row_id"))
 
 
 @query("x12_split_objects", "SELECT event_id, '{\"k\": 1}|' || props AS objects FROM events")
