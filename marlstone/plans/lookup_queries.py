@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import caching, chunking, control, lookups, maintenance, paths, scopes, sessions, tree
 from marlstone.plans.inputs import RECORDS, REF_KEY, records, table
+from marlstone.session import shared
+from marlstone.sources import imports
 
 QUERIES, SQL = {}, {}
 
@@ -333,3 +337,32 @@ def r17_assets(spark, d):
     image = F.concat(F.when(F.col("lang").isin("en", "de"), "../pics/").when(F.col("lang") == "fr", "../../pics/").when(F.col("lang") == "es", "http://h/").otherwise("../pdf/"), i, F.when(F.col("lang") == "de", "%20x.png").otherwise(" x.png?size=2"))
     pictures = originals.select("kb_id", F.concat(F.lit("pics/"), F.regexp_extract("path", r"in/(\d+)", 1), F.lit(" x.png")).alias("path"))
     return paths.assets(asked.select("request", "kb_id", F.col("registered").alias("processed"), image.alias("image")), manifest, originals.unionByName(pictures))
+
+
+@query("s7_index_sink", f"WITH {RECORDS} SELECT data_id || '#' || chunk_index AS id, length(body) AS value FROM records WHERE body <> ''")
+def s7_sink(spark, d):
+    """Half of the records, half of them again under the same batch, then all; what is read back is each record once."""
+    index = imports.Index(spark, f"{shared(spark)}/index-{uuid.uuid4().hex}")
+    rows = records(spark, d).select(F.concat("data_id", F.lit("#"), F.col("chunk_index").cast("string")).alias("id"), F.col("body").alias("text"))
+    half = rows.where(F.xxhash64("id") % 2 == 0)
+    for batch, part in (("half", half), ("half", half), ("all", rows)):
+        index.upsert(part, batch, lambda texts: [len(t) for t in texts], "long")
+    return index.read().select("id", "value")
+
+
+@query("m1_resumed_import", "SELECT doc_id AS key, length(coalesce(text, '')) AS n_chars FROM documents")
+def m1_resumed(spark, d):
+    """An import that is broken off at its third part; a rerun does the rest and publishes all."""
+    root, done = f"{shared(spark)}/import-{uuid.uuid4().hex}", []
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("fingerprint"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def convert(part):
+        done.append(1)
+        if len(done) == 3:
+            raise InterruptedError("broken off")
+        return part.select("key", F.length("text").alias("n_chars"))
+
+    for _ in range(2):
+        with contextlib.suppress(InterruptedError):
+            imports.Import(spark, root, "lengths", parts=4).run(docs, convert)
+    return imports.Import(spark, root, "lengths", parts=4).published.read()

@@ -33,14 +33,21 @@ def local(cpus: int | None = None, memory: str = "16g") -> SparkSession:
     return session(f"local[{n}]", n, **{"spark__driver__memory": memory, "spark__ui__enabled": "false", "spark__ui__showConsoleProgress": "false"})
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the folder of spark.checkpoint.dir; one is made only where none is set, on one machine."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share; one is made only where none is set,
+    on one machine."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage, in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,6 +139,18 @@ def token_stream(lines: DataFrame) -> DataFrame:
     return blocks.select("stream", "kind", "index", "name", "call", text.alias("text")).where("text is not null or name is not null")
 
 
+def scalar(value: str):
+    """A registry's value: quoted text, true or false, nothing, a whole number, a decimal, else the text."""
+    v = value.strip()
+    if len(v) > 1 and v[0] == v[-1] and v[0] in "'\"":
+        return v[1:-1]
+    if v.lower() in ("true", "false"):
+        return v.lower() == "true"
+    if v.lower() in ("", "null", "none", "~"):
+        return None
+    return int(v) if re.fullmatch(r"[+-]?\d+", v) else float(v) if re.fullmatch(r"[+-]?\d+\.\d+", v) else v
+
+
 def parse_registry(spark: SparkSession, text: str) -> DataFrame:
     """Rows of a small registry: JSON, or two levels of ``name:`` and ``key: value``."""
     try:
@@ -150,8 +164,8 @@ def parse_registry(spark: SparkSession, text: str) -> DataFrame:
             if m and not m[1]:
                 now = data.setdefault(m[2].strip(), {})
             elif m and isinstance(now, dict):
-                now[m[2].strip()] = m[3].strip().strip("'\"")
-    rows = [(k, str(v.get("name", "")), str(v.get("path", ""))) for k, v in data.items() if isinstance(v, dict)]
+                now[m[2].strip()] = scalar(m[3])
+    rows = [(k, *("" if v.get(c) is None else str(v[c]) for c in ("name", "path"))) for k, v in data.items() if isinstance(v, dict)]
     return spark.createDataFrame(rows, "id string, name string, path string")
 
 
@@ -215,25 +229,32 @@ class Snapshots:
 
     def publish(self, df: DataFrame, expected: int | None = None) -> str:
         """Write a new version, check its number of rows, then name it; a failed write is never seen."""
-        import uuid
-
         name = f"v{uuid.uuid4().hex}"
+        lease = self._path(f"{self.root}/LEASE-{name}")
+        self._fs.create(lease, False).close()
         df.write.format(self.kind).save(f"{self.root}/{name}")
         if expected is not None and (n := self.spark.read.format(self.kind).load(f"{self.root}/{name}").count()) != expected:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
+            self._fs.delete(lease, False)
             raise ValueError(f"{n} rows were written, {expected} expected")
         pointers = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("CURRENT-")]
         number = 1 + max((int(p.split("-")[1]) for p in pointers), default=0)
         self._fs.create(self._path(f"{self.root}/CURRENT-{number:08d}-{name}"), False).close()
+        self._fs.delete(lease, False)
         return name
 
-    def cleanup(self) -> list[str]:
-        """Delete versions that no pointer names but the newest, and older pointers."""
-        keep, gone = self.current(), []
+    def cleanup(self, lease_seconds: int = 86_400) -> list[str]:
+        """Delete versions but the newest named one, and older pointers.
+
+        A version that is still being written has a lease, a file beside it, and stays as long as that is younger than
+        lease_seconds (longer than any write takes); what a writer that died has left goes with its lease after that.
+        """
+        listed = {s.getPath().getName(): s for s in self._fs.listStatus(self._path(self.root))}  # before the pointer is read
+        held = {n.removeprefix("LEASE-") for n, s in listed.items() if n.startswith("LEASE-") and time.time() - s.getModificationTime() / 1000 < lease_seconds}
+        keep, gone = {self.current(), *held}, []
         pointers = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("CURRENT-"))
-        for s in self._fs.listStatus(self._path(self.root)):
-            name = s.getPath().getName()
-            if (name.startswith("v") and name != keep) or name in pointers[:-1]:
+        for name, s in listed.items():
+            if (name.startswith("v") and name not in keep) or name in pointers[:-1] or (name.startswith("LEASE-") and name.removeprefix("LEASE-") not in held):
                 self._fs.delete(s.getPath(), True)
                 gone.append(name)
         return gone
