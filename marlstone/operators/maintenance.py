@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,23 +159,60 @@ def next_in_cycle(items: DataFrame, by: str) -> DataFrame:
     return items.withColumn("next_id", F.coalesce(F.lead("id").over(w), F.min("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
 
 
+def common_lines(old: list, new: list) -> int:
+    """Length of the longest common subsequence of two lists.
+
+    What both begin and end with, and lines of one side alone, are set aside.  If few places match, it is the longest
+    rising run of matched places; if lines repeat so that places would multiply, one bit for each old line says
+    where the longest run so far grows, and a new line moves all bits at once.  Both are exact.
+    """
+    begin = 0
+    while begin < min(len(old), len(new)) and old[begin] == new[begin]:
+        begin += 1
+    end = 0
+    while end < min(len(old), len(new)) - begin and old[-1 - end] == new[-1 - end]:
+        end += 1
+    old, new = old[begin : len(old) - end], new[begin : len(new) - end]
+    here, there = set(old), set(new)
+    old, new = [x for x in old if x in there], [x for x in new if x in here]
+    places: dict = {}
+    for i, x in enumerate(old):
+        places.setdefault(x, []).append(i)
+    if sum(len(places[x]) for x in new) <= 8 * (len(old) + len(new)):
+        ends: list[int] = []  # the least place at which a run of each length ends
+        for x in new:
+            for i in reversed(places[x]):
+                at = bisect_left(ends, i)
+                ends[at : at + 1] = [i]
+        return begin + end + len(ends)
+    often = {x: sum(1 << i for i in p) for x, p in places.items() if len(p) > 1024}
+    every = (1 << len(old)) - 1
+    bits = every
+    for x in new:
+        met = bits & (often[x] if x in often else sum(1 << i for i in places[x]))
+        bits = ((bits + met) | (bits - met)) & every
+    return begin + end + len(old) - bits.bit_count()
+
+
 def line_delta(versions: DataFrame) -> DataFrame:
-    """doc_id, added, removed: lines that the new text has more of than the old one, and the other way round.
+    """doc_id, added, removed: lines of the new text, and of the old one, that aren't in the longest run of lines that
+    both have in this order.  A line that moves is removed and added.
 
-    versions: doc_id, old, new; null is empty.  Lines are compared as a multiset in one aggregation, so a line that
-    only moves is neither added nor removed.
+    versions: doc_id, old, new; null is empty.  Rows are independent; lines are cut in SQL, and only their comparison is
+    a function, over batches.
     """
 
     def lines(c: str) -> Column:
         ended = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), r"\n\z", "")
         return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(ended, "\n", -1))
 
-    def counted(c: str, n: int) -> Column:
-        return F.transform(lines(c), lambda x: F.struct(x.alias("line"), F.lit(n).alias("n")))
+    @F.pandas_udf("long")
+    def common(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([common_lines(list(a), list(b)) for a, b in zip(old, new, strict=True)], dtype="int64")
+
+    both = versions.select("doc_id", lines("old").alias("_old"), lines("new").alias("_new")).withColumn("_both", common("_old", "_new"))
+    return both.select("doc_id", (F.size("_new") - F.col("_both")).alias("added"), (F.size("_old") - F.col("_both")).alias("removed"))
 
-    signed = F.concat(counted("new", 1), counted("old", -1))
-    each = versions.select("doc_id", F.explode_outer(signed).alias("l")).groupBy("doc_id", "l.line").agg(F.coalesce(F.sum("l.n"), F.lit(0)).alias("n"))
-    return each.groupBy("doc_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
 
 
 def reindex(records: DataFrame, texts: DataFrame, published: dict, contract: dict) -> DataFrame:

@@ -155,3 +155,13 @@ SELECT doc_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-
 def a20(spark, d):
     text = F.coalesce("text", F.lit(""))
     return maintenance.line_delta(table(spark, d, "documents").select("doc_id", text.alias("old"), F.concat(F.lit("new\n"), F.regexp_replace(text, r"\n[^\n]*$", "")).alias("new")))
+
+
+@query("a20_moved_lines", """WITH v AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)) AS ls FROM documents)
+SELECT doc_id, CAST(CASE WHEN len(list_distinct(ls)) > 1 THEN 1 ELSE 0 END AS INTEGER) AS added, CAST(CASE WHEN len(list_distinct(ls)) > 1 THEN 1 ELSE 0 END AS INTEGER) AS removed FROM v""")
+def a20_moved(spark, d):
+    """The last line of every document comes first: it is removed and added, unless all lines are the same."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\n\z", "")
+    ls = F.split(text, "\n", -1)
+    moved = F.array_join(F.concat(F.slice(ls, F.size(ls), 1), F.slice(ls, 1, F.size(ls) - 1)), "\n")
+    return maintenance.line_delta(table(spark, d, "documents").select("doc_id", text.alias("old"), moved.alias("new")))
