@@ -53,3 +53,8 @@ def evict(files: DataFrame, quota: int, now, days: int = 30, by: str = "cache")
     newer = Window.partitionBy(*key).orderBy(F.desc("mtime"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0)
     kept_with = F.sum("size").over(newer) + F.col("_later")
     return aged.join(days_, key).withColumn("_kept_with", kept_with).where(F.col("expired") | (F.col("_kept_with") > quota)).drop("_kept_with", "_later", "_day")
+
+
+def new_ids(found: DataFrame, known: DataFrame) -> DataFrame:
+    """id of what is found and isn't known yet, each once; null ids are left out."""
+    return found.select("id").where("id is not null").distinct().join(known.select("id"), "id", "left_anti")

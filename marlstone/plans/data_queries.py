@@ -204,10 +204,12 @@ def l5(spark, d):
     return board.evict(files, 2_000_000, NOW).groupBy("cache", "expired").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("l8_new_ids", "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("l8_new_ids", """WITH e AS (SELECT user_id || '-' || strftime(ts, '%d') AS id, event_type FROM events)
+SELECT DISTINCT id FROM e WHERE event_type = 'purchase' AND id NOT IN (SELECT id FROM e WHERE event_type = 'signup')""")
 def l8(spark, d):
-    e = table(spark, d, "events")
-    return e.where("event_type = 'purchase'").select("user_id").distinct().join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_anti")
+    """Users' days with a purchase that are new, that is without a signup."""
+    e = table(spark, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "dd")).alias("id"), "event_type")
+    return board.new_ids(e.where("event_type = 'purchase'"), e.where("event_type = 'signup'"))
 
 
 @query("l9_stream_blocks", """SELECT user_id AS stream, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'thinking' END AS kind, string_agg(event_type || ' ' || event_id, '' ORDER BY event_id) AS text FROM events GROUP BY 1, 2""")
@@ -394,12 +396,14 @@ def w10(spark, d):
     return sessions.drop_prompts(_sections(spark, d))
 
 
-@query("w11_archivable", f"""WITH s AS (SELECT user_id AS name, max(ts) AS mtime, count(*) * 500 AS size FROM events GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY mtime DESC, name) AS k FROM s)
-SELECT name, mtime, size, strftime(mtime, '%Y-%m') AS month FROM k WHERE k > 10 AND {_NOW} - mtime >= INTERVAL 2 HOUR AND size >= 4500 AND name NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')""")
+@query("w11_archivable", f"""WITH e AS (SELECT user_id * 100 + day(ts) AS name, ts, event_type FROM events), s AS (SELECT name, max(ts) AS mtime, count(*) * 2500 AS size FROM e GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY mtime DESC, name) AS k FROM s)
+SELECT name, mtime, size, strftime(mtime, '%Y-%m') AS month FROM k WHERE k > 10 AND {_NOW} - mtime >= INTERVAL 2 HOUR AND size >= 4500 AND name NOT IN (SELECT name FROM e WHERE event_type = 'signup')""")
 def w11(spark, d):
-    e = table(spark, d, "events")
-    s = e.groupBy(F.col("user_id").alias("name")).agg(F.max("ts").alias("mtime"), (F.count("*") * 500).alias("size"))
-    return sessions.archivable(s, e.where("event_type = 'signup'").select(F.col("user_id").alias("name")), NOW)
+    """Each user's day is a session; days with a signup are archived."""
+    e = table(spark, d, "events").select((F.col("user_id") * 100 + F.day("ts")).alias("name"), "ts", "event_type")
+    s = e.groupBy("name").agg(F.max("ts").alias("mtime"), (F.count("*") * 2500).alias("size"))
+    return sessions.archivable(s, e.where("event_type = 'signup'").select("name"), NOW)
 
 
 @query("a13_months", "SELECT strftime(ts, '%Y-%m') AS month, count(DISTINCT user_id) AS sessions FROM events GROUP BY 1")
@@ -721,9 +725,9 @@ def t4(spark, d):
     return control.bursts(_bucket_events(spark, d), 60_000)
 
 
-@query("t6_idle", f"SELECT user_id, max(ts) AS last_seen, 'stopped' AS status FROM events GROUP BY 1 HAVING epoch_us(date_trunc('second', {_NOW})) // 1000000 - epoch_us(max(ts)) // 1000000 > 3600")
+@query("t6_idle", f"SELECT user_id, max(ts) AS last_seen, 'stopped' AS status FROM events WHERE ts < {_NOW} GROUP BY 1 HAVING epoch_us(date_trunc('second', {_NOW})) // 1000000 - epoch_us(max(ts)) // 1000000 > 3600")
 def t6(spark, d):
-    return control.idle(table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen")).withColumn("status", F.lit("stopped")), NOW)
+    return control.idle(table(spark, d, "events").where(F.col("ts") < F.lit(NOW)).groupBy("user_id").agg(F.max("ts").alias("last_seen")).withColumn("status", F.lit("stopped")), NOW)
 
 
 @query("t7_due_tasks", f"""WITH t AS (SELECT user_id AS name, user_id % 5 <> 0 AS enabled, (['daily', 'weekday', 'weekly', 'once', 'every_5h', 'odd'])[user_id % 6 + 1] AS repeat, user_id % 13 AS h, max(ts) AS last_run FROM events WHERE ts < {_NOW} GROUP BY user_id),
