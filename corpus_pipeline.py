@@ -16,8 +16,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand, or nearly stand, in an earlier place; documents that lose all lines go."""
-    kept = line_dedup.dedup_lines(spark, docs, bound=1)
+    """Texts without lines that stand, or nearly stand, in an earlier place; documents that lose all lines go.
+
+    Lines of under ten characters, numbers and marks of lists, go for equal ones only.  Null texts stay.
+    """
+    kept = line_dedup.dedup_lines(spark, docs, bound=1, edit_chars=10)
     kept = kept.where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
