@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import Workspace
 
-#: Lines of fewer characters are compared for equality only: one edit makes "1." of "2.".
-EDIT_CHARS = 10
 FINE = 8
 _BLANKS = " \t\r\v\f"
 #: Ids of up to so many lines (16 bytes each) are broadcast after they are counted; more are shuffled.
@@ -102,13 +100,14 @@ def near_earlier(spark: SparkSession, ws: Workspace, docs: DataFrame, distinct:
     return found
 
 
-def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
+def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars: int = 0) -> DataFrame:
     """doc_id, removed (array of line numbers from 0) of documents that lose lines.
 
     Lines are parts between line ends, compared without ASCII white space at their ends; blank lines stay.  Of equal
-    lines the first by (doc_id, line number) stays, null ids first; a line of edit_chars characters or more also goes
-    if such a line within bound edits (0 or 1 characters) occurs earlier, even one that goes itself.  Rows of one
-    doc_id are one place: equal rows are treated alike.
+    lines the first by (doc_id, line number) stays, null ids first; a line also goes if one within bound edits (0 or 1
+    characters) occurs earlier, even one that goes itself.  A caller for whom one edit makes "1." of "2." gives
+    edit_chars: lines of fewer characters are then compared for equality only.  Rows of one doc_id are one place:
+    equal rows are treated alike.
     """
     if bound not in (0, 1):
         raise ValueError("bound is 0 or 1")
@@ -127,7 +126,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_cha
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars: int = EDIT_CHARS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars: int = 0) -> DataFrame:
     """The rows of docs with text, n_lines and n_removed: text has lost the lines of removed_lines().
 
     Null texts stay null with 0 lines; a text whose lines all go becomes empty.

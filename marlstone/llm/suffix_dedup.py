@@ -15,24 +15,27 @@ Symbols are the bytes of a text or, to find passages by their number of words, 3
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import Workspace, documents
 
 _CHUNK = 1 << 22  # positions treated at once in a long text; a place in a chunk has 24 bits
 _FANOUT = 14
+_PIECE = 1 << 20  # bytes of words hashed at once
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: A passage is a string of so many words, so any of more words holds one.
 PASSAGE_WORDS = 50
 #: Keys of up to so many rows (some tens of MB) are broadcast after they are counted; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
-_ROWS = "rk long, at long, lo int, hi int, start long, stop long, c long, w1 long, w2 long, n int"
+_ROWS = "rk binary, at long, lo int, hi int, start long, stop long, c long, w1 long, w2 long, n int"
 
 
 @dataclass(frozen=True)
@@ -59,6 +62,20 @@ def _is_space() -> np.ndarray:
 _SPACE = _is_space()
 
 
+def _weighed(letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What each letter adds to its word's sum, by its place in the word."""
+    by = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    by ^= by >> np.uint64(29)
+    by *= np.uint64(0xBF58476D1CE4E5B9)
+    return (letters.astype(np.uint64) + np.uint64(1)) * (by | np.uint64(1))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(32)).astype("<u4")
+
+
 def _codes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(begin, 32-bit hash) of each word: sums of bytes times a multiplier for their place in the word, mixed."""
     b = np.frombuffer(joined, np.uint8)
@@ -70,21 +87,23 @@ def _codes(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = np.flatnonzero(~gap[1:-1])
     size = end - begin
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    place = (np.arange(len(inside)) - np.repeat(first, size)).astype(np.uint64)
-    by = (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    by ^= by >> np.uint64(29)
-    by *= np.uint64(0xBF58476D1CE4E5B9)
-    h = np.add.reduceat((b[inside].astype(np.uint64) + np.uint64(1)) * (by | np.uint64(1)), first)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return begin, (h >> np.uint64(32)).astype("<u4")
+    place = np.arange(len(inside)) - np.repeat(first, size)
+    return begin, _mixed(np.add.reduceat(_weighed(b[inside], place), first))
+
+
+def _code_of_long(word: memoryview) -> np.ndarray:
+    """The same hash of one word of any length, summed by pieces."""
+    total = np.zeros(1, np.uint64)
+    for at in range(0, len(word), _PIECE):
+        letters = np.frombuffer(word[at : at + _PIECE], np.uint8)
+        total += _weighed(letters, np.arange(at, at + len(letters))).sum(dtype=np.uint64)
+    return _mixed(total)
 
 
 def word_codes(raws: list[bytes]) -> list[bytes]:
-    """Words (between ASCII white space) of each text as 32-bit hashes.  Only a word over 1 MiB may be cut in two."""
+    """Words (between ASCII white space) of each text as 32-bit hashes; about a MiB of text is held as numbers at once."""
     out: list[list[bytes]] = [[] for _ in raws]
     group: list[tuple[int, bytes]] = []
-    room = 1 << 20
 
     def flush() -> None:
         if not group:
@@ -100,15 +119,23 @@ def word_codes(raws: list[bytes]) -> list[bytes]:
     for i, raw in enumerate(raws):
         at = 0
         while at < len(raw):
-            end = at + (1 << 20)
+            end = at + _PIECE
             if end < len(raw):
                 space = max(raw.rfind(bytes([c]), at, end) for c in (0x20, *range(0x09, 0x0E)))
-                end = space + 1 if space > at else end
+                if space < 0:  # inside a long word, which begins here
+                    flush()
+                    held = 0
+                    blank = _BLANK.search(raw, end)
+                    end = blank.start() if blank else len(raw)
+                    out[i].append(_code_of_long(memoryview(raw)[at:end]).tobytes())
+                    at = end
+                    continue
+                end = space + 1
             piece = raw[at:end]
             group.append((i, piece))
             held += len(piece)
             at = end
-            if held >= room:
+            if held >= _PIECE:
                 flush()
                 held = 0
     flush()
@@ -222,11 +249,16 @@ def _blocks(length: int, symbols: Symbols) -> list[tuple[int, int]]:
 
 def _batch(rows: list) -> pa.RecordBatch:
     i32, i64 = pa.int32(), pa.int64()
-    kinds = (i64, i64, i32, i32, i64, i64, i64, i64, i64, i32)
+    kinds = (pa.binary(), i64, i32, i32, i64, i64, i64, i64, i64, i32)
     names = [x.split()[0] for x in _ROWS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def _identity(*parts: Column | str) -> Column:
+    """128 bits that stand for all parts: rows and members are told apart by them alone."""
+    return F.unhex(F.md5(F.concat_ws("|", *parts)))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -243,7 +275,7 @@ def _resolve(ws: Workspace, members: DataFrame, name: str) -> tuple[DataFrame, D
     buckets = _small(ws.save(unsure.select("c").distinct(), f"{name}-open-buckets"))
     partners = alive.where("hi > lo").join(known, ["w1", "w2"], "left_semi").join(buckets, "c", "left_semi").groupBy("w1", "w2").agg(F.min(F.struct("rk", "at", "lo", "hi", "start", "stop", "c")).alias("m"))
     more = partners.select("m.*", "w1", "w2", F.lit(2).alias("n"), F.lit(False).alias("open"))
-    rest = unsure.withColumn("open", F.lit(True)).unionByName(more).withColumn("wid", F.xxhash64("rk", "at", "lo", "start"))
+    rest = unsure.withColumn("open", F.lit(True)).unionByName(more).withColumn("wid", _identity(F.hex("rk"), "at", "lo", "start"))
     rest = ws.save(rest, f"{name}-rest")
     ws.drop(shared, alive, equal, unsure)
     return whole, rest
@@ -266,7 +298,7 @@ def _refine(windows: DataFrame, length: int, unit: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([*_batch([x[:10] for x in rows]).columns, pa.array([x[10] for x in rows]), pa.array([x[11] for x in rows])], [*(x.split()[0] for x in _ROWS.split(", ")), "open", "wid"])
 
-    return windows.mapInArrow(run, _ROWS + ", open boolean, wid long")
+    return windows.mapInArrow(run, _ROWS + ", open boolean, wid binary")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, symbols: Symbols = BYTES) -> DataFrame:
@@ -293,9 +325,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, symb
                     wid.append(m["wid"])
                     origin.append(m["start"])
                     window.append(raw[m["start"] * unit : (m["stop"] + length) * unit])
-            yield pa.RecordBatch.from_arrays([pa.array(wid, pa.int64()), pa.array(origin, pa.int64()), pa.array(window, pa.binary())], ["wid", "origin", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(wid, pa.binary()), pa.array(origin, pa.int64()), pa.array(window, pa.binary())], ["wid", "origin", "window"])
 
-    windows = ws.save(held.select("raw", "m").mapInArrow(cut, "wid long, origin long, window binary"), "windows")
+    windows = ws.save(held.select("raw", "m").mapInArrow(cut, "wid binary, origin long, window binary"), "windows")
     ws.drop(own)
     size, step = max(hi - lo + 1 for lo, hi in _blocks(length, symbols)), 0
     while size > 1:
@@ -347,7 +379,7 @@ def remove(spark: SparkSession, docs: DataFrame, length: int = 400, passage: int
     n_passage_words counts the words that a string of passage words covers which also starts anywhere else: it finds
     repeated passages of short words too, which have fewer than length bytes.  Nothing is removed for it.
     """
-    keyed = documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw"), F.xxhash64("doc_id", "text").alias("rk"))
+    keyed = documents(docs).select("doc_id", F.col("text").cast("binary").alias("raw"), _identity(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("rk"))
     of_bytes = repeated_spans(spark, keyed, length).withColumn("words", F.lit(False))
     of_words = repeated_spans(spark, keyed, passage, WORDS).withColumn("words", F.lit(True))
     spans = of_bytes.unionByName(of_words).groupBy("rk").agg(F.collect_set(F.struct("words", "start", "stop")).alias("spans"))
