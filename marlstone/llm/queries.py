@@ -82,6 +82,7 @@ _SHINGLED = r"""
 {name}_i AS (SELECT {id}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {name}_w WHERE len(w) > 0),
 {name} AS (SELECT DISTINCT {id}, array_to_string(w[i:i + 4], ' ') AS s FROM {name}_i)"""
 
+# levenshtein() there counts bytes, of which a character has up to four, so what it finds is compared by characters.
 SQL = {
     "op5_decontaminate": "WITH " + _SHINGLED.format(name="d", id="doc_id", table="documents") + "," + _SHINGLED.format(name="b", id="item_id", table="benchmark") + """,
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1),
@@ -92,7 +93,9 @@ SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
 f AS (SELECT line, min((doc_id, line_no)) AS first FROM t WHERE line <> '' GROUP BY 1),
-near AS (SELECT DISTINCT a.line FROM f a JOIN f b ON length(a.line) - length(b.line) BETWEEN -1 AND 1 AND b.first < a.first AND levenshtein(a.line, b.line) = 1),
+c AS (SELECT a.line, CASE WHEN length(a.line) < length(b.line) THEN b.line ELSE a.line END AS x, CASE WHEN length(a.line) < length(b.line) THEN a.line ELSE b.line END AS y
+      FROM f a JOIN f b ON length(a.line) - length(b.line) BETWEEN -1 AND 1 AND b.first < a.first AND levenshtein(a.line, b.line) <= 4),
+near AS (SELECT DISTINCT line FROM c WHERE len(list_filter(range(1, length(x) + 1), lambda p: x[:p - 1] || x[p + 1:] = CASE WHEN length(x) = length(y) THEN y[:p - 1] || y[p + 1:] ELSE y END)) > 0),
 gone AS (SELECT doc_id, line_no FROM t JOIN f USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR (doc_id, line_no) <> first),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.doc_id) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.line_no) FILTER (WHERE g.doc_id IS NULL), '') AS kept
       FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY 1)
