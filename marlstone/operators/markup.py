@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.html import ENTITIES
 from marlstone.session import checkpointed
 
 #: Elements that have no content.
@@ -328,3 +329,51 @@ def truncate(pages: DataFrame, budget: int, deep: int = 8000) -> DataFrame:
     hints = tree.where("hint is not null").select("page_id", F.col("begin").alias("h"), "hint").join(cut.where("put <> ''"), "page_id").where("h >= begin and h < end")
     hints = hints.groupBy("page_id", "begin").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", "hint"))), lambda x: x["hint"]), "").alias("hints"))
     return edited(pages, cut.join(hints, ["page_id", "begin"], "left").withColumn("put", F.concat("put", F.coalesce("hints", F.lit("")))).drop("hints"))
+
+
+# Lists
+
+
+def list_markdown(tree: DataFrame) -> DataFrame:
+    """page_id, markdown of pages with list items: one line an item, indented by two blanks for each list around its own,
+    with a dash or, in ordered lists, its number.
+
+    Items and lists of a node table become events at their ends; sums of them over the page give each text the lists and
+    items it is in, and a line begins where an item begins or ends and at each break.  Text outside items is left out, as
+    are pages without items.  White space within a line is one blank.  An item that isn't closed ends with its list.
+    """
+    name, at_end = F.col("name"), F.col("inner_end")
+    event = lambda at, rank, sub, what, step: F.struct(at.alias("at"), F.lit(rank).alias("rank"), sub.alias("sub"), F.lit(what).alias("what"), F.lit(step).alias("step"))
+    here = lambda what, step=0: event(F.col("begin"), 1, F.col("depth"), what, step)
+    ends = lambda what: event(at_end, 0, -F.col("depth"), what, -1)
+    found = (
+        F.when(name.isin("ul", "ol"), F.array(here("list", 1), ends("list"))).when(name == "li", F.array(here("item", 1), ends("item")))
+        .when(name == "br", F.array(here("break"))).when(F.col("kind") == "text", F.array(here("text")))
+    )
+    rows = tree.select("page_id", (name == "ol").alias("numbered"), "text", F.explode(found).alias("e")).select("page_id", "numbered", "text", "e.*")
+
+    upto = lambda *by: Window.partitionBy("page_id", *by).orderBy("at", "rank", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda what: F.sum(F.when(F.col("what") == what, F.col("step")).otherwise(0)).over(upto())
+    rows = rows.withColumns({"lists": total("list"), "items": total("item")})
+    opens = (F.col("what") == "item") & (F.col("step") == 1)
+    breaks = (F.col("what") == "break") & (F.col("items") > 0)
+    rows = rows.withColumn("line", F.sum(((F.col("what") == "item") | breaks).cast("int")).over(upto()))
+    # the list around a place is the last that began as deep as the place is
+    own = F.last(F.when((F.col("what") == "list") & (F.col("step") == 1), F.struct("at", "numbered")), True).over(upto("lists"))
+    rows = rows.withColumn("list", F.when(F.col("lists") > 0, own))
+    rows = rows.withColumn("number", F.sum(opens.cast("int")).over(upto("list.at")))
+
+    mark = F.when(F.col("list.numbered"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- ")
+    pad = lambda n: F.repeat(F.lit("  "), F.greatest(n, F.lit(0)).cast("int"))
+    begins = F.when(opens, F.concat(pad(F.col("lists") - 1), mark)).when(breaks, pad(F.col("lists")))
+    text = F.when((F.col("what") == "text") & (F.col("items") > 0), F.struct("at", "text"))
+    lines = rows.groupBy("page_id", "line").agg(F.max(begins).alias("begins"), F.max(breaks).alias("broken"), F.sort_array(F.collect_list(text)).alias("t"))
+    body = F.array_join(F.transform("t", lambda x: x["text"]), "")
+    for entity, char in ENTITIES:
+        body = F.replace(body, F.lit(entity), F.lit(char))
+    body = F.regexp_replace(F.regexp_replace(body, r"(?U)\s+", " "), "^ ", "")
+    whole = F.concat(F.coalesce("begins", F.lit("")), body)
+    before_break = F.coalesce(F.lead("broken").over(Window.partitionBy("page_id").orderBy("line")), F.lit(False))
+    lines = lines.where("line > 0").select("page_id", "line", whole.alias("whole"), (F.col("begins").isNotNull() | (body != "") | before_break).alias("kept")).where("kept")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "whole"))), lambda x: x["whole"]), "\n")
+    return lines.groupBy("page_id").agg(F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "").alias("markdown"))

@@ -74,6 +74,21 @@ def k16(spark, d):
     return table(spark, d, "pages").select("page_id", html.plain_text(F.col("html")).alias("plain"))
 
 
+@query("k16_list_markdown", """WITH t AS (SELECT page_id, """ + _ENTITIES.format("coalesce(url, '')") + """ AS url, """ + _ENTITIES.format("replace(coalesce(html, ''), '<', '(')") + """ AS html FROM pages),
+c AS (SELECT page_id, ltrim(regexp_replace(url, '\\s+', ' ', 'g'), ' ') AS url, ltrim(regexp_replace(html, '\\s+', ' ', 'g'), ' ') AS html FROM t)
+SELECT page_id, rtrim('- page ' || page_id || ' ' || chr(10) || '  1. ' || url || chr(10) || '  2. ' || html || chr(10) || '    - within' || chr(10) || '- last', ' ') AS markdown FROM c""")
+def k16_lists(spark, d):
+    """Pages' addresses and sources, their own tags defused, as items; k16_list_markdown_whole has pages as they are."""
+    own = F.replace(F.coalesce("html", F.lit("")), F.lit("<"), F.lit("("))
+    html_ = F.concat(F.lit("none<ul><li>page "), F.col("page_id").cast("string"), F.lit("<ol>\n<li>"), F.coalesce("url", F.lit("")), F.lit("</li><li>"), own, F.lit("<ul><li>within</ul></li></ol></li>\n<li> last</ul> none"))
+    return markup.list_markdown(markup.nodes(table(spark, d, "pages").select("page_id", html_.alias("html"))))
+
+
+@query("k16_list_markdown_whole")
+def k16_lists_whole(spark, d):
+    return markup.list_markdown(markup.nodes(table(spark, d, "pages")))
+
+
 @query("k19_checklist", "SELECT doc_id, unnest(['read', 'keep ' || coalesce(lang, '')]) AS content, unnest([true, false]) AS done, unnest([0, 1]) AS pos FROM documents")
 def k19(spark, d):
     """Texts whose own brackets are defused, so that SQL knows the list; k19_checklist_whole has them as they are."""
