@@ -38,8 +38,9 @@ def related_paragraphs(paragraphs: DataFrame, keys: DataFrame, most: int = 5, bu
     """Paragraphs that name a key: not captions, images or lists of eight numbers or more; the first ones of each
     document and key, up to a budget of characters, the last one cut."""
     signed = paragraphs.where(F.contains("text", F.lit("图")) | F.contains("text", F.lit("表")))  # cheap, before any expression
-    found = signed.withColumn("refs", T.ref_candidates(F.col("text"))).where((F.size("refs") > 0) & (F.size("refs") < 8) & ~F.contains("text", F.lit("![")))
-    named = found.select("doc_id", "pos", "text", F.explode(F.array_distinct(F.transform("refs", T.ref_key))).alias("ref_key"))
+    keys_of = lambda refs: F.when((F.size(refs) > 0) & (F.size(refs) < 8), F.array_distinct(F.transform(refs, T.ref_key)))
+    # outer, as Spark would search each text once more to see whether there is anything to explode
+    named = signed.where(~F.contains("text", F.lit("!["))).select("doc_id", "pos", "text", F.explode_outer(T.bound(T.ref_candidates(F.col("text")), keys_of)).alias("ref_key")).where(F.col("ref_key").isNotNull())
     caption = (F.length(T.strip(F.col("text"))) <= 80) & T.strip(F.col("text")).rlike("^" + T.REF) & (T.ref_key(F.col("text")) == F.col("ref_key"))
     w = Window.partitionBy("doc_id", "ref_key").orderBy("pos")
     met = named.where(~caption).join(keys, ["doc_id", "ref_key"], "left_semi").withColumns({"k": F.row_number().over(w), "before": F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
