@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, saved = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = ws.save(stage(spark, docs, sf_dir), name)
+        ws.drop(*saved)  # what the stage before left has been read
+        saved = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
