@@ -216,7 +216,8 @@ def compact_lines(c: Column) -> Column:
 
 
 def mask_data(c: Column) -> Column:
-    return F.regexp_replace(c, r"data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=]+", DATA_LABEL)
+    """Data URLs of images, empty ones and those broken into lines too, give way to a label."""
+    return F.regexp_replace(c, r"(?i)data:image/[a-z0-9.+-]+;base64,[a-z0-9+/=\r\n]*", DATA_LABEL)
 
 
 def bound(c: Column, use) -> Column:
