@@ -1,4 +1,4 @@
-"""The few text operators that Spark has no function for, as Arrow-batched pandas UDFs."""
+"""The few text operators that Spark has no function for, as Arrow UDFs that hold a piece of a batch at a time."""
 
 from __future__ import annotations
 
@@ -6,31 +6,33 @@ import html
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.functions.batches import mapped
 
-@F.pandas_udf(T.StringType())
-def fold(s: pd.Series) -> pd.Series:
+
+@F.arrow_udf(T.StringType())
+def fold(s: pa.Array) -> pa.Array:
     """Compatibility composition and case folding, for literal comparison."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+    return mapped(s, lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold(), pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def name_key(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def name_key(s: pa.Array) -> pa.Array:
     """Names that differ in width or white space only."""
-    return s.map(lambda x: None if x is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", x)))
+    return mapped(s, lambda x: None if x is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", x)), pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def label(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def label(s: pa.Array) -> pa.Array:
     """Text of a label: entities and tags resolved, marks stripped."""
-    return s.map(lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", html.unescape((x or "").strip()))).strip(" *_`"))
+    return mapped(s, lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", html.unescape((x or "").strip()))).strip(" *_`"), pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def decode_text(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def decode_text(s: pa.Array) -> pa.Array:
     """Bytes as UTF-8, else GB 18030, else UTF-8 with replacement marks."""
 
     def one(raw):
@@ -43,4 +45,4 @@ def decode_text(s: pd.Series) -> pd.Series:
                 pass
         return bytes(raw).decode("utf-8", "replace")
 
-    return s.map(one)
+    return mapped(s, one, pa.string())
