@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.batches import pieces
+
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """path and added, changed or removed by a full join; the digest decides only where both sides know it."""
@@ -206,9 +208,10 @@ def line_delta(versions: DataFrame) -> DataFrame:
         ended = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), r"\n\z", "")
         return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(ended, "\n", -1))
 
-    @F.pandas_udf("long")
-    def common(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([common_lines(list(a), list(b)) for a, b in zip(old, new, strict=True)], dtype="int64")
+    @F.arrow_udf("long")
+    def common(old: pa.Array, new: pa.Array) -> pa.Array:
+        both = pa.RecordBatch.from_arrays([old, new], ["old", "new"])
+        return pa.concat_arrays([pa.array([common_lines(a, b) for a, b in zip(own["old"].to_pylist(), own["new"].to_pylist(), strict=True)], pa.int64()) for own in pieces(both)])
 
     both = versions.select("doc_id", lines("old").alias("_old"), lines("new").alias("_new")).withColumn("_both", common("_old", "_new"))
     return both.select("doc_id", (F.size("_new") - F.col("_both")).alias("added"), (F.size("_old") - F.col("_both")).alias("removed"))
