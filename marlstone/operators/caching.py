@@ -31,7 +31,8 @@ def call(unknown: DataFrame, model: Callable[[list[str]], list], kind: str, size
                 part = pdf.iloc[at : at + size]
                 yield pd.DataFrame({"cache_key": part["cache_key"], "value": model(part["text"].tolist())})
 
-    return unknown.select("cache_key", "text").mapInPandas(run, f"cache_key string, value {kind}")
+    key = unknown.schema["cache_key"].dataType.simpleString()
+    return unknown.select("cache_key", "text").mapInPandas(run, f"cache_key {key}, value {kind}")
 
 
 def answered(texts: DataFrame, cache: DataFrame, model: Callable[[list[str]], list], kind: str, size: int = 256) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import caching
@@ -128,6 +128,9 @@ class Index:
     that is published last, so always whole batches; a batch that was taken before changes nothing.
     """
 
+    #: So many ids may be sent to all tasks.
+    SMALL = 100_000
+
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.lists = Snapshots(spark, f"{self.root}/lists", "json")
@@ -149,6 +152,26 @@ class Index:
             raise FileNotFoundError(f"nothing is published in {self.root}")
         return found
 
+    def _saved(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _winners(self, rows: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+        """bucket, id, cache_key of the record that stays for each id, and cache_key, text of these (equal ones may come
+        several times).  Only texts of ids that have several are compared; the others are known by their keys."""
+        keys = rows.groupBy("bucket", "id").agg(F.min("cache_key").alias("cache_key"), F.max("cache_key").alias("other"))
+        keys = self._saved(keys.withColumn("several", F.col("cache_key") != F.col("other")).drop("other"), f"{root}/keys")
+        one, texts = keys.where("not several").drop("several"), rows.select("cache_key", "text")
+        several = keys.where("several").select("bucket", "id")
+        n = several.count()
+        if not n:
+            return one, texts
+        several = F.broadcast(several) if n <= self.SMALL else several
+        most = rows.join(several, ["bucket", "id"], "left_semi").groupBy("bucket", "id").agg(F.max("text").alias("text"))
+        most = self._saved(caching.keyed(most, "index").withColumn("cache_key", F.unhex("cache_key")), f"{root}/most")
+        texts = rows.join(several, ["bucket", "id"], "left_anti").select("cache_key", "text").unionByName(most.select("cache_key", "text"))
+        return one.unionByName(most.select("bucket", "id", "cache_key")), texts
+
     def upsert(self, records: DataFrame, batch: str, model: Callable[[list[str]], list], kind: str, size: int = 256) -> bool:
         """Take records (id, text and more) with the model's values for their texts; False if the batch was taken before.
 
@@ -159,20 +182,28 @@ class Index:
         paths, batches = self._list()
         if batch in batches:
             return False
-        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
         own = [c for c in records.columns if c not in ("cache_key", "value", "bucket")]
-        rows = records.select(*own).where("id is not null and text <> ''").withColumn("bucket", bucket)
-        rows = rows.groupBy("id").agg(F.max_by(F.struct(*own, "bucket"), "text").alias("r")).select("r.*")
-        keyed = caching.keyed(rows, "index")
-        before = self._load(paths.values())
-        empty = self.spark.createDataFrame([], f"cache_key string, value {kind}")
-        known = before.select("cache_key", "value") if before is not None else empty
-        new = caching.answered(keyed, known, model, kind, size).drop("hit")
-        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most buckets
-        old = self._load([paths[b] for b in touched if b in paths])
-        both = new if old is None else old.join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)
-        folder = f"{self.data.root}/{uuid.uuid4().hex}"
-        both.withColumn("of", F.col("bucket")).repartition(max(1, len(touched)), "of").write.partitionBy("of").parquet(folder)
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        rows = caching.keyed(records.select(*own).where("id is not null and text <> ''"), "index").withColumns({"bucket": bucket, "cache_key": F.unhex("cache_key")})
+        folder, work = f"{self.data.root}/{uuid.uuid4().hex}", _Folder(self.spark, f"{self.root}/work-{uuid.uuid4().hex}")
+        try:
+            keys, texts = self._winners(rows, work.root)
+            before = self._load(paths.values())
+            known = (before.select(F.unhex("cache_key").alias("cache_key"), "value") if before is not None else self.spark.createDataFrame([], f"cache_key binary, value {kind}")).groupBy("cache_key").agg(F.first("value").alias("value"))
+            new = self._saved(caching.call(caching.misses(texts, known), model, kind, size), f"{work.root}/values")
+            touched = [r[0] for r in keys.select("bucket").distinct().collect()]  # at most buckets
+            # texts are dealt to buckets once, and with them each id's value; the value comes first, behind it the greatest text
+            found = keys.join(known.unionByName(new), "cache_key").withColumn("of", F.lit(2))
+            old = self._load([paths[b] for b in touched if b in paths])
+            dealt = found.unionByName(rows.withColumn("of", F.lit(1)), allowMissingColumns=True)
+            if old is not None:
+                dealt = dealt.unionByName(old.select(*own, "bucket", F.unhex("cache_key").alias("cache_key"), "value").withColumn("of", F.lit(0)), allowMissingColumns=True)
+            first = Window.partitionBy("bucket", "id").orderBy(F.desc("of"), F.desc("text"))
+            ranked = dealt.repartition(max(1, len(touched)), "bucket").withColumns({"n": F.row_number().over(first), "taken": F.first("of").over(first) == 2, "value": F.first("value").over(first)})
+            both = ranked.where("n = if(taken, 2, 1)").withColumns({"cache_key": F.lower(F.hex("cache_key")), "of": F.col("bucket")})
+            both.select(*own, "bucket", "cache_key", "value", "of").write.partitionBy("of").parquet(folder)
+        finally:
+            work.drop()
         paths |= {b: f"{folder}/of={b}" for b in touched}
         listed = [(b, p, None) for b, p in paths.items()] + [(None, None, x) for x in sorted(batches | {batch})]
         self.lists.publish(self.spark.createDataFrame(listed, "bucket int, path string, batch string").coalesce(1))
