@@ -64,10 +64,15 @@ class _Encoder:
         words = [x for x in new if x.split() == [x.lstrip(" ")] and x != " "]
         out = {}
         if words and self._line_end is not None:
-            ids = np.array(self._t.encode("\n".join(words), add_special_tokens=False).ids, self._dtype)
-            cut = np.flatnonzero(ids == self._line_end).tolist()
+            # the fast call leaves out where in the text tokens stand, which nobody asks for
+            ids = np.array(self._t.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self._dtype)
+            cut = np.flatnonzero(ids == self._line_end)
             if len(cut) == len(words) - 1:
-                out = {w: ids[a:z].tobytes() for w, a, z in zip(words, [0, *[c + 1 for c in cut]], [*cut, len(ids)], strict=True)}
+                raw, size = ids.tobytes(), ids.itemsize
+                begins, ends = [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]
+                out = {w: raw[a:z] for w, a, z in zip(words, begins, ends, strict=True)}
+        if len(out) == len(new):
+            return [out[x] for x in new]
         rest = [x for x in new if x not in out]
         out.update((x, np.array(e.ids, self._dtype).tobytes()) for x, e in zip(rest, self._t.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [out[x] for x in new]
