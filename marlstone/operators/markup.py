@@ -149,18 +149,20 @@ def page_changes(before: DataFrame, after: DataFrame, longest: int = 2000) -> Da
     are by page and signature, so no task has more than a page of one key.
     """
     both = before.select("page_id", F.col("html").alias("_old")).join(after.select("page_id", "html"), "page_id")
-    old = signatures(nodes(both.select("page_id", F.col("_old").alias("html"))))
-    new = signatures(nodes(both.select("page_id", "html")))
+    # equal sources have no changes; the elements of the others are written once, as are the changed ones
+    unequal = both.where(~F.col("html").eqNullSafe(F.col("_old")))
+    old = checkpointed(signatures(nodes(unequal.select("page_id", F.col("_old").alias("html")))))
+    new = checkpointed(signatures(nodes(unequal.select("page_id", "html"))))
     group, place = Window.partitionBy("page_id", "signature"), Window.partitionBy("page_id").orderBy("begin")
     counted = old.groupBy("page_id", "signature").agg(F.count("*").alias("had"))
     numbered = new.withColumn("n", F.count("*").over(group)).withColumn("i", F.row_number().over(group.orderBy("begin"))).withColumn("first", F.min("begin").over(group))
     more = numbered.join(counted, ["page_id", "signature"], "left").where(F.col("i") <= F.col("n") - F.coalesce("had", F.lit(0)))
     more = more.select("page_id", "begin", "end", "parent", "first")
-    quiet = both.where(~F.col("html").eqNullSafe(F.col("_old"))).select("page_id").join(more.select("page_id").distinct(), "page_id", "left_anti")
+    quiet = unequal.select("page_id").join(more.select("page_id").distinct(), "page_id", "left_anti")
     was = old.join(quiet, "page_id", "left_semi").select("page_id", F.row_number().over(place).alias("i"), F.col("signature").alias("was"))
     now = new.join(quiet, "page_id", "left_semi").withColumn("i", F.row_number().over(place))
     moved = now.join(was, ["page_id", "i"]).where("signature <> was").select("page_id", "begin", "end", "parent", F.col("begin").alias("first"))
-    changed = more.unionByName(moved)
+    changed = checkpointed(more.unionByName(moved))
     inner = changed.select("page_id", F.col("begin").alias("parent"))
     size = F.col("end") - F.col("begin")
     tops = changed.join(inner, ["page_id", "parent"], "left_anti").groupBy("page_id").agg(F.max(F.struct(size, -F.col("first"), -F.col("begin"), "end")).alias("top"))
