@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,13 +28,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import Memo, Workspace, bounded, documents, partitions
-from marlstone.llm.pretokens import units
+from marlstone.functions.batches import pieces
+from marlstone.llm.common import Memo, Workspace, documents, partitions
+from marlstone.llm.pretokens import cuts
 
-_MARKS = ".,;:!?*&%$#)"
+#: Letters, digits or marks, with a space before them or not: one match of ByteLevel's pattern.
+_WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+_BYTES = 8 << 20  # of texts that are encoded at once
 _NULL_ID = np.iinfo(np.int64).min
 
 
+def _letters() -> dict[int, int]:
+    """ByteLevel's letter for each byte that isn't its own."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_LETTERS = _letters()
+
+
 class _Encoder:
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,47 +55,64 @@ class _Encoder:
         self._t = Tokenizer.from_file(path)
         # strings that the library takes for one token wherever they stand: texts that hold one go to it whole
         self._added = [t.content for t in self._t.get_added_tokens_decoder().values()]
-        # units() may cut texts apart for this way of pre-tokenizing only; with another one texts go to the library whole
+        # cuts() may cut texts apart for this way of pre-tokenizing only; with another one texts go to the library whole
         made = json.loads(self._t.to_str())
         way = made.get("pre_tokenizer") or {}
         self._cut = made.get("normalizer") is None and way.get("type") == "ByteLevel" and not way.get("add_prefix_space", True) and way.get("use_regex", True)
-        self._dtype = dtype
-        end = self._t.encode("\n", add_special_tokens=False).ids
-        self._line_end = end[0] if len(end) == 1 else None
-        self._parts = Memo(self._compute, 300_000)
-        self._units = Memo(self._split, 450_000)
-
-    def _split(self, new: list[str]) -> list[bytes]:
-        """A word and the marks behind it are encoded independently, and each is met more often than both together."""
-        cores = [x.rstrip(_MARKS) for x in new]
-        cores = [c if c[-1:].isalnum() else x for c, x in zip(cores, new, strict=True)]
-        ends = [x[len(c) :] for c, x in zip(cores, new, strict=True)]
-        known = self._parts.known({*cores, *ends} - {""})
-        return [known[c] + known[e] if e else known[c] for c, e in zip(cores, ends, strict=True)]
+        self._dtype, self._code = dtype, "H" if dtype == "<u2" else "I"
+        # what is one match of the library's pattern goes to its model at once
+        model = made.get("model") or {}
+        plain = self._cut and model.get("type") == "BPE" and not model.get("dropout") and not any(_WORD.fullmatch(x) for x in self._added)
+        self._model = self._t.model if plain else None
+        self._pieces = Memo(self._compute, 120_000)
 
     def _compute(self, new: list[str]) -> list[bytes]:
-        """Words go to the library in one text with a line end between each two, which is a token of its own."""
-        words = [x for x in new if x.split() == [x.lstrip(" ")] and x != " "]
-        out = {}
-        if words and self._line_end is not None:
-            # the fast call leaves out where in the text tokens stand, which nobody asks for
-            ids = np.array(self._t.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self._dtype)
-            cut = np.flatnonzero(ids == self._line_end)
-            if len(cut) == len(words) - 1:
-                raw, size = ids.tobytes(), ids.itemsize
-                begins, ends = [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]
-                out = {w: raw[a:z] for w, a, z in zip(words, begins, ends, strict=True)}
-        if len(out) == len(new):
-            return [out[x] for x in new]
-        rest = [x for x in new if x not in out]
+        out, rest = {}, []
+        for x in new:
+            if self._model is not None and _WORD.fullmatch(x):
+                word = ("\u0120" + x[1:] if x[0] == " " else x) if x.isascii() else x.encode().decode("latin-1").translate(_LETTERS)
+                ids = [t.id for t in self._model.tokenize(word)]
+                out[x] = struct.pack(f"<{len(ids)}{self._code}", *ids)
+            else:
+                rest.append(x)
+        # the fast call leaves out where in the text tokens stand, which nobody asks for
         out.update((x, np.array(e.ids, self._dtype).tobytes()) for x, e in zip(rest, self._t.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [out[x] for x in new]
 
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[pa.Buffer, np.ndarray]:
+        """Ids of all texts (no nulls) one behind the other in the files' type, end behind each, and where each begins
+        and the last one ends, in bytes."""
+        if not self._cut:
+            own = [np.array(e.ids, self._dtype).tobytes() + end for e in self._t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return pa.py_buffer(b"".join(own)), np.cumsum([0, *map(len, own)])
+        texts = pa.concat_arrays([texts.cast(pa.large_string())])
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        where = cuts(raw, at[:-1])
+        joined = raw.tobytes() if self._added else b""
+        if any(x.encode() in joined for x in self._added):
+            # such texts stay whole
+            for k, t in enumerate(texts.to_pylist()):
+                if any(x in t for x in self._added):
+                    where = where[(where <= at[k]) | (where >= at[k + 1])]
+        bounds = np.append(where, len(raw)).astype(np.int64)
+        found = pa.LargeStringArray.from_buffers(len(where), pa.py_buffer(bounds), pa.py_buffer(raw)).dictionary_encode()
+        names = found.dictionary.to_pylist()
+        known = self._pieces.known(set(names))
+        values = pa.array([*map(known.__getitem__, names), end], pa.large_binary())
+        first = np.searchsorted(where, at)  # the first piece of each text
+        order = np.insert(found.indices.to_numpy(zero_copy_only=False), first[1:], len(names))
+        ids = values.take(pa.array(order))
+        places = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        held = ids.buffers()[2]
+        held = held.slice(int(places[0]), int(places[-1] - places[0])) if held is not None else pa.py_buffer(b"")
+        return held, places[first + np.arange(len(first))] - places[0]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text in the files' type."""
-        own = [units(t) if self._cut and not any(x in t for x in self._added) else None for t in texts]
-        known = self._units.known(set().union(*filter(None, own)))
-        return [b"".join(map(known.__getitem__, x)) if x is not None else np.array(self._t.encode(t, add_special_tokens=False).ids, self._dtype).tobytes() for t, x in zip(texts, own, strict=True)]
+        ids, at = self.encode(pa.array(texts, pa.large_string()))
+        return [ids[a:z].to_pybytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -139,18 +170,19 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str
         def chunks():
             for b in batches:
                 ids.append(np.array([_NULL_ID if x is None else x for x in b["doc_id"].to_pylist()], "<i8"))
-                for texts in bounded(x.as_py() for x in b["text"]):
-                    out = [x + end for x in encoder.encode_all(texts)]
-                    lens.extend(len(x) // size for x in out)
-                    yield b"".join(out)
+                for texts in pieces(b["text"], _BYTES):
+                    out, at = encoder.encode(texts, end)
+                    lens.append(np.diff(at) // size)
+                    yield out
 
         first = next(found := chunks(), None)
         if first is None:
             return
         _put(f"{where}.ids", (c for src in ((first,), found) for c in src))
         _put(f"{where}.docs", [np.concatenate(ids).tobytes()])
-        _put(f"{where}.lens", [np.array(lens, "<u8").tobytes()])
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [where], "n_docs": pa.array([len(lens)], pa.int64()), "n_tokens": pa.array([int(sum(lens))], pa.int64())})
+        sizes = np.concatenate(lens).astype("<u8")
+        _put(f"{where}.lens", [sizes.tobytes()])
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [where], "n_docs": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([int(sizes.sum())], pa.int64())})
 
     n = parts or partitions(spark)
     hashed = documents(docs).withColumn("h", F.xxhash64("text"))
