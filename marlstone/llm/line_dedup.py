@@ -59,9 +59,8 @@ def _trimmed(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line (trimmed), chars, h1, h2 of lines that aren't blank."""
-    trimmed = F.transform(F.split("text", "\n", -1), _trimmed)
-    sized = F.transform(trimmed, lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))  # lengths are taken once
-    cut = docs.select("doc_id", F.posexplode(sized).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.chars")
+    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    cut = cut.select("doc_id", "line_no", _trimmed(F.col("raw")).alias("line")).withColumn("chars", F.length("line"))
     return cut.where(F.col("chars") > 0).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
@@ -134,8 +133,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, bound: int = 1, edit_chars
     gone = Workspace(spark, "line-dedup").save(removed_lines(spark, docs, bound, edit_chars), "removed").select(F.col("doc_id").alias("_marlstone_id"), F.col("removed").alias("_marlstone_removed"))
     # always dealt by id: what is removed grows with the corpus
     joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_marlstone_id")), "left").drop("_marlstone_id")
-    lines = F.split("text", "\n", -1)
+    # a column of its own: inside a lambda an expression is computed for each element
+    joined, lines = joined.withColumn("_marlstone_lines", F.split("text", "\n", -1)), F.col("_marlstone_lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_marlstone_removed")), lambda i: F.element_at(lines, i + 1))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     out = joined.withColumn("n_lines", n).withColumn("n_removed", F.when(F.col("text").isNull() | F.col("_marlstone_removed").isNull(), F.lit(0)).otherwise(F.size(F.array_intersect("_marlstone_removed", F.sequence(F.lit(0), F.size(lines) - 1)))).cast("long"))
-    return out.withColumn("text", F.when(F.col("_marlstone_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_marlstone_removed")
+    return out.withColumn("text", F.when(F.col("_marlstone_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_marlstone_removed", "_marlstone_lines")
