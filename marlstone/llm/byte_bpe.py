@@ -103,7 +103,7 @@ def merge(piece: bytes, rank) -> list[bytes]:
 class ByteBpe:
     """Encoder and decoder over a file of ranks; ids are 32-bit."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, remembered: int = 200_000):
         import regex
 
         with open(ranks_path, "rb") as f:
@@ -112,8 +112,8 @@ class ByteBpe:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self._matches = regex.compile(pattern).findall
         self._cut = pattern == PATTERN  # what units() may cut apart is known for that pattern only
-        self._pieces = Memo(lambda new: [self._encode_piece(x) for x in new], 200_000)
-        self._units = Memo(self._join_pieces, 200_000)
+        self._pieces = Memo(lambda new: [self._encode_piece(x) for x in new], remembered)
+        self._units = Memo(self._join_pieces, remembered)
 
     def _encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -142,9 +142,9 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def _codec(ranks_path: str, pattern: str) -> ByteBpe:
+def _codec(ranks_path: str, pattern: str, remembered: int = 200_000) -> ByteBpe:
     """One for each Python worker; the vocabulary file's path must be the same on all machines."""
-    return ByteBpe(ranks_path, pattern)
+    return ByteBpe(ranks_path, pattern, remembered)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -178,14 +178,15 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = 200_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass over the texts and keeps digests.
 
     Null and empty texts: 0 tokens and the digests of nothing.  Ties and repeated rows: each row by itself.
+    remembered: words that a task keeps the ids of, for speed only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks_path, pattern)
+        codec = _codec(ranks_path, pattern, remembered)
         for b in batches:
             n, one, two = [], [], []
             for texts in bounded(x.as_py() for x in b["text"]):
