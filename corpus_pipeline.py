@@ -37,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of what is left, decoded again: doc_id, n_tokens and digests."""
-    # Python workers live on from stage to stage, so this one remembers fewer words than it does alone
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remembered=50_000)
+    # Python workers live on from stage to stage, so this one remembers fewer words than it does alone, and not for long
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remembered=50_000, tidy=True)
 
 
 STAGES = [

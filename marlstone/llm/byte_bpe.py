@@ -14,7 +14,7 @@ import pyarrow as pa
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import Memo, bounded, documents
+from marlstone.llm.common import Memo, bounded, documents, tidied
 from marlstone.llm.pretokens import units
 
 _MASK = (1 << 64) - 1
@@ -178,11 +178,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = 200_000) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = 200_000, tidy: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass over the texts and keeps digests.
 
     Null and empty texts: 0 tokens and the digests of nothing.  Ties and repeated rows: each row by itself.
-    remembered: words that a task keeps the ids of, for speed only.
+    remembered: words that a task keeps the ids of, for speed only; tidy: it leaves none of them to the next task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +196,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, remembered: int =
                     two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(tidied(run) if tidy else run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

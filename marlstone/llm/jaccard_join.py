@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Workspace, documents, partitions
+from marlstone.llm.common import Workspace, documents, partitions, tidied
 from marlstone.llm.components import components
 
 WIDTH = 5
@@ -76,10 +76,12 @@ def _hot(docs: DataFrame, width: int) -> np.ndarray:
         for b in batches:
             sets = {_key(s): s for s in (shingle_set(t, width) for t in _texts(b)) if len(s)}
             if sets:
-                found, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+                found = np.concatenate(list(sets.values()))
+                del sets
+                found, n = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found[n >= 3].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["s", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 16")
+    counted = docs.select("text").mapInArrow(tidied(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 16")
     top = counted.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).select("s").toArrow()
     return np.sort(top["s"].to_numpy().view(np.uint64))
 
@@ -111,7 +113,7 @@ def _signatures(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> D
                 prefix.append(s[:size].view(np.int64))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n long, k1 long, k2 long, prefix array<long>")
 
 
 def _candidates(ws: Workspace, classes: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +245,7 @@ def _joined(rows: DataFrame, key: list[str], percent: int, width: int) -> DataFr
         yield from links()
 
     dealt = rows.select(*key, "id", "text").repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -273,7 +275,7 @@ def _measure(ws: Workspace, rows: DataFrame, percent: int, width: int, depth: in
             lists = pa.array(d, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.bool_())), pa.array(p, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b["block"], b["id"], b["n"], b["text"], *lists], ["block", "id", "n", "text", "d", "linked", "p"])
 
-    found = both.select("block", "id", "n", "text", "pivots").mapInArrow(run, "block string, id long, n long, text string, d array<double>, linked array<boolean>, p array<long>")
+    found = both.select("block", "id", "n", "text", "pivots").mapInArrow(tidied(run), "block string, id long, n long, text string, d array<double>, linked array<boolean>, p array<long>")
     return ws.save(found, "measured")
 
 
