@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,14 @@ def pieces(batch, most: int = PIECE) -> Iterator:
             open_ += [own.slice(half), own.slice(0, half)]
 
 
+def give_back() -> None:
+    """Memory that Python and Arrow have freed goes back to the system: a process keeps it for itself otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mapped(values: pa.Array, one: Callable, kind: pa.DataType) -> pa.Array:
     """one of each value."""
     return pa.concat_arrays([pa.array([one(x) for x in own.to_pylist()], kind) for own in pieces(values)])

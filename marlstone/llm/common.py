@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
 import weakref
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.batches import give_back
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
@@ -70,15 +71,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _MEMOS: weakref.WeakSet = weakref.WeakSet()
 
 
-def give_back() -> None:
-    """Memos are emptied, and memory that Python and Arrow have freed goes back to the system: a process keeps it for
-    itself otherwise."""
+def forget_all() -> None:
+    """Empty the memos of this process and give back what is free."""
     for m in list(_MEMOS):
         m.forget()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
+    give_back()
 
 
 def tidied(run: Callable) -> Callable:
@@ -87,7 +84,7 @@ def tidied(run: Callable) -> Callable:
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        give_back()
+        forget_all()
 
     return tidy
 
