@@ -34,11 +34,16 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 2_000_000
 LEAF = 32
 #: Where so many texts near the borders of regions make more copies than this of each, regions would repeat the work.
 CROWDED = 1.5
-#: Size of the list of frequent shingles that every task gets (8 bytes each); only speed depends on it.
-HOT_SHINGLES = 1 << 20
+#: Size of the list of frequent shingles that every task gets (8 bytes each), and from how many texts on one is
+#: frequent; only speed depends on them.
+HOT_SHINGLES, HOT_TEXTS = 1 << 20, 16
 #: Texts that share a prefix shingle are taken two by two up to this number, as one block beyond it.
 PAIRED = 64
+#: Shingles that a task splits into buckets at once.
+SPLIT = 4_000_000
 _PIVOTS, _DEPTH = 8, 4
+#: Texts meet by 40 bits of their shingles: two that share these only are compared and found not to link.
+_BITS, _BYTES = 24, 5
 BROADCAST_ROWS = 1_000_000
 
 
@@ -69,67 +74,224 @@ def _texts(b: pa.RecordBatch) -> Iterator[str]:
         yield t.as_py()
 
 
-def _hot(docs: DataFrame, width: int) -> np.ndarray:
-    """The most frequent shingles, over all documents; those that three texts of a batch share are counted."""
+def _least(size: int, percent: int) -> int:
+    """Of so many shingles of a set, in the common order, a linked set has one at least among its own as many first."""
+    return size - -(-percent * size // 100) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _marked(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of s are in known; both ascending."""
+    if not len(known):
+        return np.zeros(len(s), bool)
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+
+
+def _buckets(spark: SparkSession) -> int:
+    """Several for each partition, so that partitions are even; 40 bits less a bucket's fit into 4 bytes from 256 on."""
+    return max(256, 8 * partitions(spark))
+
+
+def _bucketed(t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by bucket (it keeps the order within), the buckets that aren't empty, and where each begins and ends."""
+    bucket = t % np.uint64(n)
+    order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
+    count = np.bincount(bucket.astype(np.int64), minlength=n)
+    own = np.flatnonzero(count)
+    return order, own, np.concatenate([[0], np.cumsum(count[own])])
+
+
+def _slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of values between each two bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[list]]]:
+    """(bucket, its rows' values of names) of rows that are sorted by bucket."""
+    now, own = None, []
+    for b in batches:
+        for bucket, *values in zip(b["bucket"].to_pylist(), *(b[x].to_pylist() for x in names), strict=True):
+            if bucket != now:
+                if own:
+                    yield now, own
+                now, own = bucket, []
+            own.append(values)
+    if own:
+        yield now, own
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def _hot(ws: Workspace, docs: DataFrame, width: int, percent: int) -> np.ndarray:
+    """The most frequent of the shingles that stand early in the common order, counted over all documents; ascending.
+
+    A task tells of its texts' early shingles (twice a prefix, in the order without those that three of its own texts
+    share) 4 bytes each by bucket, and of those that several of its texts share one number.
+    """
+    buckets = _buckets(docs.sparkSession)
+
+    def told(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        common = n >= 3
+        found, n = found[common], n[common]
+        early = [x[~_marked(x, found)][: 2 * _least(len(x), percent)] for x in sets]
+        rest, m = np.unique(np.concatenate(early), return_counts=True)
+        t, n = np.concatenate([rest, found]) >> np.uint64(_BITS), np.concatenate([m, n])
+        rows = []
+        for own in (n == 1, n > 1):  # of the first the number is left out
+            order, bucket, bounds = _bucketed(t[own], buckets)
+            h = (t[own][order] // np.uint64(buckets)).astype("<u4")
+            times = _slices(n[own][order].astype("<u4"), bounds) if rows else pa.nulls(len(bucket), pa.binary())
+            rows.append((pa.array(bucket, pa.int32()), _slices(h, bounds), times))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], ["bucket", "h", "n"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = {_key(s): s for s in (shingle_set(t, width) for t in _texts(b)) if len(s)}
+            sets, many = {}, 0
+            for t in _texts(b):
+                x = shingle_set(t, width)
+                if len(x):
+                    sets[_key(x)] = x
+                    many += len(x)
+                if many > SPLIT:
+                    yield told(list(sets.values()))
+                    sets, many = {}, 0
             if sets:
-                found = np.concatenate(list(sets.values()))
-                del sets
-                found, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found[n >= 3].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["s", "n"])
-
-    counted = docs.select("text").mapInArrow(tidied(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 16")
-    top = counted.orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).select("s").toArrow()
-    return np.sort(top["s"].to_numpy().view(np.uint64))
+                yield told(list(sets.values()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches, ["h", "n"]):
+            h = np.concatenate([np.frombuffer(x, "<u4") for x, _ in rows])
+            n = np.concatenate([np.ones(len(x) // 4, np.int64) if y is None else np.frombuffer(y, "<u4").astype(np.int64) for x, y in rows])
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.add.reduceat(n[order], at)
+            often = n >= HOT_TEXTS
+            t = h[at][often].astype(np.int64) * buckets + bucket
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n[often])], ["t", "n"])
+
+    dealt = _dealt(docs.select("text").mapInArrow(tidied(tell), "bucket int, h binary, n binary"))
+    counted = ws.save(dealt.mapInArrow(tidied(count), "t long, n long"), "counted")
+    least, many = 0, 0
+    for n, own in sorted(map(tuple, counted.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        many += own
+        if many > HOT_SHINGLES:
+            break
+        least = n
+    top = counted.where(F.col("n") >= least).select("t").toArrow() if least else None
+    ws.drop(counted)
+    return np.sort(top["t"].to_numpy()).astype(np.uint64) if least else np.empty(0, np.uint64)
 
 
 def _signatures(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2 (name of the set) and prefix: the shingles one of which any linked set's prefix has too.
-    A task gives the prefix of a set once."""
+    """doc_id, n, k1, k2 (name of the set) and its prefix, the shingles one of which any linked set's prefix has too:
+    rare, 5 bytes of each, and hot, the frequent ones, which come last in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set = set()
         for b in batches:
-            n, k1, k2, prefix = [], [], [], []
+            n, k1, k2, rare, often = [], [], [], [], []
             for t in _texts(b):
                 s = shingle_set(t, width)
                 k = _key(s)
                 n.append(len(s))
                 k1.append(k[0])
                 k2.append(k[1])
-                if not len(s) or k in met:
-                    prefix.append(None)
-                    continue
-                if len(met) < 200_000:
-                    met.add(k)
-                size = len(s) - -(-percent * len(s) // 100) + 1
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    known = hot[at] == s
-                    s = np.concatenate([s[~known], s[known]])
-                prefix.append(s[:size].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n long, k1 long, k2 long, prefix array<long>")
-
-
-def _candidates(ws: Workspace, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges whose components hold all links; classes: rep, n, prefix.
-
-    Where few texts share a shingle, each two are counted: common shingles of both prefixes (counted exactly), plus at
-    most what stands behind the longer rest, must reach the overlap that their sizes ask for.  Shingles with the same
-    texts are counted together.  Where many share one, those whose sizes allow a link are tied to the least of them
-    instead: no pairs are made.
+                size = _least(len(s), percent) if len(s) else 0
+                short = s >> np.uint64(_BITS)
+                known = _marked(short, hot)
+                first = short[~known][:size].astype("<u8")
+                rare.append(first.view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes())
+                often.append(s[known][: size - len(first)].view(np.int64) if len(first) < size else None)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(rare, pa.binary()), pa.array(often, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "rare", "hot"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n long, k1 long, k2 long, rare binary, hot array<long>")
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes each as the largest asks for."""
+    return x.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if k == "<u8" or x.max(initial=0) < 1 << 8 * int(k[2])))
+
+
+def _numbers(raw: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // count}").astype(np.uint64)
+
+
+def _met(leads: DataFrame) -> DataFrame:
+    """t, m: for each rare prefix shingle that several texts have, these texts (rep, n), ascending.
+
+    A task sends what falls into a bucket as one row, some 7 bytes a shingle: 4 of it, and the step from the last text's
+    id and the size in as few as do.  What three texts of a task's share is hot, so no shingle has very many texts here.
+    """
+    buckets = _buckets(leads.sparkSession)
+
+    def split(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rows.sort()
+        raw = np.frombuffer(b"".join(x for _, _, x in rows), np.uint8).reshape(-1, _BYTES)
+        t = np.zeros((len(raw), 8), np.uint8)
+        t[:, :_BYTES] = raw
+        t = t.view("<u8").ravel()
+        owner = np.repeat(np.arange(len(rows)), [len(x) // _BYTES for _, _, x in rows])
+        order, bucket, bounds = _bucketed(t, buckets)
+        owner = owner[order]
+        ids = np.array([i for i, _, _ in rows], np.int64)[owner]
+        step = np.diff(ids.view(np.uint64), prepend=np.uint64(0))  # modulo 2 ** 64
+        step[bounds[:-1]] = 0
+        h = (t[order] // np.uint64(buckets)).astype("<u4")
+        n = np.array([n for _, n, _ in rows], np.uint64)[owner]
+        columns = [pa.array(bucket, pa.int32()), pa.array(ids[bounds[:-1]]), *(_slices(x, bounds) for x in (h, _narrow(step), _narrow(n)))]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "first", "h", "step", "n"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, many = [], 0
+            for row in zip(b["rep"].to_pylist(), b["n"].to_pylist(), b["rare"].to_pylist(), strict=True):
+                if row[2]:
+                    own.append(row)
+                    many += len(row[2]) // _BYTES
+                if many > SPLIT:
+                    yield split(own)
+                    own, many = [], 0
+            if own:
+                yield split(own)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches, ["first", "h", "step", "n"]):
+            h = np.concatenate([np.frombuffer(x, "<u4") for _, x, _, _ in rows])
+            ids = np.concatenate([np.cumsum(_numbers(x, len(y) // 4)).view(np.int64) + np.int64(i) for i, y, x, _ in rows])
+            n = np.concatenate([_numbers(x, len(y) // 4) for _, y, _, x in rows]).astype(np.int64)
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            several = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            h, ids, n = h[several], ids[several], n[several]
+            order = np.lexsort((n, ids, h))
+            h, ids, n = h[order], ids[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+            t = h[at].astype(np.int64) * buckets + bucket
+            m = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)), pa.int32()), pa.StructArray.from_arrays([pa.array(ids), pa.array(n)], ["rep", "n"]))
+            yield pa.RecordBatch.from_arrays([pa.array(t), m], ["t", "m"])
+
+    dealt = _dealt(leads.select("rep", "n", "rare").mapInArrow(tidied(deal), "bucket int, first long, h binary, step binary, n binary"))
+    return dealt.mapInArrow(tidied(meet), "t long, m array<struct<rep: long, n: long>>")
+
+
+def _candidates(ws: Workspace, leads: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges whose components hold all links; leads: rep, n, rare, hot, a row for each set.
+
+    Where few texts share a shingle, each two are counted: common shingles of both prefixes (counted exactly, but for
+    chance), plus at most what stands behind the longer rest, must reach the overlap that their sizes ask for.  Shingles
+    with the same texts are counted together.  Where many share one, those whose sizes allow a link are tied to the
+    least of them instead: no pairs are made.
     """
-    shared = classes.select("rep", "n", F.explode("prefix").alias("s"))
+    rare = ws.save(_met(leads), "met")
+    shared = leads.select("rep", "n", F.explode("hot").alias("s"))
     # counted with partial sums and joined back, so that no task holds all texts of a frequent shingle
     many = shared.groupBy("s").agg(F.count("*").alias("g")).where("g > 1")
-    met = ws.save(shared.join(many, "s"), "shared")
+    hot = ws.save(shared.join(many, "s"), "shared")
     texts = F.array_sort(F.collect_list(F.struct("rep", "n")))
-    groups = met.where(F.col("g") <= PAIRED).groupBy("s").agg(texts.alias("m")).groupBy("m").agg(F.count("*").alias("c"))
+    each = rare.where(F.size("m") <= PAIRED).select("m").unionByName(hot.where(F.col("g") <= PAIRED).groupBy("s").agg(texts.alias("m")).select("m"))
+    groups = each.groupBy("m").agg(F.count("*").alias("c"))
     two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, PAIRED), lambda y: F.struct(x["rep"].alias("a"), x["n"].alias("na"), y["rep"].alias("b"), y["n"].alias("nb")))))
     pairs = groups.select("c", F.explode(two).alias("p")).select("c", "p.*").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     pairs = pairs.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("c"))
@@ -138,11 +300,12 @@ def _candidates(ws: Workspace, classes: DataFrame, percent: int) -> DataFrame:
     likely = pairs.where(F.col("c") + behind >= wanted).select("a", "b")
     # sizes of linked texts differ by a factor of at most 100 / percent: each text is in its own class of sizes and the next
     band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")
-    hot = met.where(F.col("g") > PAIRED).select("s", "rep", F.explode(F.array(band, band + 1)).alias("band"))
-    leads = hot.groupBy("s", "band").agg(F.min("rep").alias("lead"))
-    tied = hot.join(leads, ["s", "band"]).where("lead < rep").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    crowds = hot.where(F.col("g") > PAIRED).select("s", "rep", "n").unionByName(rare.where(F.size("m") > PAIRED).select(F.col("t").alias("s"), F.explode("m").alias("x")).select("s", "x.rep", "x.n"))
+    crowds = crowds.select("s", "rep", F.explode(F.array(band, band + 1)).alias("band"))
+    leaders = crowds.groupBy("s", "band").agg(F.min("rep").alias("lead"))
+    tied = crowds.join(leaders, ["s", "band"]).where("lead < rep").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     found = ws.save(likely.unionByName(tied).distinct(), "candidates")
-    ws.drop(met)
+    ws.drop(rare, hot)
     return found
 
 
@@ -358,18 +521,24 @@ def group(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width: i
     """
     ws = Workspace(spark, "jaccard-join")
     every = documents(docs)
-    sig = ws.save(_signatures(every, _hot(every, width), width, percent), "signatures")
+    whole = ws.save(_signatures(every, _hot(ws, every, width, percent), width, percent), "signatures")
+    named = whole.where("n > 0 and doc_id is not null")
+    reps = ws.save(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "reps")
+    # of equal sets only the one with the least id goes on with its prefix
+    equal = ws.save(named.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "k1", "k2").distinct(), "equal")
+    leads = named.join(F.broadcast(equal) if equal.count() <= BROADCAST_ROWS else equal, ["doc_id", "k1", "k2"], "left_anti").withColumnRenamed("doc_id", "rep")
+    near = _candidates(ws, leads, percent)
+    sig = ws.save(whole.select("doc_id", "n", "k1", "k2"), "names")
+    ws.drop(whole, equal)
     known = sig.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    near = _candidates(ws, classes, percent)
     blocks = ws.save(components(ws, near), "blocks")
     ws.drop(near)
-    reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     few = blocks.count() <= BROADCAST_ROWS
     wanted = reps.join(blocks.withColumnRenamed("id", "rep"), "rep").select(F.col("rep").alias("doc_id"), F.col("component").cast("string").alias("block"), "n").groupBy("doc_id", "block").agg(F.max("n").alias("n"))
     rows = every.join(F.broadcast(wanted) if few else wanted, "doc_id").select("block", F.col("doc_id").alias("id"), "n", "text")
     found = links(spark, ws, rows, percent, width)
     joined = ws.save(components(ws, found), "components")
+    ws.drop(blocks, found)
     names = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     linked = known.select("doc_id", "n", "k1", "k2").join(names, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sig.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
