@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import weakref
@@ -29,6 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting by which the files of a query's shuffles go when it ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _tidied_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
     """Intermediate tables written as Parquet in the shared folder: they cut lineage and survive lost executors."""
 
@@ -43,7 +61,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         where = self.path(f"{name}-{self._n}")
-        df.write.mode("overwrite").parquet(where)
+        with _tidied_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(where)
         saved = self.spark.read.schema(df.schema).parquet(where)
         saved._marlstone_path = where
         return saved
